@@ -84,3 +84,23 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def field(name: str) -> str:
     """A column name quoted for SQL expressions."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def map_whole(df: DataFrame, make) -> DataFrame:
+    """``mapInArrow`` over all columns, schema kept; ``make()`` runs once a task and returns batch -> batch."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        f = make()
+        for batch in batches:
+            yield f(batch)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_column(batch: pa.RecordBatch, name: str, values) -> pa.RecordBatch:
+    """The batch with one of its columns replaced."""
+    k = batch.schema.get_field_index(name)
+    columns = list(batch.columns)
+    columns[k] = pa.array(values, batch.schema.field(k).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)

@@ -22,7 +22,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import map_rows, map_whole, texts, with_column
 
 # --- fixed values: kinds in the contract's order, and its patterns ---------------------------
 KINDS = ("email", "ip", "card", "phone")
@@ -426,3 +426,24 @@ def redact(text: str | None, spans: str | None) -> str | None:
         out += [text[at:begin], f"<{kind.upper()}>"]
         at = end
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, *, n_lines: int = 400, seed: int = 7, steps: int = 40, max_tokens: int = 24, margin: float = 1.0) -> DataFrame:
+    """``docs`` with every span of personal data in ``text`` replaced by its kind; cases as in find_pii.
+
+    ``n_chars``, where there is such a column, follows the text; null texts stay null.
+    """
+    weights = fitted_weights(n_lines, seed, steps, max_tokens)
+    counts = "n_chars" in docs.columns
+
+    def make():
+        spans_of = Field(weights, max_tokens, margin).spans
+
+        def f(b):
+            new = [t and redact(t, joined(spans_of(t)[1])) for t in b.column("text").to_pylist()]
+            b = with_column(b, "text", new)
+            return with_column(b, "n_chars", [t if t is None else len(t) for t in new]) if counts else b
+
+        return f
+
+    return map_whole(docs, make)

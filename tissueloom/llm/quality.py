@@ -13,9 +13,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import map_rows, map_whole, texts
 
 # --- fixed values: the contract ---------------------------------------------------------------
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -145,38 +146,47 @@ def accepted(script: str, n_tokens: int, per_token: float, fallback: float, entr
     return low <= per_token <= high and fallback <= most and entropy >= (long_bits if n_tokens >= LONG else bits)
 
 
-def judge_quality(docs: DataFrame, ranks_path: str | None = None, piece_path: str | None = None, pattern: str | None = None, bands=BANDS) -> DataFrame:
+def default_vocabularies() -> tuple[str, str, str]:
+    """Paths of the two vocabularies, and the first one's pattern."""
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_50k.tiktoken"), public.path("piece_bpe_32k.model"), public.PATTERN
+
+
+class Judge:
+    """Counts, fertility and verdict of one text: the columns of SCHEMA after doc_id."""
+
+    def __init__(self, vocabularies: tuple[str, str, str], bands=BANDS):
+        self.fertility, self.bands = Fertility(*vocabularies), bands
+
+    def __call__(self, text: str) -> tuple:
+        words = words_of(text)
+        n = len(words)
+        chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
+        symbols = sum(map(len, _SYMBOL.findall(text)))
+        repeated = repeated_words(words)
+        failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
+        script = main_script(text)
+        measured = self.fertility.measure(text)
+        return n, chars, symbols, duplicate_lines(text), repeated, failed, not failed and accepted(script, *measured, self.bands), script, *measured
+
+
+def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None, bands=BANDS) -> DataFrame:
     """Quality counts, fertility and verdict of each row of (doc_id, text).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, and the fertility measures. The vocabularies' paths must hold on every executor.
+    kept, and the fertility measures. ``vocabularies``: paths of a rank file and of a piece
+    model, which must hold on every executor, and the rank file's pattern.
 
     Null and empty texts have no words and fail (fewer than 10 words). Rows are judged one by
     one: repeated rows repeat, null doc_ids stay null, other columns are ignored, an empty table
     gives an empty result. One pass, no shuffle.
     """
-    if not (ranks_path and piece_path and pattern):
-        import public_tokenizers
-
-        ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        piece_path = piece_path or public_tokenizers.path("piece_bpe_32k.model")
-        pattern = pattern or public_tokenizers.PATTERN
+    vocabularies = vocabularies or default_vocabularies()
+    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
 
     def make():
-        fertility = Fertility(ranks_path, piece_path, pattern)
-
-        def judge(text):
-            words = words_of(text)
-            n = len(words)
-            chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
-            symbols = sum(map(len, _SYMBOL.findall(text)))
-            repeated = repeated_words(words)
-            failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
-            script = main_script(text)
-            measured = fertility.measure(text)
-            return n, chars, symbols, duplicate_lines(text), repeated, failed, not failed and accepted(script, *measured, bands), script, *measured
-
-        names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+        judge = Judge(vocabularies, bands)
 
         def f(b):
             rows = [judge(t) for t in texts(b)]
@@ -188,3 +198,13 @@ def judge_quality(docs: DataFrame, ranks_path: str | None = None, piece_path: st
     return map_rows(docs, make, SCHEMA, ["doc_id", "text"])
 
 
+def keep_good(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None, bands=BANDS) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, with all their columns; cases as in judge_quality."""
+    vocabularies = vocabularies or default_vocabularies()
+    kept = [x.split()[0] for x in SCHEMA.split(", ")][1:].index("kept")
+
+    def make():
+        judge = Judge(vocabularies, bands)
+        return lambda b: b.filter(pa.array([judge(t)[kept] for t in texts(b)], pa.bool_()))
+
+    return map_whole(docs, make)
