@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -29,6 +35,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_quality
 
@@ -55,7 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op3_bpe, op4_secrets, op6_quality, op7_warc, op9_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_bpe, op4_secrets, op5_line_dedup, op6_quality, op7_warc, op9_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
