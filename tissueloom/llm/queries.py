@@ -54,6 +54,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), columns=columns).select(*columns)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import filter_urls
 
@@ -67,7 +73,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_bpe, op4_secrets, op5_line_dedup, op6_quality, op7_warc, op9_url_filter, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_bpe, op4_secrets, op5_line_dedup, op6_quality, op7_warc, op8_ngram_jaccard, op9_url_filter, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
