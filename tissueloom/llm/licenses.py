@@ -36,9 +36,8 @@ OWN_PHRASES = [
     ("creative commons attribution", "cc-by"),
     ("all rights reserved", "proprietary"),
 ]
-#: A word of a text once A-Z are lower-cased, and what a lower-cased text may still have of A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What lies between the words of a text once A-Z are lower-cased.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # ----------------------------------------------------------------------------------------------
 
 #: Words of a phrase that the index posts.
@@ -56,15 +55,31 @@ def templates(base=BASE_PHRASES, own=OWN_PHRASES) -> list[Template]:
     return [Template(tuple(p.split()), label, kind) for group, kind in ((base, True), (own, False)) for p, label in group]
 
 
+def lower_ascii(text: Column) -> Column:
+    """Lower case as far as words of a-z can tell.
+
+    ``lower`` works on bytes where the text is ASCII. Of all other characters, only the Kelvin
+    sign and the dotted capital I have a-z in their lower case; they become another letter first.
+    """
+    for ch in "\u212a\u0130":
+        text = F.replace(text, F.lit(ch), F.lit("\u0131"))
+    return F.lower(text)
+
+
 def hits(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Each row's n_words and the (position, word) of every word of the vocabulary, by position."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    parts = F.split(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), BETWEEN)
+    # a step of its own, as it is used more than once below; only its first and last part can be empty
+    cut = docs.select("doc_id", parts.alias("parts"))
+    lead = (F.element_at("parts", 1) == "").cast("int")
+    trail = ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
     known = F.array(*(F.lit(w) for w in vocabulary))
-    found = F.filter(
-        F.transform(words, lambda w, i: F.struct(i.cast("int").alias("at"), F.array_position(known, w).cast("int").alias("w"))),
-        lambda x: x["w"] > 0,
+    placed = F.transform("parts", lambda w, i: F.struct(i.cast("int").alias("at"), w.alias("w")))
+    found = F.transform(
+        F.filter(placed, lambda x: x["w"].isin(vocabulary)),
+        lambda x: F.struct((x["at"] - lead).alias("at"), F.array_position(known, x["w"]).cast("int").alias("w")),
     )
-    return docs.select("doc_id", F.size(words).cast("long").alias("n_words"), found.alias("hits"))
+    return cut.select("doc_id", (F.size("parts") - lead - trail).cast("long").alias("n_words"), found.alias("hits"))
 
 
 def inverse_frequency(found: DataFrame, vocabulary: list[str]) -> dict[str, float]:
