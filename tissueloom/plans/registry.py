@@ -1,41 +1,18 @@
-"""All registered queries of the library proper: name -> DataFrame function, and name -> SQL."""
+"""All registered queries of the library proper."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import views as V
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a (spark, sf_dir) -> DataFrame function, with its SQL if there is one."""
-
-    def keep(f):
-        if name in _QUERIES:
-            raise ValueError(f"two queries are named {name}")
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return keep
-
-
-@query("sum_layer", f"with e as ({V.EXPR_SQL}), s as ({V.SPOTS_SQL}) select spot_id, x, y, sum(value) as total from e join s using (spot_id) group by all")
-def sum_layer(spark, sf_dir):
-    e = V.expr(spark, sf_dir).groupBy("spot_id").agg(F.sum("value").alias("total"))
-    return V.spots(spark, sf_dir).join(e, "spot_id").select("spot_id", "x", "y", "total")
+from . import catalog
+from . import q_knowledge, q_layers, q_matrix  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(catalog.SQL)
