@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import catalog
-from . import q_cells, q_knowledge, q_layers, q_matrix, q_neighbors, q_spatial  # noqa: F401  they register themselves
+from . import q_cells, q_io, q_knowledge, q_layers, q_matrix, q_models, q_neighbors, q_spatial  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
