@@ -40,7 +40,7 @@ def cells_csv(spark, sf_dir):
 
 def _call_file(spark, sf_dir):
     path = folder(spark, "calls")
-    c = V.calls(spark, sf_dir).where("gene < 50")
+    c = V.calls(spark, sf_dir)
     q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     s = lambda x: F.col(x).cast("string")
     out = c.select(
@@ -53,13 +53,13 @@ def _call_file(spark, sf_dir):
     return path
 
 
-@query("parse_calls", V.with_views("select gene::varchar as gene, 'g' || gene as gene_name, tissue::varchar as tissue, stage, expression, quality, round(rank, 6) as rank from c where gene < 50 and quality = 'gold quality'", c=V.CALLS))
+@query("parse_calls", V.with_views("select gene::varchar as gene, 'g' || gene as gene_name, tissue::varchar as tissue, stage, expression, quality, round(rank, 6) as rank from c where quality = 'gold quality'", c=V.CALLS))
 def parse_calls(spark, sf_dir):
     got = readers.read_calls(spark, _call_file(spark, sf_dir), "gold quality")
     return got.select("gene", "gene_name", "tissue", "stage", "expression", "quality", R("rank").alias("rank"))
 
 
-@query("parse_calls_advanced", V.with_views("select gene::varchar as gene_id, sex, self_observation_count, evidence from (select *, 'any' as sex, 3 as self_observation_count, '4' as evidence from c) where gene < 50", c=V.CALLS))
+@query("parse_calls_advanced", V.with_views("select gene::varchar as gene_id, sex, self_observation_count, evidence from (select *, 'any' as sex, 3 as self_observation_count, '4' as evidence from c)", c=V.CALLS))
 def parse_calls_advanced(spark, sf_dir):
     got = readers.read_calls_advanced(spark, _call_file(spark, sf_dir))
     return got.select("gene_id", "sex", "self_observation_count", F.col("rna_seq.expression_rank").alias("evidence"))
@@ -73,10 +73,10 @@ def spots_csv(spark, sf_dir):
     return readers.read_spots(spark, path).select("barcode", "flag", "x", "y")
 
 
-@query("mtx_folder", V.with_views("select gene_id, 's' || spot_id as spot_id, value from e where spot_id < 20", e=V.EXPR))
+@query("mtx_folder", V.with_views("select gene_id, 's' || spot_id as spot_id, value from e", e=V.EXPR))
 def mtx_folder(spark, sf_dir):
     path = folder(spark, "mtx")
-    e = V.expr(spark, sf_dir).where("spot_id < 20")
+    e = V.expr(spark, sf_dir)
     genes = K.dimension(e, "gene_id")
     spots = K.dimension(e, "spot_id")
     one = lambda df, name: df.coalesce(1).write.text(f"{path}/{name}")
@@ -84,7 +84,7 @@ def mtx_folder(spark, sf_dir):
     one(spots.orderBy("idx").select(F.concat(F.lit("s"), F.col("id"))), "barcodes.tsv")
     body = e.join(genes.select(F.col("id").alias("gene_id"), F.col("idx").alias("i")), "gene_id").join(spots.select(F.col("id").alias("spot_id"), F.col("idx").alias("j")), "spot_id")
     lines = body.select(F.lit(2).alias("k"), F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")).alias("l"))
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "25 20 500")], "k int, l string")
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "25 100 2500")], "k int, l string")
     one(head.unionByName(lines).repartition(1).sortWithinPartitions("k").select("l"), "matrix.mtx")
     return readers.read_mtx(spark, path).select("gene_id", "spot_id", "value")
 
@@ -129,13 +129,13 @@ def tsv_table(spark, sf_dir):
     return readers.read_table(spark, path)
 
 
-@query("whitespace_matrix", V.with_views("select gene_id as row, 'p' || spot_id as \"column\", value from e where spot_id < 5", e=V.EXPR))
+@query("whitespace_matrix", V.with_views("select gene_id as row, 'p' || spot_id as \"column\", value from e", e=V.EXPR))
 def whitespace_matrix(spark, sf_dir):
     path = folder(spark, "matrix")
-    wide = V.expr(spark, sf_dir).where("spot_id < 5").groupBy("gene_id").pivot("spot_id", [0, 1, 2, 3, 4]).agg(F.first("value"))
-    rows = wide.select(F.lit(1).alias("k"), F.concat_ws("  ", "gene_id", *(F.col(f"`{k}`").cast("string") for k in range(5))).alias("l"))
-    head = spark.createDataFrame([(0, "p0 p1 p2 p3 p4")], "k int, l string")
-    head.unionByName(rows).repartition(1).sortWithinPartitions("k").select("l").write.text(path)
+    rows = V.expr(spark, sf_dir).groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("spot_id", "value"))).alias("c"))
+    body = rows.select(F.lit(1).alias("k"), F.concat_ws("  ", F.col("gene_id"), F.array_join(F.transform("c", lambda s: s["value"].cast("string")), " ")).alias("l"))
+    head = rows.select(F.lit(0).alias("k"), F.array_join(F.transform("c", lambda s: F.concat(F.lit("p"), s["spot_id"].cast("string"))), " ").alias("l")).limit(1)
+    head.unionByName(body).repartition(1).sortWithinPartitions("k").select("l").write.text(path)
     return readers.read_whitespace_matrix(spark, path)
 
 
@@ -152,21 +152,19 @@ def max_dzi_level(spark, sf_dir):
     return readers.max_level(spark.range(14).select(F.format_string("/pack/slide_files/%d/0_0.jpg", "id").alias("path")))
 
 
-@query("tile_files", "select l_partkey::varchar as tile_id, count(*) as pixels from (select l_partkey, l_linenumber from lineitem where l_partkey < 20) group by 1")
+@query("tile_files", "select l_suppkey::varchar as tile_id, count(*) as pixels from lineitem group by 1")
 def tile_files(spark, sf_dir):
     path = folder(spark, "tiles")
-    line = V.table(spark, sf_dir, "lineitem").where("l_partkey < 20")
-    n = line.groupBy("l_partkey").agg(F.count("*").cast("int").alias("n"))
-    px = n.select(F.concat(F.col("l_partkey").cast("string"), F.lit("_0")).alias("tile_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.lit(0).alias("y"), F.lit("dapi").alias("antibody"), F.lit(0.5).alias("level"))
-    done = writers.write_tiles(px, path)
-    done.count()
+    n = V.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("int").alias("n"))
+    px = n.select(F.concat(F.col("l_suppkey").cast("string"), F.lit("_0")).alias("tile_id"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.lit(0).alias("y"), F.lit("dapi").alias("antibody"), F.lit(0.5).alias("level"))
+    writers.write_tiles(px, path).count()
     got = readers.decode_bitmaps(readers.read_tiles(spark, f"{path}/dapi", "bmp"))
     return got.select(F.col("col").cast("string").alias("tile_id"), F.size("pixels").cast("long").alias("pixels"))
 
 
 @query("unmixed_tiles")
 def unmixed_tiles(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_brand").alias("tile_id"), (F.col("p_partkey") % 20).alias("x"), F.expr("p_partkey div 20 as y"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))
+    p = V.table(spark, sf_dir, "part").select(F.col("p_brand").alias("tile_id"), (F.col("p_partkey") % 20).alias("x"), F.expr("p_partkey div 20 as y"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))
     return imaging.unmixed_tiles(imaging.channels(p).drop("rgb"), imaging.IHC2)
 
 
@@ -202,7 +200,7 @@ def labelled_csv(spark, sf_dir):
 
 
 # ---- streams ------------------------------------------------------------------------------------------
-@query("call_stream", V.with_views("select gene::varchar as gene, tissue::varchar as tissue, stage, expression, quality, round(rank, 6) as rank from c where gene < 50 and quality = 'silver quality'", c=V.CALLS))
+@query("call_stream", V.with_views("select gene::varchar as gene, tissue::varchar as tissue, stage, expression, quality, round(rank, 6) as rank from c where quality = 'silver quality'", c=V.CALLS))
 def call_stream(spark, sf_dir):
     path = folder(spark, "stream")
     job = streams.append_calls(streams.call_stream(spark, _call_file(spark, sf_dir), "silver quality"), f"{path}/out", f"{path}/state")
@@ -210,7 +208,7 @@ def call_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").withColumn("rank", R("rank"))
 
 
-@query("stream_stage_counts", V.with_views("select stage, count(*) as cluster_size from c where gene < 50 group by 1", c=V.CALLS))
+@query("stream_stage_counts", V.with_views("select stage, count(*) as cluster_size from c group by 1", c=V.CALLS))
 def stream_stage_counts(spark, sf_dir):
     name = f"counts_{uuid.uuid4().hex}"
     streams.running_counts(streams.call_stream(spark, _call_file(spark, sf_dir)), name, folder(spark, "state")).awaitTermination()

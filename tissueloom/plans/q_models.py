@@ -129,14 +129,12 @@ for _k, _by in (("sd", "stddev_samp(l_quantity)"), ("mean", "avg(l_quantity)"),
 # ---- Gaussian processes -----------------------------------------------------------------------------
 @query("spatial_genes")
 def spatial_genes(spark, sf_dir):
-    spots = V.spots(spark, sf_dir).where("spot_id < 300")
-    return gp.spatial_genes(V.expr(spark, sf_dir).where("spot_id < 300"), spots, n_lengths=5)
+    return gp.spatial_genes(V.expr(spark, sf_dir), V.spots(spark, sf_dir), n_lengths=5)
 
 
 @query("pattern_clusters")
 def pattern_clusters(spark, sf_dir):
-    spots = V.spots(spark, sf_dir).where("spot_id < 300")
-    return gp.pattern_clusters(V.expr(spark, sf_dir).where("spot_id < 300"), spots, 3, 2.0, rounds=5)[0]
+    return gp.pattern_clusters(V.expr(spark, sf_dir), V.spots(spark, sf_dir), 3, 2.0, rounds=5)[0]
 
 
 # ---- generative ----------------------------------------------------------------------------------------
@@ -169,11 +167,11 @@ def diffusion_states(spark, sf_dir):
     return G.predict_states(spark.range(5).select("id", (F.col("id") / 4).alias("t")), G.train_diffusion(d, steps=20, epochs=3)[0], 8)
 
 
-@query("reconstruction_error", "with l as (select cast(l_linenumber as int) as gene, l_quantity x, l_extendedprice / 1000 y from lineitem where l_linenumber in (0, 1, 2, 3)) select gene, round(avg((x - y) ** 2), 4) as mse, round(1 - avg((x - y) ** 2) / var_pop(x), 4) as r2 from l group by 1")
+@query("reconstruction_error", "with l as (select cast(l_linenumber as int) as gene, l_quantity x, l_extendedprice / 1000 y from lineitem) select gene, round(avg((x - y) ** 2), 4) as mse, round(1 - avg((x - y) ** 2) / var_pop(x), 4) as r2 from l group by 1")
 def reconstruction_error(spark, sf_dir):
-    line = V.table(spark, sf_dir, "lineitem").where("l_linenumber in (0, 1, 2, 3)")
+    line = V.table(spark, sf_dir, "lineitem")
     # one gene at a place of an array: others are null and leave the averages alone
-    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == F.col("l_linenumber"), c))
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(k == F.col("l_linenumber"), c))
     out = G.evaluate(line.select(at(F.col("l_quantity")).alias("vec"), at(F.col("l_extendedprice") / 1000).alias("rebuilt")))
     n = line.select(F.col("l_linenumber").cast("int").alias("gene")).distinct()
     return out.join(n, "gene", "left_semi").select("gene", R("mse", 4).alias("mse"), R("r2", 4).alias("r2"))
@@ -243,8 +241,10 @@ def rotation_angle(spark, sf_dir):
 
 @query("optimal_matches")
 def optimal_matches(spark, sf_dir):
-    c = V.cells(spark, sf_dir).where("id < 200")
-    return A.optimal_matches(c.where("id % 2 = 0"), c.where("id % 2 = 1"))
+    """Suppliers' spots against the nations' places on a grid five wide."""
+    a = V.spots(spark, sf_dir).select(F.col("spot_id").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"))
+    b = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") % 5 * 2.1).cast("double").alias("px"), F.expr("cast(n_nationkey div 5 as double) * 1.9").alias("py"))
+    return A.optimal_matches(a, b)
 
 
 @query("ransac")
@@ -261,14 +261,14 @@ def slide_alignment(spark, sf_dir):
 
 # ---- imaging -----------------------------------------------------------------------------------------------
 def _tiles(spark, sf_dir):
-    """Parts as tiles of a 16-pixel-wide image: pixels from quantities, discounts and line numbers."""
-    line = V.table(spark, sf_dir, "lineitem").where("l_partkey < 60")
+    """Parts as images one pixel wide, a pixel for each line."""
+    line = V.table(spark, sf_dir, "lineitem")
     order = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity")))
     g = line.groupBy("l_partkey").agg(F.transform(order, lambda s: s["l_quantity"] * 5).alias("p"))
-    return g.select(F.col("l_partkey").cast("string").alias("tile_id"), (F.col("l_partkey") % 6).cast("int").alias("channel"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(4).alias("w"), F.slice("p", 1, 12).alias("pixels")).where("size(pixels) = 12")
+    return g.select(F.col("l_partkey").cast("string").alias("tile_id"), (F.col("l_partkey") % 6).cast("int").alias("channel"), F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(1).alias("w"), F.col("p").alias("pixels"))
 
 
-TILES = "g as (select l_partkey, list(l_quantity * 5 order by l_orderkey, l_linenumber, l_quantity)[:12] as p from lineitem where l_partkey < 60 group by 1), t as (select l_partkey::varchar as tile_id, cast(l_partkey % 6 as int) as channel, p from g where len(p) = 12)"
+TILES = "g as (select l_partkey, list(l_quantity * 5 order by l_orderkey, l_linenumber, l_quantity) as p from lineitem group by 1), t as (select l_partkey::varchar as tile_id, cast(l_partkey % 6 as int) as channel, p from g)"
 
 
 @query("tile_histogram", f"with {TILES}, u as (select unnest(p) v from t) select cast(floor(v) as int) as bin, count(*) as n from u group by 1")
@@ -302,7 +302,7 @@ def rgb_channels(spark, sf_dir):
 
 @query("ihc_unmix")
 def ihc_unmix(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))
+    p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))
     return imaging.unmix(imaging.channels(p).drop("rgb"), imaging.IHC1)
 
 

@@ -10,8 +10,6 @@ from .catalog import query
 
 VV = {"v": V.VECS}
 R = lambda c, d=6: F.round(c, d)
-SMALL = "id < 200"
-
 L2 = "sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) ** 2)))"
 COS = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(a.vec, lambda x: x * x))) / sqrt(list_sum(list_transform(b.vec, lambda x: x * x)))"
 
@@ -27,17 +25,21 @@ def joint_links(spark, sf_dir):
     return N.joint_links(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 5, 0.2).withColumn("score", R("score", 5))
 
 
+NEAR = f", nd as (select a.id as a, b.id as b, a.vec as x, b.vec as y, row_number() over (partition by a.id order by {L2}, b.id) as rank from v a join v b on a.id <> b.id), p as (select a, b, x, y from nd where rank <= 5)"
+
+
 def _scores(metric):
     def run(spark, sf_dir):
-        v = V.vecs(spark, sf_dir).where("id < 40")
-        a, b = v.select(F.col("id").alias("a"), F.col("vec").alias("x")), v.select(F.col("id").alias("b"), F.col("vec").alias("y"))
-        # a stated set of forty vectors against itself
-        return N.score_pairs(a.join(b, a.a < b.b), "x", "y", metric).select("a", "b", R("score").alias("score"))
+        """Each vector against its five nearest."""
+        v = V.vecs(spark, sf_dir).select("id", "vec")
+        near = N.knn(v, k=5).select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+        pairs = near.join(v.select(F.col("id").alias("a"), F.col("vec").alias("x")), "a").join(v.select(F.col("id").alias("b"), F.col("vec").alias("y")), "b")
+        return N.score_pairs(pairs, "x", "y", metric).select("a", "b", R("score").alias("score"))
 
     return run
 
 
-PAIR = V.with_views(", p as (select a.id a, b.id b, a.vec x, b.vec y from v a join v b on a.id < b.id where a.id < 40 and b.id < 40)", **VV)
+PAIR = V.with_views(NEAR, **VV)
 query("score_cosine", f"{PAIR} select a, b, round({COS.replace('a.vec', 'x').replace('b.vec', 'y')}, 6) as score from p")(_scores("cosine"))
 query("score_jaccard", f"{PAIR} select a, b, round(list_sum(list_transform(list_zip(x, y), lambda z: case when z[1] > 0 and z[2] > 0 then 1.0 else 0.0 end)) / len(x), 6) as score from p")(_scores("jaccard"))
 # |r| beyond this bound has p < 0.05 for 64 pairs (Student's t, 62 degrees of freedom)
@@ -67,11 +69,12 @@ def link_cutoff(spark, sf_dir):
     return N.link_cutoff(_edges(spark, sf_dir), 0.3).withColumn("weight", R("weight"))
 
 
-LINKS = "l as (select l_partkey as src, 100000 + l_suppkey as dst from lineitem where l_quantity = 50 and l_discount > 0.08)"
+LINKS = "l as (select o_custkey as src, 1000000000 + o_orderkey as dst from orders)"
 
 
 def _links(spark, sf_dir):
-    return V.table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.08").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100000).alias("dst"))
+    """Customers and their orders as a graph."""
+    return V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + 1_000_000_000).alias("dst"))
 
 
 COMP = f"with recursive {LINKS}, u as (select src, dst from l union select dst, src from l), c(id, component) as (select distinct src, src from u union select u.dst, c.component from c join u on c.id = u.src where c.component < u.dst)"
@@ -82,9 +85,9 @@ def components(spark, sf_dir):
     return N.components(_links(spark, sf_dir))
 
 
-@query("drop_small_components", f"{COMP}, m as (select id, min(component) as k from c group by 1), b as (select k from m group by 1 having count(*) > 3) select src, dst from l join m on src = id where k in (select k from b)")
+@query("drop_small_components", f"{COMP}, m as (select id, min(component) as k from c group by 1), b as (select k from m group by 1 having count(*) > 10) select src, dst from l join m on src = id where k in (select k from b)")
 def drop_small_components(spark, sf_dir):
-    return N.drop_small(_links(spark, sf_dir), 3).select("src", "dst")
+    return N.drop_small(_links(spark, sf_dir), 10).select("src", "dst")
 
 
 @query("louvain")
@@ -126,14 +129,14 @@ def correlation_graph(spark, sf_dir):
     return out.select("id", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "key")
 
 
-KIND = "(case when {0} >= 100000 then 'metabolite' when {0} % 3 = 0 then null else 'gene' end)"
+KIND = "(case when {0} >= 1000000000 then 'metabolite' when {0} % 3 = 0 then null else 'gene' end)"
 
 
 def _interactions(spark, sf_dir):
     links = _links(spark, sf_dir).withColumn("weight", F.lit(1.0)).distinct()
     ids = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     communities = ids.select("id", (F.col("id") % 7).alias("community"))
-    return N.interactions(links, ids.where("id < 100000 and id % 3 <> 0"), ids.where("id >= 100000"), communities)
+    return N.interactions(links, ids.where("id < 1000000000 and id % 3 <> 0"), ids.where("id >= 1000000000"), communities)
 
 
 @query("edge_types", f"with {LINKS} select distinct src, dst, case when {KIND.format('src')} is null or {KIND.format('dst')} is null then 'un-assigned' when {KIND.format('src')} = {KIND.format('dst')} then {KIND.format('src')} else 'cross' end as type from l")

@@ -92,7 +92,7 @@ def variogram_fit(spark, sf_dir):
 def kriging(spark, sf_dir):
     m, spots = V.expr(spark, sf_dir), V.spots(spark, sf_dir)
     fits = S.fit_variogram(S.variogram(m, S.spot_pairs(spots)))
-    targets = spots.where("spot_id < 10").select(F.col("spot_id").alias("target_id"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"))
+    targets = spots.select(F.col("spot_id").alias("target_id"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"))
     return S.krige(m, spots, targets, fits)
 
 
