@@ -76,5 +76,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_bpe, op4_secrets, op5_line_dedup, op6_quality, op7_warc, op8_ngram_jaccard, op9_url_filter, op10_license_scan)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def url_sql() -> str:
+    """The rules and globs of operator 9, as conditions on host and path."""
+    import re
+
+    from .urls import BLOCK_GLOBS, RULES
+
+    fits = lambda h, p: f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
+    rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in longest)
+    verdict = " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in longest)
+    glob = lambda g: "".join({"*": ".*", "~": "[^/]*"}.get(c, re.escape(c)) for c in g)
+    blocked = " or ".join(f"regexp_full_match('.' || host || path, '{glob(g)}', 's')" for g in BLOCK_GLOBS)
+    return (
+        "with a as (select page_id, case when contains(url, '://') then regexp_extract(substr(url, position('://' in url) + 3), '^[^?#]*') else '' end as rest from pages), "
+        f"b as (select page_id, regexp_extract(rest, '^[^/]*') as raw, rest from a), c as (select page_id, translate(raw, '{UPPER}', '{LOWER}') as host, substr(rest, length(raw) + 1) as path from b) "
+        f"select page_id, host, path, case {rule} end as rule, case {verdict} when {blocked} then 'block' else 'allow' end as verdict from c"
+    )
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUARTET = " || ".join(f"substr('{BASE32}', cast(((('0x' || substr(h, g * 5 + 1, 5))::bigint >> {s}) & 31) + 1 as int), 1)" for s in (15, 10, 5, 0))
+WARC_SQL = (
+    "with a as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages), b as (select *, min(page_id) over (partition by body) as first from a) "
+    f"select page_id, cast(strlen(body) as bigint) as payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: {_QUARTET}), '') as payload_digest, "
+    "case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type, case when page_id is distinct from first then first end as refers_to from b"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": WARC_SQL, "op9_url_filter": url_sql()}
