@@ -122,3 +122,15 @@ def embedding_columns(df: DataFrame, vec: str, n: int, prefix: str) -> DataFrame
 def remainder(theta: DataFrame, members: list) -> DataFrame:
     """Per pixel the members' shares, and what they leave of 1."""
     return theta.groupBy("pixel").agg(*(F.sum(F.when(F.col("topic") == m, F.col("p")).otherwise(0.0)).alias(f"t{k}") for k, m in enumerate(members)), (1 - F.sum(F.when(F.col("topic").isin(members), F.col("p")).otherwise(0.0))).alias("other"))
+
+
+def velocity(points: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Arrows of a velocity plot: where each begins and ends, and its class."""
+    return points.select("x", "y", (F.col("x") + scale * F.col("vx")).alias("x_end"), (F.col("y") + scale * F.col("vy")).alias("y_end"), "class")
+
+
+def pie_slices(theta: DataFrame, spots: DataFrame) -> DataFrame:
+    """Slices of each spot's pie, in topic order: the angles where they begin and end (turns)."""
+    w = W.partitionBy("pixel").orderBy("topic").rowsBetween(W.unboundedPreceding, 0)
+    cut = theta.withColumn("stop", F.sum("p").over(w))
+    return cut.join(spots.select(F.col("spot_id").alias("pixel"), "x", "y"), "pixel").select("pixel", "x", "y", "topic", (F.col("stop") - F.col("p")).alias("start"), "stop")

@@ -233,3 +233,17 @@ def second_difference_knee(curve: DataFrame) -> DataFrame:
     w = W.orderBy("x")
     d = curve.withColumn("bend", F.lead("p").over(w) + F.lag("p").over(w) - 2 * F.col("p")).where("bend is not null")
     return d.orderBy(F.desc("bend"), "x").limit(1).select("x", "bend")
+
+
+def preprocess(m: DataFrame, genes: DataFrame | None = None, min_lib: float = 1, min_reads: float = 1, min_detected: int = 1, drop_top: int = 0, drop_pattern: str | None = None, above: float = 1.0, below: float = 0.05, n_top: int | None = None) -> DataFrame:
+    """Chosen genes, clean counts, without the most expressed, without a pattern, within presence bounds, overdispersed.
+
+    Spots that end without a count go; each step sees what the one before left.
+    """
+    if genes is not None:
+        m = m.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    m = clean_counts(m, min_lib, None, min_reads, min_detected)
+    m = drop_top_expressed(m, drop_top) if drop_top else m
+    m = drop_matching(m, drop_pattern) if drop_pattern else m
+    m = restrict_corpus(m, above, below, n_top) if n_top else presence_filter(m, above, below)
+    return m.join(m.groupBy("spot_id").agg(F.sum("value").alias("_n")).where("_n > 0").select("spot_id"), "spot_id", "left_semi")

@@ -174,3 +174,35 @@ def nrmse(df: DataFrame, obs: str, pred: str, kind: str = "sd") -> DataFrame:
     return df.agg(F.round(F.try_divide(rmse, by), 3).alias("nrmse"))
 
 
+
+
+#: Most reference profiles that a deconvolution holds in every task.
+MAX_PROFILES = 1000
+
+
+def reference_shares(m: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Each spot as non-negative parts of reference profiles (kind, gene_id, p): (spot_id, kind, share, residual).
+
+    Genes that a spot or a profile lacks are 0; shares sum to 1 unless all are 0.
+    """
+    from ..functions.numeric import nnls
+
+    table = profiles.toPandas().pivot(index="gene_id", columns="kind", values="p").fillna(0.0).sort_index()
+    if table.shape[1] > MAX_PROFILES or table.shape[0] > MAX_TERMS:
+        raise ValueError("too many reference profiles or genes")
+    at, kinds, a = {g: i for i, g in enumerate(table.index)}, [str(k) for k in table.columns], table.to_numpy(float)
+    known = m.join(F.broadcast(profiles.select("gene_id").distinct()), "gene_id", "left_semi")
+    rows = known.groupBy("spot_id").agg(F.collect_list("gene_id").alias("g"), F.collect_list("value").alias("v"))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for spot, g, v in zip(f["spot_id"], f["g"], f["v"], strict=True):
+                b = np.zeros(len(at))
+                b[[at[x] for x in g]] = v
+                x = nnls(a, b)
+                left = float(((b - a @ x) ** 2).sum() / max((b**2).sum(), 1e-300))
+                out += [(spot, k, s, left) for k, s in zip(kinds, x / (x.sum() or 1.0), strict=True)]
+            yield pd.DataFrame(out, columns=["spot_id", "kind", "share", "residual"])
+
+    return rows.mapInPandas(run, "spot_id long, kind string, share double, residual double")

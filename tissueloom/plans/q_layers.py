@@ -131,3 +131,16 @@ for _n, _k, _p in (("pca_annotation", 5, "pc"), ("umap_annotation", 2, "axis")):
 def topic_remainder(spark, sf_dir):
     theta = M.library_share(V.expr(spark, sf_dir)).select(F.col("spot_id").alias("pixel"), F.col("gene_id").alias("topic"), F.col("value").alias("p"))
     return L.remainder(theta, ["Brand#1", "Brand#2"]).select("pixel", R("t0").alias("t0"), R("t1").alias("t1"), R("other").alias("other"))
+
+
+@query("velocity_arrows", V.with_views("select px as x, py as y, px + 2 * (area - 25) as x_end, py + 2 * ratio as y_end, tile as class from c", c=V.CELLS))
+def velocity_arrows(spark, sf_dir):
+    c = V.cells(spark, sf_dir).select(F.col("px").alias("x"), F.col("py").alias("y"), (F.col("area") - 25).alias("vx"), F.col("ratio").alias("vy"), F.col("tile").alias("class"))
+    return L.velocity(c, 2.0)
+
+
+@query("pie_slices", V.with_views(", l as (select spot_id, sum(value) lib from e group by 1), t as (select spot_id as pixel, gene_id as topic, value / lib as p from e join l using (spot_id)), w as (select *, sum(p) over (partition by pixel order by topic rows unbounded preceding) as stop from t) select pixel, x, y, topic, round(stop - p, 6) as start, round(stop, 6) as stop from w join s on spot_id = pixel", **ES))
+def pie_slices(spark, sf_dir):
+    theta = M.library_share(V.expr(spark, sf_dir)).select(F.col("spot_id").alias("pixel"), F.col("gene_id").alias("topic"), F.col("value").alias("p"))
+    out = L.pie_slices(theta, V.spots(spark, sf_dir))
+    return out.withColumns({"start": R("start"), "stop": R("stop")})

@@ -161,3 +161,16 @@ def rare_topics(spark, sf_dir):
 def knee(spark, sf_dir):
     curve = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg((F.sum("l_extendedprice") / 1e6).alias("p"))
     return M.second_difference_knee(curve).select("x", R("bend").alias("bend"))
+
+
+@query(
+    "preprocess",
+    V.with_views(
+        ", a as (select e.* from e semi join (select spot_id from e group by 1 having sum(value) > 100) using (spot_id)), t as (select gene_id from a group by 1 order by sum(value) desc, gene_id limit 2), b as (select * from a anti join t using (gene_id)), "
+        "c as (select * from b where not regexp_matches(gene_id, '#1$')), n as (select count(distinct spot_id) n from c), k as (select gene_id, count(*) filter (value > 0) k from c group by 1), d as (select c.* from c semi join (select gene_id from k, n where k < n * 0.9 and k > n * 0.1) using (gene_id)) "
+        "select gene_id, spot_id, value from d semi join (select spot_id from d group by 1 having sum(value) > 0) using (spot_id)",
+        **H,
+    ),
+)
+def preprocess(spark, sf_dir):
+    return M.preprocess(V.expr_holes(spark, sf_dir), min_lib=100, drop_top=2, drop_pattern="#1$", above=0.9, below=0.1).select("gene_id", "spot_id", "value")

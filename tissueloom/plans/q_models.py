@@ -326,3 +326,9 @@ def slide_render(spark, sf_dir):
     return render_slide(p, "dapi", 4.0).withColumn("mean", R("mean"))
 
 
+
+
+@query("reference_shares")
+def reference_shares(spark, sf_dir):
+    profiles = V.expr(spark, sf_dir).groupBy((F.col("spot_id") % 3).cast("string").alias("kind"), "gene_id").agg(F.avg("value").alias("p"))
+    return T.reference_shares(V.expr(spark, sf_dir), profiles)

@@ -156,3 +156,14 @@ COLORS = ["red", "green", "blue"]
 def cluster_colors(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
     return N.cluster_colors(c, COLORS, 60)
+
+
+@query("manifold_graph")
+def manifold_graph(spark, sf_dir):
+    return N.manifold_graph(V.vecs(spark, sf_dir).select("id", "vec"))
+
+
+@query("mutual_links", V.with_views(f", x as (select * from v where id % 2 = 0), y as (select * from v where id % 2 = 1), d as (select a.id as id_x, b.id as id_y, {L2} as distance from x a join y b on true), r as (select *, row_number() over (partition by id_x order by distance, id_y) p, row_number() over (partition by id_y order by distance, id_x) q from d) select id_x, id_y, round(distance, 5) as distance from r where p <= 5 and q <= 5", **VV))
+def mutual_links(spark, sf_dir):
+    v = V.vecs(spark, sf_dir)
+    return N.mutual_links(v.where("id % 2 = 0"), v.where("id % 2 = 1")).withColumn("distance", R("distance", 5))
