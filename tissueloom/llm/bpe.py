@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 #: Characters of text in one block; a longer text is a block of its own.
-BLOCK_CHARS = 28_000_000
+BLOCK_CHARS = 14_000_000
 #: Hash buckets for each shuffle partition; a task holds the distinct words of one bucket at a time.
 BUCKETS = 4
 
@@ -150,12 +150,13 @@ def _blocks(pattern: str, block_chars: int, buckets: int):
             nonlocal held, chars, seq
             # frequent words get small numbers, which pack well
             every = np.concatenate([ids for _, ids in held])
-            words = [w.encode() for w in split.number]
+            words = list(split.number)
+            split.reset()
             count = np.bincount(every, minlength=len(words))
             order = np.argsort(-count, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            words = [words[i] for i in order]
+            words = [words[i].encode() for i in order]
             home = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.uint32, len(words))
             doc_ids = [d for d, _ in held]
             known = np.array([0 if d is None else int(d) for d in doc_ids], "<i8")
@@ -169,7 +170,6 @@ def _blocks(pattern: str, block_chars: int, buckets: int):
             for own in np.split(by_home, cuts) if len(words) else []:
                 rows.append((block, int(home[own[0]]), bundle([words[i] for i in own])))
             held, chars, seq = [], 0, seq + 1
-            split.reset()
             return pd.DataFrame(rows, columns=["block", "bucket", "data"]).astype({"bucket": "Int32"})
 
         for frame in frames:
@@ -177,6 +177,7 @@ def _blocks(pattern: str, block_chars: int, buckets: int):
                 text = clean(text)
                 if held and chars + len(text) > block_chars:
                     yield flush()
+                    give_back()
                 held.append((None if pd.isna(doc_id) else doc_id, split.numbers(text)))
                 chars += len(text)
         if held:
@@ -243,6 +244,8 @@ def _reassemble(path: str, keep_ids: bool):
             pieces.append(unpack(ids, int(sizes.sum())))
             at += n
         flat = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
+        del pieces
+        give_back()
         begin = np.empty(n_words, np.int64)
         begin[by_home] = np.cumsum(size[by_home]) - size[by_home]
         out, at = [], 0

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python, so that very long texts stay within a worker's memory.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +80,15 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in fields])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system (glibc keeps it otherwise), after work on large pieces."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column as Python strings; null reads as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
@@ -104,3 +117,30 @@ def with_column(batch: pa.RecordBatch, name: str, values) -> pa.RecordBatch:
     columns = list(batch.columns)
     columns[k] = pa.array(values, batch.schema.field(k).type)
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
+#: Bits of a membership bitmap: its size is the same whatever it is made from.
+BITMAP = 1 << 25
+
+
+def thinned(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``column`` is not among ``keys`` (one column): it loses no row that is.
+
+    The keys' hashes set bits of a bitmap of fixed size (4 MB), which goes to all tasks. Where
+    keys are so many that it fills up, fewer rows go; an exact join follows in any case.
+    """
+    bounded_batches(df.sparkSession)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    bits = keys.select(place(keys.columns[0]).alias("h")).select(F.expr("h div 32 as w"), F.expr("shiftleft(1L, int(h % 32)) as b"))
+    words = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(BITMAP // 32, np.uint32)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            hit = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(hit.astype(bool)))
+
+    return df.withColumn("_place", place(column)).mapInArrow(run, df.schema)
