@@ -56,9 +56,6 @@ def brute_leaks(docs, items):
                 continue
             sh = lambda w: {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
             wanted = sh(need)
-            # passages of the strides that any block of these items could have
-            for n in {D.stride_of(k) for k in range(len(need), 200)}:
-                pass
             k = min(5, len(need))
             have = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
             if len(wanted & have) >= 0.8 * len(wanted):
@@ -219,7 +216,7 @@ def test_secrets_base_and_added(spark, real, odd, empty):
     pool = ["token", "PassWord", "api_key", "=", ":", " ", '"', "'", "abc123", "deadbeef", "AKIA", "ABCDEFGHIJ0123456789", "ſecret", "+", "\n"]
     noise = [(100 + k, "".join(rng.choice(pool, 40))) for k in range(300)]
     code = 'K = "hunter2Xy9$Q"\ndb_pwd: K\nauthToken := "abc" + "DEF123" + "xyz987"\n{"public_key": "AAAABBBBCCCCDDDD1"}\nname: Jonathan\nif (a == "b") http://x'
-    frame = docs_frame(spark, [*noise, (1, code)]).unionByName(odd.where("doc_id <> 1")).unionByName(real.withColumns({c: odd_null(c) for c in odd.columns if c not in real.columns}))
+    frame = docs_frame(spark, [*noise, (9001, code)]).unionByName(odd).unionByName(real.withColumns({c: odd_null(c) for c in odd.columns if c not in real.columns}))
     got = defaultdict(set)
     for r in find_secrets(frame).collect():
         got[(r["doc_id"], r["base_sha256"], r["n_assign"] + r["n_access"] + r["n_hex"])].add(r["spans"])
@@ -228,7 +225,7 @@ def test_secrets_base_and_added(spark, real, odd, empty):
         key = (r["doc_id"], hashlib.sha256(base.encode()).hexdigest(), len(base.split(",")) if base else 0)
         assert any(set(base.split(",")) - {""} <= set(s.split(",")) for s in got[key])
     # the propagated constant and the concatenation are added, the public key is not
-    texts = [code[int(s.split(":")[1]) : int(s.split(":")[2])] for s in next(v for k, v in got.items() if k[0] == 1 and k[2] == 0).pop().split(",")]
+    texts = [code[int(s.split(":")[1]) : int(s.split(":")[2])] for s in next(v for k, v in got.items() if k[0] == 9001).pop().split(",")]
     assert texts == ["db_pwd: K", 'authToken := "abc" + "DEF123" + "xyz987"']
     assert dict((n, v) for n, v, _, _ in pairs(code))["db_pwd"] == "hunter2Xy9$Q"
     assert find_secrets(empty).count() == 0
@@ -285,14 +282,15 @@ def test_quality_counts(spark, real, odd, empty):
 
 
 def test_fertility_bands():
-    from tissueloom.llm.quality import Fertility, accepted, default_vocabularies, main_script
+    from tissueloom.llm.quality import Fertility, accepted, default_vocabularies, main_script, words_of
 
     fert = Fertility(*default_vocabularies())
+    measure = lambda t: fert.measure(t, words_of(t))
     prose = "The committee met on Tuesday to discuss the harbour wall, and nobody could agree on who should pay for it. " * 2
     runes = "".join(chr(0x16A0 + k % 70) for k in range(400))
     noise = "zq xj vk " * 300
-    assert accepted("LATIN", *fert.measure(prose))
-    assert not accepted("LATIN", *fert.measure(noise)) and not accepted("LATIN", *fert.measure(runes))
+    assert accepted("LATIN", *measure(prose))
+    assert not accepted("LATIN", *measure(noise)) and not accepted("LATIN", *measure(runes))
     assert (main_script("abc где"), main_script("где"), main_script("123"), main_script("日本")) == ("CYRILLIC", "CYRILLIC", "OTHER", "CJK")
 
 
