@@ -64,9 +64,13 @@ def scale_range(m: DataFrame, by: str = "gene_id", low: float = 0.0, high: float
 
 
 def densify(m: DataFrame) -> DataFrame:
-    """All gene x spot pairs, absent ones 0: gene and spot lists are aggregated, not the pairs."""
-    genes, spots = m.select("gene_id").distinct(), m.select("spot_id").distinct()
-    every = genes.withColumn("_k", F.lit(1)).join(spots.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """All gene x spot pairs, absent ones 0.
+
+    The genes (a dimension: one array in one row) go to the spots, so that pairs are made where
+    the spots are and no key gathers them.
+    """
+    genes = m.agg(F.sort_array(F.collect_set("gene_id")).alias("_g"))
+    every = m.select("spot_id").distinct().join(F.broadcast(genes)).select(F.explode("_g").alias("gene_id"), "spot_id")
     return every.join(m, ["gene_id", "spot_id"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
