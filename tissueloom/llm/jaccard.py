@@ -10,9 +10,11 @@ each a band gets is chosen by cost. Segments that hold nothing would gather ever
 not indexed, and each band has spare segments for them. A set that has more of them than that
 (it is rare) indexes them all the same, so nothing is lost: see ``Plan``.
 
-Sets that share an indexed segment are candidates. They are compared with the first of their
-bucket only; those still unlinked to it are then compared with the rest of the bucket. Links are
-verified on the shingles of the texts themselves.
+Sets that share an indexed segment are candidates. They are first compared with the hub of their
+bucket only: the set that shares the most segments, as an original does among its edited copies.
+What is still unlinked to the hub is then compared with the other components of the bucket, as
+far as sizes and parity sketches allow a link: first along a forest of them, then all that are
+left. Links are verified on the shingles of the texts themselves.
 """
 
 from __future__ import annotations
@@ -27,19 +29,21 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .common import map_rows, staged, texts
+from .common import map_rows, staged, texts, thinned
 from .graph import components
 
 # --- fixed values: the contract ---------------------------------------------------------------
 WORDS, PERCENT = 4, 85
 # -----------------------------------------------------------------------------------------------
 #: Ratio of the bands' bounds; at least 100 / PERCENT, so that links reach the next band at most.
-RATIO = 1.5
+RATIO = 2.0
 #: Share of a band's sets that may have more empty segments than it has spare ones.
 RARE = 1e-3
-#: Bits of a set's parity sketch; two sketches differ in no more bits than their sets in shingles.
-SKETCH = 512
+#: Bits of a set's parity sketch for each shingle, and the fewest and most in all (as powers of two).
+#: Two sketches differ in no more bits than their sets in shingles, whatever their lengths.
+SKETCH, SKETCH_LEAST, SKETCH_MOST = 2, 8, 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,7 +67,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -116,11 +120,13 @@ class Plan:
     """A band's segments: ``m`` in all, of which the first ``near`` index one-deletion neighbourhoods.
 
     A segment absorbs as many differences as it has value (1, or 2 with neighbourhoods) before it
-    stops being found. The values sum to U + 1 + spare. A set loses the value of its empty
-    segments, and 1 for a single shingle in a neighbourhood segment (its deletion is empty). A
-    pair loses no more than the smaller loss of its two sets. So if either set's loss is within
-    ``spare``, some indexed segment is shared; if neither's is, both index their empty segments
-    too and nothing is lost.
+    stops being found. A set indexes a subset of them: the first ones, until their values sum to
+    1 + spare more than its own largest difference to a linked set. Two linked sets both index
+    the shorter of their subsets, which suffices. A set loses the value of its empty segments,
+    and 1 for a single shingle in a neighbourhood segment (its deletion is empty). A pair loses
+    no more than the smaller loss of its two sets. So if either set's loss is within ``spare``,
+    some indexed segment is shared; if neither's is, both index their empty segments too and
+    nothing is lost.
     """
 
     m: int
@@ -128,8 +134,21 @@ class Plan:
     spare: int
 
 
+def reach(sizes: np.ndarray, hi: int, percent: int = PERCENT) -> np.ndarray:
+    """Of sets of these sizes, the largest difference to a linked set of at most ``hi`` shingles."""
+    return (100 - percent) * (sizes + np.minimum(hi, 100 * sizes // percent)) // (100 + percent)
+
+
+def subset(sizes: np.ndarray, hi: int, near: int, spare: int, percent: int = PERCENT) -> np.ndarray:
+    """How many segments sets of these sizes index."""
+    need = reach(sizes, hi, percent) + 1 + spare
+    return np.maximum(need - near, -(-need // 2))
+
+
 def _tail(mean: float, most: int) -> float:
-    """Poisson probability of more than ``most``."""
+    """Poisson probability of more than ``most`` (by the normal distribution for large means)."""
+    if mean > 60:
+        return 0.5 * math.erfc((most + 0.5 - mean) / math.sqrt(2 * mean))
     term = total = math.exp(-mean)
     for k in range(1, most + 1):
         term *= mean / k
@@ -145,20 +164,23 @@ def plan_of(k: int, percent: int = PERCENT) -> Plan | None:
     if u == 0:
         return None
     least = max(1, percent * lo // 100)  # the smallest sets that take part have the emptiest segments
-    typical = (least + hi) / 2
+    sizes = np.unique(np.linspace(least, hi, 9).astype(np.int64))
     best = None
     for near in sorted({*range(0, min(u, 8) + 1), u // 4, u // 2, (u + 1) // 2}):
-        for spare in range(0, u + 3):
-            m = u + 1 + spare - near
+        spare = 0
+        while spare < u + 3:
+            m = int(subset(np.array([hi]), hi, near, spare, percent)[0])
             if m < max(1, near):
+                spare += 1
                 continue
-            mean = least / m
-            loss = math.exp(-mean) * (m + near) + near * mean * math.exp(-mean)
+            mean, own = least / m, int(subset(sizes[:1], hi, near, spare, percent)[0])
+            loss = math.exp(-mean) * (own + near) + near * mean * math.exp(-mean)
             if _tail(loss, spare) <= RARE:
-                cost = m + near * typical / m
+                cost = float((subset(sizes, hi, near, spare, percent) + near * sizes / m).mean())
                 if best is None or cost < best[0]:
                     best = (cost, Plan(m, near, spare))
                 break
+            spare = max(spare + 1, int(loss))
     return best[1] if best else Plan(u + 1, 0, 0)
 
 
@@ -175,25 +197,28 @@ def signatures(tokens: list[np.ndarray], nodes: np.ndarray, percent: int = PERCE
         mine = np.flatnonzero(take & (sizes > 0))
         if not len(mine):
             continue
+        first = subset(sizes[mine], band_bounds(k)[1], plan.near, plan.spare, percent)
         flat = np.concatenate([tokens[i] for i in mine])
         owner = np.repeat(np.arange(len(mine)), sizes[mine])
         m = plan.m
         where = mix(flat ^ np.uint64(k * 0x51ED2701 + 7))
         segment = ((where >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        cell = owner * m + segment
+        some = segment < first[owner]
+        where, segment, owner = where[some], segment[some], owner[some]
+        begin = np.cumsum(first) - first
+        cell = begin[owner] + segment
         value = mix(where + _ODD)
-        total = np.zeros(len(mine) * m, np.uint64)
+        total = np.zeros(int(first.sum()), np.uint64)
         np.add.at(total, cell, value)
-        count = np.bincount(cell, minlength=len(mine) * m)
+        count = np.bincount(cell, minlength=len(total))
+        of_set = np.repeat(np.arange(len(mine)), first)
+        number = np.arange(len(total)) - begin[of_set]
         salt = mix(np.arange(1, m + 1, dtype=np.uint64) + np.uint64(k << 32))
-        by_set = count.reshape(-1, m)
-        loss = (by_set == 0).sum(1)
-        if plan.near:
-            loss = loss + (by_set[:, : plan.near] <= 1).sum(1)
-        whole = loss > plan.spare  # these index their empty segments too
-        shown = ((by_set > 0) | whole[:, None]).ravel()
-        sigs.append(mix(total ^ np.tile(salt, len(mine)))[shown])
-        owners.append(np.repeat(nodes[mine], m)[shown])
+        lost = (count == 0).astype(np.int64) + ((number < plan.near) & (count <= 1))
+        whole = np.bincount(of_set, lost, len(mine)) > plan.spare  # these index their empty segments too
+        shown = (count > 0) | whole[of_set]
+        sigs.append(mix(total ^ salt[number])[shown])
+        owners.append(nodes[mine][of_set[shown]])
         if plan.near:
             some = (segment < plan.near) & ((count[cell] > 1) | whole[owner])
             sigs.append(mix((total[cell[some]] - value[some]) ^ salt[segment[some]]))
@@ -202,146 +227,263 @@ def signatures(tokens: list[np.ndarray], nodes: np.ndarray, percent: int = PERCE
 
 
 # ---- the join's steps ------------------------------------------------------------------------------
-def classes(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, node (null without shingles) and n of each row."""
-
-    def make():
-        shingle = Shingler(words)
-
-        def f(b):
-            sets = [shingle(t) for t in texts(b)]
-            return {"doc_id": b.column("doc_id"), "node": [node_of(s) if len(s) else None for s in sets], "n": [len(s) for s in sets]}
-
-        return f
-
-    return map_rows(docs, make, "doc_id long, node long, n long", ["doc_id", "text"])
+ROWS = "sig long, node long, doc_id long, n long, sketch binary"
 
 
 def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The (sig, node) rows of all sets."""
+    """Two kinds of rows: (sig, node) of the indexed segments of all sets with a doc_id, and (sig, node, doc_id, n, sketch) of each document.
+
+    A document's row has n, and a sig that only spreads it; its node is null without shingles.
+    """
 
     def make():
         shingle = Shingler(words)
 
         def f(b):
-            sets = [s for s in (shingle(t) for t in texts(b)) if len(s)]
-            sig, node = signatures(sets, np.array([node_of(s) for s in sets], np.int64), percent)
-            return {"sig": sig, "node": node}
+            doc_ids, nodes, sizes, sketches, parts = b.column("doc_id"), [], [], [], []
+            held, names = [], []
+
+            def flush():
+                parts.append(signatures(held, np.array(names, np.int64), percent))
+                held.clear(), names.clear()
+
+            for text, known in zip(b.column("text"), doc_ids.is_valid().to_pylist(), strict=True):
+                s = shingle(text.as_py())
+                sizes.append(len(s))
+                sketches.append(sketch_of(s))
+                nodes.append(node_of(s) if len(s) else None)
+                if known and len(s):
+                    held.append(s), names.append(nodes[-1])
+                    if sum(map(len, held)) > 200_000:  # some sets at a time, so that a worker stays small
+                        flush()
+            flush()
+            sig, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            spread = mix(np.arange(len(sizes), dtype=np.uint64) + np.uint64(int(sig[0]) & (1 << 62) - 1 if len(sig) else 1)).view(np.int64)
+            none = pa.nulls(len(sig), pa.int64())
+            return {
+                "sig": np.concatenate([sig, spread]),
+                "node": pa.concat_arrays([pa.array(owner, pa.int64()), pa.array(nodes, pa.int64())]),
+                "doc_id": pa.concat_arrays([none, doc_ids.cast(pa.int64())]),
+                "n": pa.concat_arrays([none, pa.array(sizes, pa.int64())]),
+                "sketch": pa.concat_arrays([pa.nulls(len(sig), pa.binary()), pa.array(sketches, pa.binary())]),
+            }
 
         return f
 
-    return map_rows(docs, make, "sig long, node long", ["text"])
+    return map_rows(docs, make, ROWS, ["doc_id", "text"])
+
+
+def _buckets(batches):
+    """Rows sorted by (sig, node): documents pass, of signatures the distinct nodes of buckets of two or more.
+
+    Nothing is held but the last row: whether a row's neighbour has its signature tells enough.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    tail = None  # the last distinct row so far, and whether it went out
+    for b in batches:
+        is_doc = b.column("n").is_valid().to_numpy(zero_copy_only=False)
+        if is_doc.any():
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(is_doc)).columns, schema=schema)
+        rows = b.filter(pa.array(~is_doc))
+        sig, node = rows.column("sig").to_numpy(), rows.column("node").to_numpy()
+        if not len(sig):
+            continue
+        if tail:
+            sig, node = np.r_[tail[0], sig], np.r_[tail[1], node]
+        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[fresh], node[fresh]
+        alike = sig[1:] == sig[:-1]
+        out = np.r_[alike, False] | np.r_[False, alike]
+        sent = bool(tail and tail[2])
+        tail = (sig[-1], node[-1], bool(out[-1]) or (sent and len(sig) == 1))
+        out[0] &= not sent
+        n = int(out.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(node[out]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
 
 
 def _stars(batches):
-    """Rows sorted by (sig, node) -> (sig, hub, node) of each further node of a bucket; the hub is its first."""
-    last_sig = last_node = hub = None
+    """Rows sorted by (sig, falling degree, node) -> (sig, hub, node) of all but the first of a bucket, which is the hub."""
     schema = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+    tail = None
     for b in batches:
         sig, node = b.column("sig").to_numpy(), b.column("node").to_numpy()
         if not len(sig):
             continue
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        same = np.zeros(len(sig), bool)
-        same[1:] = ~new[1:] & (node[1:] == node[:-1])
-        if last_sig is not None and sig[0] == last_sig:
-            new[0], same[0] = False, node[0] == last_node
+        new = np.r_[tail is None or sig[0] != tail[0], sig[1:] != sig[:-1]]
         begin = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        hubs = np.where(begin >= 0, node[np.maximum(begin, 0)], 0 if hub is None else hub)
-        keep = ~new & ~same
-        last_sig, last_node, hub = sig[-1], node[-1], hubs[-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(hubs[keep]), pa.array(node[keep])], schema=schema)
+        hub = np.where(begin >= 0, node[np.maximum(begin, 0)], tail[1] if tail else 0)
+        tail = (sig[-1], hub[-1])
+        if not new.all():
+            yield pa.RecordBatch.from_arrays([pa.array(sig[~new]), pa.array(hub[~new]), pa.array(node[~new])], schema=schema)
+
+
+def hubs(buckets: DataFrame) -> DataFrame:
+    """(sig, hub, node) of each further node of a bucket; the hub is the node in the most buckets (ties: the smallest)."""
+    degree = buckets.groupBy("node").agg(F.count("*").cast("int").alias("degree"))
+    placed = buckets.join(degree, "node").repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node")
+    return placed.select("sig", "node").mapInArrow(_stars, "sig long, hub long, node long")
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    bits = 1 << min(SKETCH_MOST, max(SKETCH_LEAST, (SKETCH * len(tokens) - 1).bit_length()))
+    return np.packbits((np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) folded onto ``size`` words."""
+    while sketches.shape[-1] > size:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def sketch_apart(a: bytes, b: bytes) -> int:
+    """A lower bound on the symmetric difference of two sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """Of each wanted class (node, doc_id of a member): n, sketch and the compressed text of that member."""
-    mine = docs.select("doc_id", "text").join(wanted, "doc_id")
+    """Of each wanted class (node, doc_id of a member) the compressed text of that member: (node, z)."""
+    mine = thinned(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
 
     def make():
         shingle, z = Shingler(words), zstandard.ZstdCompressor(3)
 
         def f(b):
-            rows = []
+            nodes, packed = [], []
             for node, text in zip(b.column("node").to_pylist(), texts(b), strict=True):
                 s = shingle(text)
                 if len(s) and node_of(s) == node:  # rows may share a doc_id
-                    rows.append((node, len(s), sketch_of(s), z.compress(text.encode("utf-8", "surrogatepass"))))
-            cols = zip(*rows, strict=True) if rows else [()] * 4
-            return dict(zip(("node", "n", "sketch", "z"), cols, strict=True))
+                    nodes.append(node), packed.append(z.compress(text.encode("utf-8", "surrogatepass")))
+            return {"node": nodes, "z": packed}
 
         return f
 
-    return map_rows(mine, make, "node long, n int, sketch binary, z binary", ["node", "text"])
+    return map_rows(mine, make, "node long, z binary", ["node", "text"])
 
 
-def verified(pairs: DataFrame, members: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (hub, node) whose texts' shingles link, as edges (a, b)."""
-    right = members.select("node", F.col("n").alias("n_b"), F.col("sketch").alias("s_b"), F.col("z").alias("z_b"))
-    left = members.select(F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"), F.col("z").alias("z_a"))
+def bounded(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (hub, node) that sizes and sketches (node, n, sketch) allow a link to."""
+    right = sketches.select("node", F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    left = sketches.select(F.col("node").alias("hub"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    met = pairs.join(right, "node").join(left, "hub").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def make():
+        def f(b):
+            cols = [b.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")]
+            near = pa.array([sketch_apart(s, t) <= most_apart(m, n, percent) for m, n, s, t in zip(*cols, strict=True)], pa.bool_())
+            return {"hub": b.column("hub").filter(near), "node": b.column("node").filter(near)}
+
+        return f
+
+    return map_rows(met, make, "hub long, node long", ["hub", "node", "n_a", "n_b", "s_a", "s_b"]).repartition("hub")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (hub, node) whose texts' shingles link, as edges (a, b). reps: (node, rep), a member's doc_id."""
+    nodes = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    members = staged(class_texts(docs, reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), words), "jaccard-members")
+    right = members.select("node", F.col("z").alias("z_b"))
+    left = members.select(F.col("node").alias("hub"), F.col("z").alias("z_a"))
     met = pairs.join(right, "node").join(left, "hub")
-    met = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def make():
         shingle, unz = Shingler(words), zstandard.ZstdDecompressor()
         held = [None, None]  # rows of one hub mostly follow each other
 
         def f(b):
-            cols = [b.column(c).to_pylist() for c in ("hub", "node", "n_a", "n_b", "s_a", "s_b", "z_a", "z_b")]
+            cols = [b.column(c).to_pylist() for c in ("hub", "node", "z_a", "z_b")]
             out_a, out_b = [], []
-            for hub, node, n_a, n_b, s_a, s_b, z_a, z_b in zip(*cols, strict=True):
-                apart = (int.from_bytes(s_a, "big") ^ int.from_bytes(s_b, "big")).bit_count()
-                if apart > most_apart(n_a, n_b, percent):
-                    continue
+            for hub, node, z_a, z_b in zip(*cols, strict=True):
                 if held[0] != hub:
                     held[:] = hub, shingle(unz.decompress(z_a).decode("utf-8", "surrogatepass"))
                 other = shingle(unz.decompress(z_b).decode("utf-8", "surrogatepass"))
                 both = len(np.intersect1d(held[1], other, assume_unique=True))
-                if linked(n_a, n_b, both, percent):
+                if linked(len(held[1]), len(other), both, percent):
                     out_a.append(hub), out_b.append(node)
             return {"a": out_a, "b": out_b}
 
         return f
 
-    return map_rows(met, make, "a long, b long", ["hub", "node", "n_a", "n_b", "s_a", "s_b", "z_a", "z_b"])
+    return map_rows(met, make, "a long, b long", ["hub", "node", "z_a", "z_b"]).repartition("a")  # few rows of many tasks
+
+
+class _Held:
+    """Outsiders of a bucket whose sketches have one length: (node, label, n) and sketches, in arrays that double."""
 
+    def __init__(self, size: int):
+        self.count, self.about, self.sketches = 0, np.zeros((4, 3), np.int64), np.zeros((4, size), np.uint64)
 
-def _rest(percent: int):
+    def add(self, node: int, label: int, n: int, sketch: np.ndarray) -> None:
+        if self.count == len(self.about):
+            self.about, self.sketches = np.concatenate([self.about, np.zeros_like(self.about)]), np.concatenate([self.sketches, np.zeros_like(self.sketches)])
+        self.about[self.count], self.sketches[self.count] = (node, label, n), sketch
+        self.count += 1
+
+    def near(self, label: int, n: int, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """(node, label) of those of other labels that sizes and sketches allow a link to."""
+        about = self.about[: self.count]
+        at = np.flatnonzero((about[:, 1] != label) & (100 * np.minimum(about[:, 2], n) >= percent * np.maximum(about[:, 2], n)))
+        size = min(self.sketches.shape[1], len(sketch))
+        apart = np.bitwise_count(folded(self.sketches[at], size) ^ folded(sketch, size)).sum(1)
+        return about[at[apart <= (100 - percent) * (about[at, 2] + n) // (100 + percent)], :2].tolist()
+
+
+def _root(x: int, joined: dict[int, int]) -> int:
+    while joined.get(x, x) != x:
+        x = joined[x]
+    return x
+
+
+def _rest(percent: int, forest: bool):
     """Rows of mixed buckets, sorted by (sig, inside): pairs of an outsider with the bucket's other components.
 
-    Outsiders (not linked to the hub) come first in a bucket; they are held, the others stream by.
-    A pair must pass the bounds of sizes and sketches.
+    Outsiders (not linked to the hub) come first in a bucket; they are held, the others stream
+    by. A pair must pass the bounds of sizes and sketches. With ``forest`` a pair is left out
+    whose components other pairs of the bucket have joined already.
     """
-    schema = pa.schema([("hub", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
-        now, out = None, None
+        now, held, joined = None, {}, {}
         for b in batches:
-            cols = {c: b.column(c).to_pylist() for c in ("sig", "inside", "node", "label", "n", "sketch")}
-            hubs, nodes = [], []
-            for sig, inside, node, label, n, sketch in zip(*cols.values(), strict=True):
+            cols = [b.column(c).to_pylist() for c in ("sig", "inside", "node", "label", "n", "sketch")]
+            pairs = []
+            for sig, inside, node, label, n, sketch in zip(*cols, strict=True):
                 if sig != now:
-                    now, out = sig, []
+                    now, held, joined = sig, {}, {}
                 s = np.frombuffer(sketch, np.uint64)
-                if out:
-                    held = np.array([(x[0], x[1], x[2]) for x in out], np.int64)
-                    near = np.bitwise_count(np.array([x[3] for x in out]) ^ s).sum(1) <= (100 - percent) * (held[:, 2] + n) // (100 + percent)
-                    near &= (held[:, 1] != label) & (100 * np.minimum(held[:, 2], n) >= percent * np.maximum(held[:, 2], n))
-                    for x in held[near, 0].tolist():
-                        hubs.append(min(x, node)), nodes.append(max(x, node))
+                # linked sizes lie within a factor of two, and so do their sketches
+                for size in (len(s) // 2, len(s), 2 * len(s)):
+                    for x, other in held[size].near(label, n, s, percent) if size in held else ():
+                        if forest:
+                            p, q = _root(label, joined), _root(other, joined)
+                            if p == q:
+                                continue
+                            joined[max(p, q)] = min(p, q)
+                        pairs.append((sig, min(x, node), max(x, node)))
                 if not inside:
-                    out.append((node, label, n, s))
-            if hubs:
-                yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], schema=schema)
+                    held.setdefault(len(s), _Held(len(s))).add(node, label, n, s)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
 
     return run
 
 
+def rest_pairs(stars: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(sig, hub, node) pairs that could still join components within buckets."""
+    at_node = sketches.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    at_node = staged(at_node, "jaccard-labels")
+    placed = stars.join(at_node, "node").join(at_node.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
+    placed = staged(placed.select("sig", "node", "label", (F.col("label") == F.col("hub_label")).alias("inside")), "jaccard-placed")
+    mixed = placed.where("not inside").select("sig").distinct()
+    rows = placed.join(mixed, "sig", "left_semi").join(sketches, "node")
+    return rows.repartition("sig").sortWithinPartitions("sig", "inside", "node").mapInArrow(_rest(percent, forest), "sig long, hub long, node long")
+
+
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row.
 
@@ -351,30 +493,33 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     n_shingles and a null component_id and links nothing. Other columns are ignored; an empty
     table gives an empty result.
     """
-    every = staged(classes(docs, words), "jaccard-classes")
+    rows = index(docs, words, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, ROWS)
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # read three times below; what a lost executor held is made again
+    every = staged(rows.where("n is not null").select("doc_id", "node", "n").repartition("doc_id"), "jaccard-documents")
     known = every.where("node is not null and doc_id is not null")
     reps = staged(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
 
-    sorted_index = index(docs.where("doc_id is not null"), words, percent).repartition("sig").sortWithinPartitions("sig", "node")
-    stars = staged(sorted_index.mapInArrow(_stars, "sig long, hub long, node long"), "jaccard-stars")
+    stars = staged(hubs(rows.where("n is null").select("sig", "node")), "jaccard-stars")
     nodes = stars.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-    members = staged(class_texts(docs, reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), words), "jaccard-members")
-
-    first = staged(verified(stars.select("hub", "node").distinct(), members, words, percent), "jaccard-links")
-    labels = components(first)
-
-    # buckets that hold another component than their hub's: the rest of their pairs
-    known_nodes = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    at_node = staged(known_nodes, "jaccard-labels")
-    placed = stars.join(at_node, "node").join(at_node.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
-    placed = placed.select("sig", "node", "label", (F.col("label") == F.col("hub_label")).alias("inside"))
-    placed = staged(placed, "jaccard-placed")
-    mixed = placed.where("not inside").groupBy("sig").agg(F.count("*").alias("outsiders"))
-    rest = placed.join(mixed, "sig", "left_semi").join(members.select("node", "n", "sketch"), "node")
-    rest = rest.repartition("sig").sortWithinPartitions("sig", "inside", "node").mapInArrow(_rest(percent), "hub long, node long").distinct()
-    more = staged(verified(rest, members, words, percent), "jaccard-links")
-    if not more.isEmpty():
-        labels = components(first.unionByName(more))
+    held = rows.where("n is not null and doc_id is not null").join(reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
+    sketches = staged(held.dropDuplicates(["node"]).select("node", F.col("n").cast("int").alias("n"), "sketch"), "jaccard-sketches")
+    rows.unpersist()
+
+    pairs = staged(bounded(stars.select("hub", "node").distinct(), sketches, percent), "jaccard-pairs")
+    links = staged(verified(pairs, docs, reps, words, percent), "jaccard-links")
+    labels = components(links)
+    left = stars
+    for forest in (True, False):
+        pairs = staged(rest_pairs(left, labels, sketches, percent, forest), "jaccard-pairs")
+        if pairs.isEmpty():
+            break
+        more = staged(verified(pairs.select("hub", "node").distinct(), docs, reps, words, percent), "jaccard-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        # where all of a bucket's forest is verified, no pair of it can join anything more
+        failed = pairs.join(more.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("sig").distinct()
+        left = staged(left.join(failed, "sig", "left_semi"), "jaccard-stars") if forest else None
 
     of_class = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
