@@ -107,5 +107,26 @@ WARC_SQL = (
 )
 
 
+def license_sql() -> str:
+    """Operator 10 as joins of word positions with the phrases' words."""
+    from .licenses import RARE, templates
+
+    known = templates()
+    words = ", ".join(f"({t}, {i}, '{w}')" for t, x in enumerate(known) for i, w in enumerate(x.words))
+    labels = ", ".join(f"({t}, '{x.label}', {str(x.base).lower()})" for t, x in enumerate(known))
+    return (
+        f"with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents), "
+        f"v(t, i, w) as (values {words}), l(t, label, base) as (values {labels}), u as (select doc_id, unnest(words) as w, generate_subscripts(words, 1) - 1 as pos from d), h as (select * from u semi join v using (w)), "
+        "n as (select count(*) as n from d), f as (select w, count(distinct doc_id) as df from h group by 1), g as (select t, i, v.w, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) as idf from n, v left join f using (w)), "
+        "r as (select *, row_number() over (partition by t order by idf desc, i) as r, count(*) over (partition by t) as len from g), "
+        f"c as (select doc_id, t, pos - i as start from h join r using (w) where r <= {RARE} and pos >= i group by all having count(*) = min(least({RARE}, len))), "
+        "p as (select c.doc_id, c.t, c.start from c join r using (t) join h on h.doc_id = c.doc_id and h.pos = c.start + r.i and h.w = r.w group by all having count(*) = max(len)), "
+        f"m as (select t, sum(idf) filter (r <= {RARE}) / sum(idf) as mass from r group by 1), s as (select doc_id, max(mass) as mass from c join m using (t) group by 1), "
+        "q as (select doc_id, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word, string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels from p join l using (t) group by 1) "
+        "select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, "
+        "round(case when labels is not null then 1.0 else coalesce(mass, 0) end, 6)::double as score from d left join q using (doc_id) left join s using (doc_id)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": WARC_SQL, "op9_url_filter": url_sql()}
+    return {"op7_warc": WARC_SQL, "op9_url_filter": url_sql(), "op10_license_scan": license_sql()}
