@@ -40,7 +40,20 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the stored tables behind frames of ``staged`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            df._staged_path = None
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while labels is None or not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("to")), "hooks")
-        if labels is None:
-            labels = to.select("node", F.col("to").alias("label"))
-        else:
-            moved = to.select(F.col("node").alias("label"), "to")
-            labels = staged(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        moved = to.select(F.col("node").alias("label"), "to")
+        named = to.select("node", F.col("to").alias("label")) if labels is None else labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        old, labels = labels, staged(named, "labels")
         at_a, at_b = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
         met = edges.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = staged(met, "edges")
+        before, edges = edges, staged(met, "edges")
+        discard(old, to, before)
+    discard(edges)
     return labels

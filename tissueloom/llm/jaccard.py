@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from .common import map_rows, staged, texts, thinned
+from .common import discard, map_rows, staged, texts, thinned
 from .graph import components
 
 # --- fixed values: the contract ---------------------------------------------------------------
@@ -507,23 +507,28 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     pairs = staged(bounded(stars.select("hub", "node").distinct(), sketches, percent), "jaccard-pairs")
     links = staged(verified(pairs, docs, reps, words, percent), "jaccard-links")
-    labels = components(links)
+    labels, spent = components(links), [stars, sketches, pairs, links]
     left = stars
     for forest in (True, False):
         pairs = staged(rest_pairs(left, labels, sketches, percent, forest), "jaccard-pairs")
+        spent.append(pairs)
         if pairs.isEmpty():
             break
         more = staged(verified(pairs.select("hub", "node").distinct(), docs, reps, words, percent), "jaccard-links")
+        spent.append(more)
         if not more.isEmpty():
             links = links.unionByName(more)
+            spent.append(labels)
             labels = components(links)
         # where all of a bucket's forest is verified, no pair of it can join anything more
         failed = pairs.join(more.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti").select("sig").distinct()
         left = staged(left.join(failed, "sig", "left_semi"), "jaccard-stars") if forest else None
+        spent.append(left)
 
     of_class = reps.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = of_class.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = staged(of_class.join(smallest, "label").select("node", "component_id"), "jaccard-components")
+    discard(*spent, labels, reps)
     linked_docs = known.join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = every.where("node is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked_docs.unionByName(alone)
