@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -84,11 +86,12 @@ def literal_score(value: str) -> float:
 
 
 def pairs(text: str):
-    """(name, literal, begin of the name, end of the right side) of each assignment, constants propagated.
+    """(name, literal, begin of the name, end of the right side, sources) of each assignment, constants propagated.
 
-    A propagated pair carries the literal that its right side names. Time is linear in the text.
+    A propagated pair carries the literal that its right side names; its sources are the spans of
+    the assignments that it names. Time is linear in the text.
     """
-    constants: dict[str, str] = {}
+    constants: dict[str, tuple[str, tuple[int, int]]] = {}
     done = 0
     for m in _OPERATOR.finditer(text):
         p = m.start()
@@ -116,7 +119,7 @@ def pairs(text: str):
         if not name or not _NAME.match(name):
             continue
         # the right side: terms joined by + or . or side by side
-        value, at, ref = "", q, False
+        value, at, ref, sources = "", q, False, []
         end = q
         while True:
             while at < len(text) and text[at] in " \t":
@@ -131,7 +134,9 @@ def pairs(text: str):
                     break
                 word = bare[0]
                 if word in constants:
-                    value, ref = (value + constants[word])[:LITERAL], True
+                    known, place = constants[word]
+                    value, ref = (value + known)[:LITERAL], True
+                    sources.append(place)
                 elif not value:
                     value = word.rstrip(".")[:LITERAL]
                 else:
@@ -149,29 +154,43 @@ def pairs(text: str):
             break
         if not value:
             continue
-        constants[name] = value
+        constants[name] = value, (b, end)
         done = end
-        yield name, value, b, end
+        yield name, value, b, end, sources
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str]]:
-    """Pairs whose score reaches the threshold and that overlap no base span, as ``assign`` spans."""
+    """Pairs whose score reaches the threshold, and the assignments their literals come from, as ``assign`` spans.
+
+    Spans that overlap a base span are left out.
+    """
     if not _OPERATOR.search(text):
         return []
-    out, k = [], 0
     order = sorted(base)
-    reach = 0  # the furthest end of the base spans that begin before the pair does
-    for name, value, begin, end in pairs(text):
+    starts = [x[0] for x in order]
+    furthest = list(accumulate((x[1] for x in order), max))
+
+    def free(begin: int, end: int) -> bool:
+        k = bisect_left(starts, end)  # those before k begin before the span ends
+        return not k or furthest[k - 1] <= begin
+
+    named: dict[tuple[int, int], list[tuple[int, int]]] = {}  # of each assignment, those it names
+    seen: set[tuple[int, int]] = set()
+    for name, value, begin, end, sources in pairs(text):
+        if sources:
+            named[begin, end] = sources
         sensitive = name_score(name)
         if sensitive < 1.0:
             continue
         look = literal_score(value)
-        while k < len(order) and order[k][0] < end:
-            reach = max(reach, order[k][1])
-            k += 1
-        if look > 0 and sensitive + look >= threshold and reach <= begin:
-            out.append((begin, end, "assign"))
-    return out
+        if look > 0 and sensitive + look >= threshold:
+            walk = [(begin, end)]
+            while walk:
+                span = walk.pop()
+                if span not in seen:
+                    seen.add(span)
+                    walk += named.get(span, ())
+    return [(*span, "assign") for span in sorted(seen) if free(*span)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
