@@ -116,18 +116,31 @@ class Fertility:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.is_byte = np.array([self.pieces.IsByte(i) or self.pieces.IsUnknown(i) for i in range(self.pieces.GetPieceSize())])
-
-    def measure(self, text: str) -> tuple[int, float, float, float]:
+        self.is_byte = [self.pieces.IsByte(i) or self.pieces.IsUnknown(i) for i in range(self.pieces.GetPieceSize())]
+        self.known: dict[bytes, int] = {}
+
+    def fallback(self, words: list[bytes]) -> float:
+        """Share of byte pieces among the pieces of the words, each encoded by itself (and remembered)."""
+        known = self.known
+        new = set(words).difference(known)
+        if new:
+            if len(known) > 400_000:
+                known.clear()
+                new = set(words)
+            new, is_byte = list(new), self.is_byte.__getitem__
+            for w, ids in zip(new, self.pieces.encode([w.decode("utf-8", "replace") for w in new], num_threads=1), strict=True):
+                known[w] = len(ids) + (sum(map(is_byte, ids)) << 32)  # both counts in one number
+        bad, total = divmod(sum(map(known.__getitem__, words)), 1 << 32)
+        return bad / total if total else 0.0
+
+    def measure(self, text: str, words: list[bytes]) -> tuple[int, float, float, float]:
         """Tokens, characters per token, byte-fallback share, token entropy in bits."""
         if not text:
             return 0, 0.0, 0.0, 0.0
         clean = text.encode("utf-8", "replace").decode() if any_surrogate(text) else text
         ids = np.asarray(self.bpe.encode_ordinary(clean))
         share = np.unique(ids, return_counts=True)[1] / len(ids)
-        pieces = np.asarray(self.pieces.encode(clean, num_threads=1), np.int64)
-        fallback = float(self.is_byte[pieces].mean()) if len(pieces) else 0.0
-        return len(ids), round(len(text) / len(ids), 6), round(fallback, 6), round(float(-(share * np.log2(share)).sum()) + 0.0, 6)
+        return len(ids), round(len(text) / len(ids), 6), round(self.fallback(words), 6), round(float(-(share * np.log2(share)).sum()) + 0.0, 6)
 
 
 def any_surrogate(text: str) -> bool:
@@ -167,7 +180,7 @@ class Judge:
         repeated = repeated_words(words)
         failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
         script = main_script(text)
-        measured = self.fertility.measure(text)
+        measured = self.fertility.measure(text, words)
         return n, chars, symbols, duplicate_lines(text), repeated, failed, not failed and accepted(script, *measured, self.bands), script, *measured
 
 
