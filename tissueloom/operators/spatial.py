@@ -158,7 +158,10 @@ def krige(m: DataFrame, spots: DataFrame, targets: DataFrame, fits: DataFrame, k
         gamma[:n, :n] = _model_numpy(kind, np.linalg.norm(xy[:, None] - xy[None], axis=2), *par)
         right = np.ones((n + 1, len(place)))
         right[:n] = _model_numpy(kind, np.linalg.norm(xy[:, None] - place[None], axis=2), *par)
-        w = np.linalg.lstsq(gamma, right, rcond=None)[0]
+        try:
+            w = np.linalg.solve(gamma, right)
+        except np.linalg.LinAlgError:  # spots at one place
+            w = np.linalg.lstsq(gamma, right, rcond=None)[0]
         return pd.DataFrame({"gene_id": frame["gene_id"].iloc[0], "target_id": rows["target_id"], "value": w[:n].T @ z, "variance": np.maximum((w * right).sum(0), 0)})
 
     return joined.groupBy("gene_id").applyInPandas(solve, "gene_id string, target_id long, value double, variance double")
