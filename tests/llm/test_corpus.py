@@ -224,10 +224,10 @@ def test_secrets_base_and_added(spark, real, odd, empty):
         base = brute_secrets(r["text"] or "")
         key = (r["doc_id"], hashlib.sha256(base.encode()).hexdigest(), len(base.split(",")) if base else 0)
         assert any(set(base.split(",")) - {""} <= set(s.split(",")) for s in got[key])
-    # the propagated constant and the concatenation are added, the public key is not
+    # the propagated constant, where it came from and the concatenation are added, the public key is not
     texts = [code[int(s.split(":")[1]) : int(s.split(":")[2])] for s in next(v for k, v in got.items() if k[0] == 9001).pop().split(",")]
-    assert texts == ["db_pwd: K", 'authToken := "abc" + "DEF123" + "xyz987"']
-    assert dict((n, v) for n, v, _, _ in pairs(code))["db_pwd"] == "hunter2Xy9$Q"
+    assert texts == ['K = "hunter2Xy9$Q"', "db_pwd: K", 'authToken := "abc" + "DEF123" + "xyz987"']
+    assert dict((n, v) for n, v, *_ in pairs(code))["db_pwd"] == "hunter2Xy9$Q"
     assert find_secrets(empty).count() == 0
 
 
