@@ -15,3 +15,18 @@ def test_pipeline_drops_copies_at_five_words_and_80_percent(spark):
     docs = docs_frame(spark, [(1, " ".join(words)), (2, " ".join([*words[:26], "other", *words[27:]])), (3, " ".join(words[::-1]))])
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3]
     assert {r["component_id"] for r in link_components(docs).collect()} == {1, 2, 3}
+
+
+def test_quality_bands_part_labelled_junk_from_clean_texts(spark):
+    from tissueloom.llm.quality import accepted, judge_quality, keep_good
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    verdict = judge_quality(docs)
+    seen = verdict.where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("quality", "kept").collect()
+    junk, clean = ([r["kept"] for r in seen if r["quality"] == q] for q in (0, 1))
+    assert sum(junk) < 0.5 * len(junk) and sum(clean) > 0.97 * len(clean)
+    kept = keep_good(docs)
+    assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in verdict.where("kept").collect())
+    # short texts are judged on characters per token and fallback
+    assert not accepted("LATIN", 20, 1.1, 0.0, 3.0) and not accepted("LATIN", 20, 3.0, 0.5, 3.0) and accepted("LATIN", 20, 3.0, 0.0, 3.0)

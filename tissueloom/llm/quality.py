@@ -2,7 +2,9 @@
 
 Each text is encoded with a byte-level BPE vocabulary and a BPE vocabulary with byte fallback.
 Characters per token and token entropy come from the first, the byte-fallback share from the
-second; each has a band per script, and a text outside one of its script's bands is rejected.
+second. A text is rejected outside one of its script's bands, which hold everywhere, or outside
+one of the bands of its language and length, which are fitted on the whole corpus: of the texts
+that pass the base rules, a median and a few robust deviations from it.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows, map_whole, texts
+from .common import arrow_schema, field, map_rows, map_whole, staged, texts, with_column
 
 # --- fixed values: the contract ---------------------------------------------------------------
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,6 +41,11 @@ BANDS = {
     "OTHER": (0.2, 12.0, 0.90, 2.0, 3.0),
 }
 MIN_TOKENS, LONG = 50, 200
+# --- fixed values: fitted bands: deviations from the median, least deviation, fewest texts of a
+# group, values a unit in the counts that they are fitted on, most doublings of a text's tokens ---
+DEVIATIONS, LEAST_DEVIATION, FEWEST, FINE, DOUBLINGS = 3.0, 0.01, 50, 200, 13
+#: Measures with a fitted band, and whether it has a lower and an upper end.
+FITTED = (("chars_per_token", True, True), ("fallback_share", False, True), ("token_entropy", True, False))
 # -----------------------------------------------------------------------------------------------
 
 SCHEMA = (
@@ -152,11 +160,52 @@ def any_surrogate(text: str) -> bool:
 
 
 def accepted(script: str, n_tokens: int, per_token: float, fallback: float, entropy: float, bands=BANDS) -> bool:
-    """Whether a text lies in its script's bands; one of under MIN_TOKENS tokens is not judged."""
-    if n_tokens < MIN_TOKENS:
-        return True
+    """Whether a text lies in its script's bands; the entropy of one of under MIN_TOKENS tokens is not judged."""
     low, high, most, bits, long_bits = bands[script]
-    return low <= per_token <= high and fallback <= most and entropy >= (long_bits if n_tokens >= LONG else bits)
+    return low <= per_token <= high and fallback <= most and (n_tokens < MIN_TOKENS or entropy >= (long_bits if n_tokens >= LONG else bits))
+
+
+def group_of(columns: list[str]) -> tuple[Column, Column]:
+    """A text's language (its script, where it has none) and the doublings of its tokens."""
+    language = F.coalesce("lang", "script") if "lang" in columns else F.col("script")
+    return language.alias("g"), F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))), F.lit(DOUBLINGS)).cast("int").alias("size")
+
+
+def fitted_bands(measured: DataFrame) -> list[tuple]:
+    """(group, size, low and high of each of FITTED) of groups of FEWEST texts or more.
+
+    Fitted on counts of rounded values, so that the result does not depend on partitions; what
+    reaches the driver grows with groups and not with texts.
+    """
+    values = F.array(*(F.struct(F.lit(k).alias("m"), F.round(F.col(name) * FINE).cast("int").alias("v")) for k, (name, _, _) in enumerate(FITTED)))
+    counts = measured.where("not base_failed").select(*group_of(measured.columns), F.explode(values).alias("x")).groupBy("g", "size", "x.m", "x.v").agg(F.count("*").alias("n"))
+    of: dict[tuple, dict[int, list]] = {}
+    for r in counts.orderBy("g", "size", "m", "v").collect():
+        of.setdefault((r["g"], r["size"]), {}).setdefault(r["m"], []).append((r["v"], r["n"]))
+    out = []
+    for group, measures in of.items():
+        if sum(n for _, n in measures[0]) < FEWEST:
+            continue
+        ends = []
+        for k, (_, lower, upper) in enumerate(FITTED):
+            v, n = np.array(measures[k]).T
+            first, median, third = (v[np.searchsorted(np.cumsum(n), q * n.sum())] / FINE for q in (0.25, 0.5, 0.75))
+            reach = DEVIATIONS * max((third - first) / 1.349, LEAST_DEVIATION)
+            ends += [float(median - reach) if lower else None, float(median + reach) if upper else None]
+        out.append((*group, *ends))
+    return out
+
+
+def with_verdict(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept`` false where a fitted band is left."""
+    names = [f"_{end}{k}" for k in range(len(FITTED)) for end in ("low", "high")]
+    bands = measured.sparkSession.createDataFrame(fitted_bands(measured), "g string, size int, " + ", ".join(f"{x} double" for x in names))
+    g, size = group_of(measured.columns)
+    joined = measured.withColumns({"_g": g, "_size": size}).join(F.broadcast(bands), (F.col("_g") == F.col("g")) & (F.col("_size") == F.col("size")), "left")
+    inside = F.col("kept")
+    for k, (name, _, _) in enumerate(FITTED):
+        inside &= F.coalesce(F.col(name) >= F.col(f"_low{k}"), F.lit(True)) & F.coalesce(F.col(name) <= F.col(f"_high{k}"), F.lit(True))
+    return joined.withColumn("kept", inside).select(*measured.columns)
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -191,33 +240,48 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str] | None = N
     kept, and the fertility measures. ``vocabularies``: paths of a rank file and of a piece
     model, which must hold on every executor, and the rank file's pattern.
 
-    Null and empty texts have no words and fail (fewer than 10 words). Rows are judged one by
-    one: repeated rows repeat, null doc_ids stay null, other columns are ignored, an empty table
-    gives an empty result. One pass, no shuffle.
+    Null and empty texts have no words and fail (fewer than 10 words). Measures are each row's
+    own, bands are fitted on all rows by ``lang``, where there is such a column, and length:
+    repeated rows repeat, null doc_ids stay null, other columns are ignored, an empty table gives
+    an empty result. One pass over the texts, whose measures are stored.
     """
     vocabularies = vocabularies or default_vocabularies()
-    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    lang = ["lang"] if "lang" in docs.columns else []
 
     def make():
         judge = Judge(vocabularies, bands)
 
         def f(b):
             rows = [judge(t) for t in texts(b)]
-            cols = zip(*rows, strict=True) if rows else [()] * len(names)
-            return {"doc_id": b.column("doc_id"), **dict(zip(names, cols, strict=True))}
+            cols = zip(*rows, strict=True) if rows else [()] * len(names[1:])
+            return {x: b.column(x) for x in ["doc_id", *lang]} | dict(zip(names[1:], cols, strict=True))
 
         return f
 
-    return map_rows(docs, make, SCHEMA, ["doc_id", "text"])
+    measured = map_rows(docs, make, SCHEMA + ", lang string" * len(lang), ["doc_id", "text", *lang])
+    return with_verdict(staged(measured, "quality-measures")).select(*names)
 
 
 def keep_good(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None, bands=BANDS) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns; cases as in judge_quality."""
     vocabularies = vocabularies or default_vocabularies()
-    kept = [x.split()[0] for x in SCHEMA.split(", ")][1:].index("kept")
+    names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
+    needed = ["base_failed", "kept", "script", "n_tokens", *(name for name, _, _ in FITTED)]
+    kinds = dict(x.split() for x in SCHEMA.split(", "))
 
     def make():
         judge = Judge(vocabularies, bands)
-        return lambda b: b.filter(pa.array([judge(t)[kept] for t in texts(b)], pa.bool_()))
 
-    return map_whole(docs, make)
+        def f(b):
+            rows = [judge(t) for t in texts(b)]
+            made = pa.array([{x: r[names.index(x)] for x in needed} for r in rows], pa.struct(list(arrow_schema(", ".join(f"{x} {kinds[x]}" for x in needed)))))
+            return with_column(b, "_judged", made)
+
+        return f
+
+    # the rows are stored with their measures: repeated and null doc_ids could not be joined to them
+    held = map_whole(docs.withColumn("_judged", F.lit(None).cast("struct<" + ",".join(f"{x}:{kinds[x]}" for x in needed) + ">")), make)
+    rows = staged(held, "quality-rows")
+    measured = rows.select("_judged.*", *(["lang"] if "lang" in docs.columns else []), F.struct(*(F.col(field(c)) for c in docs.columns)).alias("_row"))
+    return with_verdict(measured).where("kept").select("_row.*")
