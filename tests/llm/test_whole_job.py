@@ -30,3 +30,18 @@ def test_quality_bands_part_labelled_junk_from_clean_texts(spark):
     assert kept.schema == docs.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in verdict.where("kept").collect())
     # short texts are judged on characters per token and fallback
     assert not accepted("LATIN", 20, 1.1, 0.0, 3.0) and not accepted("LATIN", 20, 3.0, 0.5, 3.0) and accepted("LATIN", 20, 3.0, 0.0, 3.0)
+
+
+def test_hard_wrapped_passages_are_removed(spark):
+    from tissueloom.llm.lines import remove_repeats
+
+    words = [f"w{k}" for k in range(65)]
+    wrapped = "\n".join(" ".join(words[k : k + 13]) for k in range(0, 65, 13))
+    mixed = "\n".join(" ".join(w) for w in (words[:14], words[14:32], words[32:45], words[45:]))  # 14, 18, 13 and 20 words
+    same = "\n".join(["one short line"] * 18)
+    docs = docs_frame(spark, [(1, f"a b\n{wrapped}\nc"), (2, f"d e f\n{wrapped}\ng h"), (3, f"i\n\n{mixed}"), (4, f"{mixed}\nj k"), (5, same), (6, "heading\na short line\n\nb"), (7, "heading\na short line\n\nc")])
+    got = {r["doc_id"]: r for r in remove_repeats(docs, passages=True).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "d e f\ng h" and got[2]["n_removed"] == 5
+    assert got[3]["n_removed"] == 0 and got[4]["text"] == "j k"
+    assert got[5]["text"] == "\n".join(["one short line"] * 6) + "\n" and got[7]["n_removed"] == 0
+    assert all(r["kept_chars"] + r["removed_chars"] == n["n_chars"] for r, n in ((got[x["doc_id"]], x) for x in docs.collect()))

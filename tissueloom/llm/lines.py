@@ -1,8 +1,9 @@
 """Operator 5, substring dedup by line hashing.
 
-Each line of enough words is normalised and hashed with its offsets. Digests meet globally: the
-earliest occurrence by (doc_id, offset) stays, every other one is removed. Offsets are those of
-the original text.
+Each line of enough words is normalised and hashed with its offsets; so is, for shorter lines,
+the shortest passage of consecutive lines from or up to each that has enough words. Digests meet
+globally: the earliest occurrence by (doc_id, offset) stays, every other one is removed. Offsets
+are those of the original text.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, staged, texts
 
-#: Least words of a line that counts as a unit: shorter lines (headings, licence and sign-off
-#: lines) recur in unrelated documents by right.
+#: Least words of a line, or of a passage of lines, that counts as a unit: shorter ones (headings,
+#: licence and sign-off lines) recur in unrelated documents by right.
 MIN_WORDS = 16
 
-UNITS = "hi long, lo long, doc_id long, begin int, stop int"
+UNITS = "hi long, lo long, doc_id long, begin int, stop int, cuts string"
 
 
 def units_of(text: str, min_words: int = MIN_WORDS):
@@ -35,50 +36,86 @@ def units_of(text: str, min_words: int = MIN_WORDS):
         begin += len(line) + 1
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units of all texts: digest (two longs), doc_id, begin, stop."""
+def passages_of(text: str, min_words: int = MIN_WORDS):
+    """(lines, digest) of each passage of two lines or more; lines are (begin, stop) pairs.
+
+    For each line of fewer words than ``min_words``: the shortest runs of consecutive lines that
+    begin and that end with it and have at least ``min_words`` words. Lines without words part
+    passages. Normal form as in units_of, whatever the line breaks.
+    """
+    lines, begin = [], 0
+    for line in text.split("\n"):
+        lines.append((begin, begin + len(line), line.lower().split()))
+        begin += len(line) + 1
+    done = set()
+    for k, (_, _, words) in enumerate(lines):
+        if not 0 < len(words) < min_words:
+            continue
+        for step in (1, -1):
+            n, j = len(words), k
+            while n < min_words and 0 <= j + step < len(lines) and lines[j + step][2]:
+                j += step
+                n += len(lines[j][2])
+            run = (min(j, k), max(j, k))
+            if n >= min_words and run not in done:
+                done.add(run)
+                part = lines[run[0] : run[1] + 1]
+                yield [x[:2] for x in part], xxhash.xxh3_128_digest(" ".join(w for x in part for w in x[2]).encode("utf-8", "replace"))
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
+    """The units of all texts: digest (two longs), doc_id, begin, stop, and the lines of a passage (``begin:stop``, comma-joined)."""
 
     def make():
         def f(b):
-            hi, lo, ids, begins, stops = [], [], [], [], []
+            hi, lo, ids, begins, stops, cuts = [], [], [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 for begin, stop, digest in units_of(text, min_words):
                     x, y = struct.unpack("<qq", digest)
-                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(begin), stops.append(stop)
-            return {"hi": hi, "lo": lo, "doc_id": ids, "begin": begins, "stop": stops}
+                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(begin), stops.append(stop), cuts.append(None)
+                for lines, digest in passages_of(text, min_words) if passages else ():
+                    x, y = struct.unpack("<qq", digest)
+                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(lines[0][0]), stops.append(lines[-1][1])
+                    cuts.append(",".join(f"{begin}:{stop}" for begin, stop in lines))
+            return {"hi": hi, "lo": lo, "doc_id": ids, "begin": begins, "stop": stops, "cuts": cuts}
 
         return f
 
     return map_rows(docs.where("doc_id is not null"), make, UNITS, ["doc_id", "text"])
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and ``removed``: sorted array of (begin, stop) of the units that an earlier one repeats.
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
+    """doc_id and ``removed``: sorted array of (begin, stop) of the lines whose unit stands earlier already.
 
     Both tables are stored before they meet, so that a digest with very many occurrences is
-    split over tasks; its aggregation sums up within each task first.
+    split over tasks; its aggregation sums up within each task first. A passage that runs into
+    the first one of its kind, as where one line is repeated over and over, is not removed.
     """
-    every = staged(units(docs, min_words), "line-units")
-    place = F.struct("doc_id", "begin")
+    every = staged(units(docs, min_words, passages), "line-units")
+    place = F.struct("doc_id", "begin", "stop")
     firsts = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first")
     firsts = staged(firsts, "line-firsts")
-    later = every.join(firsts, ["hi", "lo"]).where(F.struct("doc_id", "begin") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "stop"))).alias("removed"))
+    later = every.join(firsts, ["hi", "lo"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")) & (F.col("cuts").isNull() | (F.col("begin") > F.col("first.stop"))))
+    whole = F.concat_ws(":", F.col("begin").cast("string"), F.col("stop").cast("string"))
+    lines = later.select("doc_id", F.explode(F.split(F.coalesce("cuts", whole), ",")).alias("x"))
+    line = F.struct(*(F.split_part("x", F.lit(":"), F.lit(k)).cast("int").alias(end) for k, end in ((1, "begin"), (2, "stop"))))
+    return lines.groupBy("doc_id").agg(F.sort_array(F.collect_set(line)).alias("removed"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
     """Documents without the lines that an earlier document, or the same one earlier, holds.
 
     Takes rows with doc_id and text; returns doc_id, n_removed, removed_chars, kept_chars,
     ``spans`` (``begin:stop`` in code points of the original text, comma-joined) and ``text``
-    without those spans (and without the line break after each).
+    without those spans (and without the line break after each). Units are single lines; with
+    ``passages``, also passages of lines that are too short by themselves, and a span is a line.
 
     "Earliest" is by (doc_id, offset); rows that share a doc_id count as one document, so their
     equal lines at equal offsets all stay. Rows with a null doc_id are returned whole and take
     no part. Null texts stay null; empty texts and texts without a long line lose nothing; other
     columns are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, min_words)
+    spans = repeated_spans(docs, min_words, passages)
     joined = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(spans, "doc_id", "left")
     n = F.coalesce(F.size("removed"), F.lit(0))
     n = F.when(F.col("removed").isNull(), 0).otherwise(n)

@@ -38,7 +38,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import remove_repeats
 
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("text")
+    return remove_repeats(_table(spark, sf_dir, "documents"), passages=True).drop("text")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
