@@ -45,3 +45,18 @@ def test_hard_wrapped_passages_are_removed(spark):
     assert got[3]["n_removed"] == 0 and got[4]["text"] == "j k"
     assert got[5]["text"] == "\n".join(["one short line"] * 6) + "\n" and got[7]["n_removed"] == 0
     assert all(r["kept_chars"] + r["removed_chars"] == n["n_chars"] for r, n in ((got[x["doc_id"]], x) for x in docs.collect()))
+
+
+def test_licence_grants_and_tags_are_labelled(spark):
+    from tissueloom.llm.licenses import scan_licenses
+
+    found = {
+        1: ("Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software", "mit"),
+        2: ("# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided", "bsd"),
+        3: ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", "isc"),
+        4: ("// SPDX-License-Identifier: Apache-2.0", "apache"),
+        5: ("BSD 3-Clause License", "bsd"),
+        6: ("permission is granted, free of charge, to any person obtaining a copy", ""),
+    }
+    got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in scan_licenses(docs_frame(spark, [(k, t) for k, (t, _) in found.items()])).collect()}
+    assert got == {k: (label, "") for k, (_, label) in found.items()}

@@ -36,6 +36,33 @@ OWN_PHRASES = [
     ("creative commons attribution", "cc-by"),
     ("all rights reserved", "proprietary"),
 ]
+# --- fixed values: grants and headers of licence texts, and their tags ------------------------
+GRANTS = [
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions", "bsd"),
+    ("bsd 2 clause", "bsd"),
+    ("bsd 3 clause", "bsd"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("you may not use this file except in compliance with the license", "apache"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy", "bsl"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier isc", "isc"),
+    ("spdx license identifier apache 2 0", "apache"),
+    ("spdx license identifier gpl", "gpl"),
+    ("spdx license identifier lgpl", "lgpl"),
+    ("spdx license identifier agpl", "agpl"),
+    ("spdx license identifier mpl", "mpl"),
+    ("spdx license identifier epl", "epl"),
+    ("spdx license identifier bsl", "bsl"),
+    ("spdx license identifier cc by", "cc-by"),
+]
 #: What lies between the words of a text once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # ----------------------------------------------------------------------------------------------
@@ -51,7 +78,7 @@ class Template:
     base: bool
 
 
-def templates(base=BASE_PHRASES, own=OWN_PHRASES) -> list[Template]:
+def templates(base=BASE_PHRASES, own=OWN_PHRASES + GRANTS) -> list[Template]:
     return [Template(tuple(p.split()), label, kind) for group, kind in ((base, True), (own, False)) for p, label in group]
 
 
@@ -90,7 +117,7 @@ def inverse_frequency(found: DataFrame, vocabulary: list[str]) -> dict[str, floa
     return {w: math.log(1 + (rows - df.get(k, 0) + 0.5) / (df.get(k, 0) + 0.5)) for k, w in enumerate(vocabulary, 1)}
 
 
-def scan_licenses(docs: DataFrame, base=BASE_PHRASES, own=OWN_PHRASES, rare: int = RARE) -> DataFrame:
+def scan_licenses(docs: DataFrame, base=BASE_PHRASES, own=OWN_PHRASES + GRANTS, rare: int = RARE) -> DataFrame:
     """Licence phrases of each row of (doc_id, text).
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and
