@@ -60,3 +60,14 @@ def test_licence_grants_and_tags_are_labelled(spark):
     }
     got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in scan_licenses(docs_frame(spark, [(k, t) for k, (t, _) in found.items()])).collect()}
     assert got == {k: (label, "") for k, (_, label) in found.items()}
+
+
+def test_spelled_addresses_of_letters_only(spark):
+    from tissueloom.llm.pii import find_pii, redacted
+
+    spelled = ["jane.doe (at) example (dot) org", "jane [at] example.org", "bob at example dot com", "Bob (AT) Example (DOT) Org"]
+    rows = [(k, f"write to {s} today") for k, s in enumerate(spelled)] + [(10, f"since 2019 {spelled[0]} today"), (11, "we met at noon and sat at the wall"), (12, "jane (at) home now")]
+    docs = docs_frame(spark, rows)
+    got = {r["doc_id"]: r["spans"] for r in find_pii(docs).collect()}
+    assert got == {k: f"email:9:{9 + len(s)}" for k, s in enumerate(spelled)} | {10: f"email:11:{11 + len(spelled[0])}", 11: "", 12: ""}
+    assert {r["text"] for r in redacted(docs).where("doc_id < 4").collect()} == {"write to <EMAIL> today"}

@@ -1,7 +1,7 @@
 """Operator 2, personal data: a semi-Markov conditional random field over candidate segments.
 
-A text is cut into islands: runs of tokens around digits and ``@`` signs, outside of which no
-entity can lie. In each island every run of up to ``max_tokens`` tokens that could be an entity
+A text is cut into islands: runs of tokens around digits, ``@`` signs and their spelled forms
+(``(at)``, ``[at]``, ``at ... dot``), outside of which no entity is looked for. In each island every run of up to ``max_tokens`` tokens that could be an entity
 is a candidate segment, scored by features of the whole span (length, digit count, checksum,
 separators, shape, the words before it). Bounded-entity dynamic programming then chooses
 boundaries and types of all segments of an island jointly. The spans of the base patterns are
@@ -38,7 +38,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What stands for the ``@`` of a spelled address: bracketed, or a bare word that a ``dot`` follows.
+_SPELLED = r"[\[(][Aa][Tt][\])]|(?<= )[Aa][Tt](?= [A-Za-z0-9-]{1,63} ?(?:[\[(][Dd][Oo][Tt][\])]|(?<= )[Dd][Oo][Tt] ))"
+_MARK = re.compile(_SPELLED)
+_TRIGGER = re.compile(rf"[0-9@]|{_SPELLED}")
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
@@ -93,7 +96,7 @@ class Island:
 
 
 def islands(text: str, reach: int = 48):
-    """Maximal runs of characters at most ``reach`` from a digit or ``@``, cut at line ends.
+    """Maximal runs of characters at most ``reach`` from a trigger, cut at line ends.
 
     ``reach`` exceeds the part of any candidate on one side of a trigger that has no trigger itself.
     """
@@ -119,7 +122,7 @@ def islands(text: str, reach: int = 48):
 
 
 # ---- whole-span features ------------------------------------------------------------------------
-_EMAIL_SHAPE = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+\Z")
+_EMAIL_SHAPE = re.compile(r"[a-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)|(?<= )at(?= )) ?[a-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)|(?<= )dot(?= )) ?[a-z0-9-]+)+\Z", re.I | re.A)
 _IP_SHAPE = re.compile(r"\d{1,3}(?: ?\. ?\d{1,3}| ?\[\.\] ?\d{1,3}){3}\Z")
 _PHONE_SHAPE = re.compile(r"(?:\+|00)?\(?\d{1,4}\)?(?:[ ./-]{0,2}\(?\d{2,4}\)?){1,5}\Z")
 _CARD_SHAPE = re.compile(r"\d{4}(?:[ .-]?\d{4}){3}\Z|\d{4}[ .-]?\d{6}[ .-]?\d{4,5}\Z|\d{14,19}\Z")
@@ -142,7 +145,8 @@ def features(text: str, begin: int, end: int, kind: str, before: str) -> np.ndar
     f[0] = 1
     if kind == "email":
         f[1] = bool(_EMAIL_SHAPE.match(s))
-        f[12] = "(at)" in s or "[at]" in s or "[dot]" in s or "(dot)" in s or " " in s
+        low = s.lower()
+        f[12] = "(at)" in low or "[at]" in low or "[dot]" in low or "(dot)" in low or " " in s
     elif kind == "ip":
         f[1] = bool(_IP_SHAPE.match(s))
         parts = [p for p in re.split(r"[^0-9]+", s) if p]
@@ -187,18 +191,18 @@ def candidates(isl: Island, max_tokens: int) -> list[tuple[int, int, str, str]]:
             c = text[tb]
             if "0" <= c <= "9":
                 n_digits += te - tb
-            elif c == "@" or text[tb:te] == "at":
+            elif c == "@" or text[tb:te].lower() == "at":
                 at = True
             elif not (c.isascii() and (c.isalpha() or c in _INSIDE)):
                 break
-            if c.isspace() and text[tokens[j - 1][0]].isalpha() and not at and n_digits == 0:
+            if c.isspace() and text[tokens[j - 1][0]].isalpha() and not at and n_digits == 0 and not _MARK.match(text, te):
                 break  # two plain words: prose
             last = text[te - 1]
             if not (last.isascii() and last.isalnum()) and last != ")":
                 continue
             if at and 4 <= j - i:
                 s = text[b:te]
-                if "@" in s or "(at)" in s or "[at]" in s:
+                if "@" in s or _MARK.search(s):
                     out.append((i, j + 1, "email", before))
             if not first.isalpha() and n_digits and not at:
                 if 4 <= n_digits <= 12 and j - i >= 6:
@@ -265,8 +269,9 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
 
     def entity(kind):
         if kind == "email":
-            local, at, dot = rng.choice([word(), f"{word()}.{word()}", num(2)]), rng.choice(["@"] * 5 + [" [at] ", " (at) "]), "."
-            return f"{local}{at}{word()}{num(1)}{dot}{word()}{dot}com"
+            local, at = rng.choice([word(), f"{word()}.{word()}", num(2)]), rng.choice(["@"] * 5 + [" [at] ", " (at) ", " at "])
+            dot = "." if at == "@" else " dot " if at == " at " else rng.choice([".", at.replace("at", "dot")])
+            return f"{local}{at}{word()}{num(1) if at == '@' else num(rng.randint(0, 1))}{dot}{word()}{dot}com"
         if kind == "ip":
             return ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == "card":
@@ -277,7 +282,7 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
 
     def decoy():
         c = card()
-        return rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", num(rng.choice([10, 12, 16])), c[:-1] + str((int(c[-1]) + 1) % 10), f"{num(4)}-{num(2)}-{num(2)}", f"{rng.randint(1, 9)}.{num(1)}.{num(1)}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{num(8)}{word()}{num(6)}", f"{num(3)},{num(3)},{num(3)}"])
+        return rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", num(rng.choice([10, 12, 16])), c[:-1] + str((int(c[-1]) + 1) % 10), f"{num(4)}-{num(2)}-{num(2)}", f"{rng.randint(1, 9)}.{num(1)}.{num(1)}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{num(8)}{word()}{num(6)}", f"{num(3)},{num(3)},{num(3)}", f"{word()} (at) {word()}", f"{word()} at {word()}"])
 
     out = []
     for _ in range(n):
