@@ -71,3 +71,15 @@ def test_spelled_addresses_of_letters_only(spark):
     got = {r["doc_id"]: r["spans"] for r in find_pii(docs).collect()}
     assert got == {k: f"email:9:{9 + len(s)}" for k, s in enumerate(spelled)} | {10: f"email:11:{11 + len(spelled[0])}", 11: "", 12: ""}
     assert {r["text"] for r in redacted(docs).where("doc_id < 4").collect()} == {"write to <EMAIL> today"}
+
+
+def test_ransac_counts_every_candidate(spark):
+    from pyspark.sql import functions as F
+
+    from tissueloom.operators.align import ransac
+
+    # 9000 candidates turned by a quarter and moved, and 1000 that are not
+    x, y = F.col("id") % 100, F.floor(F.col("id") / 100)
+    far = F.when(F.col("id") % 10 == 0, F.lit(500.0) + F.col("id") % 7).otherwise(0.0)
+    pairs = spark.range(10_000).select("id", x.cast("double").alias("xa"), y.cast("double").alias("ya"), (3 - y + far).cast("double").alias("xb"), (x + 2.0).alias("yb")).repartition(5)
+    assert ransac(pairs, 50, 0.01).first()["inliers"] == 9000
