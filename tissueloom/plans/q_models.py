@@ -140,31 +140,31 @@ def pattern_clusters(spark, sf_dir):
 # ---- generative ----------------------------------------------------------------------------------------
 def _timed(spark, sf_dir):
     v = V.vecs(spark, sf_dir)
-    return v.select("id", F.slice("vec", 1, 16).alias("vec"), (F.col("label") / F.lit(9.0)).alias("t"))
+    return v.select("id", "vec", (F.col("label") / F.lit(9.0)).alias("t"))
 
 
 @query("cvae_reconstruction")
 def cvae_reconstruction(spark, sf_dir):
     d = _timed(spark, sf_dir)
-    return G.evaluate(G.reconstruct(d, G.train_cvae(d, 8, epochs=5)[0]))
+    return G.evaluate(G.reconstruct(d, G.train_cvae(d, 8)[0]))
 
 
 @query("cvae_embedding")
 def cvae_embedding(spark, sf_dir):
     d = _timed(spark, sf_dir)
-    return G.embed(d, G.train_cvae(d, 8, epochs=3)[0])
+    return G.embed(d, G.train_cvae(d, 8)[0])
 
 
 @query("time_interpolation")
 def time_interpolation(spark, sf_dir):
     d = _timed(spark, sf_dir)
-    return G.interpolate(d, G.train_cvae(d, 8, epochs=3)[0], 0.05)
+    return G.interpolate(d, G.train_cvae(d, 8)[0], 0.05)
 
 
 @query("diffusion_states")
 def diffusion_states(spark, sf_dir):
     d = _timed(spark, sf_dir)
-    return G.predict_states(spark.range(5).select("id", (F.col("id") / 4).alias("t")), G.train_diffusion(d, steps=20, epochs=3)[0], 8)
+    return G.predict_states(spark.range(5).select("id", (F.col("id") / 4).alias("t")), G.train_diffusion(d, steps=20)[0], 8)
 
 
 @query("reconstruction_error", "with l as (select cast(l_linenumber as int) as gene, l_quantity x, l_extendedprice / 1000 y from lineitem) select gene, round(avg((x - y) ** 2), 4) as mse, round(1 - avg((x - y) ** 2) / var_pop(x), 4) as r2 from l group by 1")
