@@ -93,3 +93,16 @@ def test_model_queries_cover_all_components(spark):
     assert n > 16 and entry.queries()["cvae_reconstruction"](spark, sf).count() == n
     assert {len(r["vec"]) for r in entry.queries()["time_interpolation"](spark, sf).collect()} == {n}
     assert {len(r["mean"]) for r in entry.queries()["diffusion_states"](spark, sf).collect()} == {n}
+
+
+def test_typed_declarations_and_long_literals():
+    from tissueloom.llm.secrets import added_spans, literal_score, pairs
+
+    typed = ['password: str = "Zx81!kQp02Lm"', 'let api_key: &str = "Zx81!kQp02Lm"', 'const apiKey: string = "Zx81!kQp02Lm"', 'var token string = "Zx81!kQp02Lm"', 'db_pwd: Optional[str] = "Zx81!kQp02Lm"']
+    for t in typed:
+        (begin, end, _), = added_spans(t, [], 4.0)
+        assert t[begin:end] == t.removeprefix("let ").removeprefix("const ").removeprefix("var ")
+    assert [x[:2] for x in pairs("password: QWxhZGRpbg==\nname: K\nx = 3")] == [("password", "QWxhZGRpbg=="), ("name", "K"), ("x", "3")]
+    # white space after the first 4096 characters counts
+    (_, value, *_, counts), = pairs(f'secret_a = "{"a1B!c" * 1000} and prose"')
+    assert len(value) == 4096 and sum(counts.values()) == 5010 and literal_score(value, counts) == -5.0

@@ -1,8 +1,8 @@
 """Operator 4, secret scan: assignment-aware lexing.
 
 The lexer reads assignments of source and configuration syntax (``=``, ``:``, ``:=``, ``=>``;
-quoted, bare and concatenated literals; names, quoted keys, members) out of free text as
-name-literal pairs, in order. A right side that names an earlier target is replaced by that
+quoted, bare and concatenated literals; names, quoted keys, members; a declared type between
+name and ``=``) out of free text as name-literal pairs, in order. A right side that names an earlier target is replaced by that
 target's literal, so constants propagate. A literal is scored by how sensitive its target's
 name is and by how much it looks like key material; the pairs above the threshold are added to
 the spans of the base patterns.
@@ -39,14 +39,21 @@ PLACEHOLDERS = {"changeme", "password", "example", "placeholder", "yourpassword"
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
-#: Characters of a propagated literal that are scored, so that ``b = a + a`` cannot grow without end; spans are whole.
+#: Characters of a propagated literal that are kept, so that ``b = a + a`` cannot grow without end. Longer ones
+#: are scored from the counts of all their characters; spans are whole.
 LITERAL = 4096
+#: Words that are a type where they stand between a name and ``=``.
+TYPES = {"string", "str", "text", "char", "byte", "bytes", "rune", "varchar", "any", "auto"}
 
 _OPERATOR = re.compile(r"[:=]")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~$-]+")
 _QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*){q}") for q in "\"'`"}
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
+#: After a ``:``, a bare type up to the ``=`` that gives the value.
+_TYPED = re.compile(r"""[ \t]*+[&*]?(?:'[a-z]++[ \t]++)?(?:mut[ \t]++)?[A-Za-z_][A-Za-z0-9_.]*+(?:[\[<][^\n=;\[<]{0,64}[\]>]{1,4})?\??(?:[ \t]*+\|[ \t]*+[A-Za-z_]++)*+(?:[ \t]++=(?![=>~])(?=[ \t]*+["'`A-Za-z0-9+/_.~$])|=(?=[ \t]*+["'`]))""")
+#: Before a type's name in ``name type =``: the space, and what makes it a list or a pointer.
+_BEFORE_TYPE = re.compile(r"[ \t]+(?:\*|\[[0-9]{0,6}\])?\Z")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -71,27 +78,42 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) + HARMLESS.get(p, 0.0) for p in parts)
 
 
-def entropy(s: str) -> float:
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
+def entropy(counts: Counter) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values() if c / n)
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like key material; placeholders and prose score below 0."""
-    n = len(value)
-    if n < 8 or value.lower() in PLACEHOLDERS or value[0] in "$<{%" or len(set(value)) < 5 or any(c.isspace() for c in value):
+def literal_score(value: str, counts: Counter | None = None) -> float:
+    """How much a literal looks like key material; placeholders and prose score below 0.
+
+    ``counts``: of all characters of a literal of which ``value`` is only the beginning.
+    """
+    chars = counts or set(value)
+    n = sum(counts.values()) if counts else len(value)
+    if n < 8 or value.lower() in PLACEHOLDERS or value[0] in "$<{%" or len(chars) < 5 or any(c.isspace() for c in chars):
         return -5.0
-    classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(2.0, entropy(value) - 2.5) + 0.5 * (classes - 1) + (0.5 if n >= 16 else 0.0) - (1.5 if value.isalpha() else 0.0)
+    classes = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(2.0, entropy(counts or Counter(value)) - 2.5) + 0.5 * (classes - 1) + (0.5 if n >= 16 else 0.0) - (1.5 if all(c.isalpha() for c in chars) else 0.0)
+
+
+def extended(value: str, counts: Counter | None, more: str, more_counts: Counter | None) -> tuple[str, Counter | None]:
+    """A literal with another one behind it: its beginning, and the counts of all its characters if that is not all."""
+    whole = value + more
+    if not counts and not more_counts and len(whole) <= LITERAL:
+        return whole, None
+    total = Counter(counts or value)
+    total.update(more_counts or more)
+    return (value if counts else whole[:LITERAL]), total
 
 
 def pairs(text: str):
-    """(name, literal, begin of the name, end of the right side, sources) of each assignment, constants propagated.
+    """(name, literal, begin of the name, end of the right side, sources, counts) of each assignment, constants propagated.
 
     A propagated pair carries the literal that its right side names; its sources are the spans of
-    the assignments that it names. Time is linear in the text.
+    the assignments that it names. Of a literal of more than LITERAL characters there is the
+    beginning, and the counts of all its characters; they are None for others.
     """
-    constants: dict[str, tuple[str, tuple[int, int]]] = {}
+    constants: dict[str, tuple[str, Counter | None, tuple[int, int]]] = {}
     done = 0
     for m in _OPERATOR.finditer(text):
         p = m.start()
@@ -116,17 +138,26 @@ def pairs(text: str):
         while b > done and text[b - 1] in _NAME_CHARS:
             b -= 1
         name = text[b:e].strip(".-")
+        if name in TYPES and text[p] == "=" and not quote and (m := _BEFORE_TYPE.search(text, max(done, b - 32), b)):
+            # name type =
+            at = e = m.start()
+            while at > done and text[at - 1] in _NAME_CHARS:
+                at -= 1
+            if _NAME.match(text[at:e].strip(".-")):
+                name, b = text[at:e].strip(".-"), at
         if not name or not _NAME.match(name):
             continue
+        if text[p] == ":" and q == p + 1 and (m := _TYPED.match(text, q)):
+            q = m.end()  # name: type =
         # the right side: terms joined by + or . or side by side
-        value, at, ref, sources = "", q, False, []
+        value, counts, at, ref, sources = "", None, q, False, []
         end = q
         while True:
             while at < len(text) and text[at] in " \t":
                 at += 1
             lit = _QUOTED[text[at]].match(text, at) if at < len(text) and text[at] in _QUOTED else None
             if lit:
-                value = (value + lit[1])[:LITERAL]
+                value, counts = extended(value, counts, lit[1], None)
                 at = end = lit.end()
             else:
                 bare = _BARE.match(text, at)
@@ -134,11 +165,11 @@ def pairs(text: str):
                     break
                 word = bare[0]
                 if word in constants:
-                    known, place = constants[word]
-                    value, ref = (value + known)[:LITERAL], True
+                    known, known_counts, place = constants[word]
+                    (value, counts), ref = extended(value, counts, known, known_counts), True
                     sources.append(place)
                 elif not value:
-                    value = word.rstrip(".")[:LITERAL]
+                    value, counts = extended("", None, word.rstrip("."), None)
                 else:
                     break
                 at = end = bare.end() - (len(word) - len(word.rstrip(".")) if word not in constants else 0)
@@ -154,9 +185,9 @@ def pairs(text: str):
             break
         if not value:
             continue
-        constants[name] = value, (b, end)
+        constants[name] = value, counts, (b, end)
         done = end
-        yield name, value, b, end, sources
+        yield name, value, b, end, sources, counts
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str]]:
@@ -176,13 +207,13 @@ def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float) -
 
     named: dict[tuple[int, int], list[tuple[int, int]]] = {}  # of each assignment, those it names
     seen: set[tuple[int, int]] = set()
-    for name, value, begin, end, sources in pairs(text):
+    for name, value, begin, end, sources, counts in pairs(text):
         if sources:
             named[begin, end] = sources
         sensitive = name_score(name)
         if sensitive < 1.0:
             continue
-        look = literal_score(value)
+        look = literal_score(value, counts)
         if look > 0 and sensitive + look >= threshold:
             walk = [(begin, end)]
             while walk:
