@@ -232,25 +232,65 @@ def test_secrets_base_and_added(spark, real, odd, empty):
 
 
 # ---- 5 lines ------------------------------------------------------------------------------------------------
+def brute_repeats(rows):
+    """{doc_id: (kept text, removed characters)}, from the definition: every run of sentences is tried."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        cut, at = [], 0
+        for m in re.finditer(r"\n|[ \t\r\f\v]+", text):
+            before = text[: m.start()]
+            if m[0] == "\n" or re.search("[.!?。！？][\"'”’)\\]]?$", before):
+                cut.append((at, m.start()))
+                at = m.end()
+        cut = [(b, e) for b, e in [*cut, (at, len(text))] if text[b:e].split()]
+        n = [len(text[b:e].split()) for b, e in cut]
+        gone = set()
+        for i in range(len(cut)):
+            for j in range(i, len(cut)):
+                if sum(n[i : j + 1]) >= 16 and (sum(n[i:j]) < 16 or sum(n[i + 1 : j + 1]) < 16):
+                    words = tuple(text[cut[i][0] : cut[j][1]].lower().split())
+                    first = seen.setdefault(words, (doc_id, cut[i][0], cut[j][1]))
+                    if first[0] != doc_id or cut[i][0] >= first[2]:
+                        gone.update(range(cut[i][0], cut[j][1]))
+                if sum(n[i : j + 1]) >= 16 and sum(n[i + 1 : j + 1]) >= 16:
+                    break
+        for i in range(len(cut)):  # white space between removed sentences, and behind the last one
+            if cut[i][0] in gone and cut[i][1] - 1 in gone:
+                more = re.match(r"\s*", text[cut[i][1] :]).end()
+                if cut[i][1] + more in gone:
+                    gone.update(range(cut[i][1], cut[i][1] + more))
+        for e in sorted(x + 1 for x in gone if x + 1 not in gone):
+            b = e
+            while b - 1 in gone:
+                b -= 1
+            more = re.match(r"[ \t\r\f\v]*", text[e:]).end()
+            if text[e + more : e + more + 1] == "\n":
+                if text[:b] == "" or text[b - 1] == "\n":
+                    gone.update(range(e, e + more + 1))
+            else:
+                gone.update(range(e, e + more))
+        out[doc_id] = "".join(c for k, c in enumerate(text) if k not in gone)
+    return out
+
+
 def test_lines_keep_the_earliest(spark, real, odd, empty):
-    from tissueloom.llm.lines import remove_repeats, units_of
+    from tissueloom.llm.lines import remove_repeats
 
     line = " ".join(f"w{k}" for k in range(20))
-    made = docs_frame(spark, [(3, f"a\n{line}\nb"), (1, f"{line.upper()}\n{line}\nend"), (2, f"{line}"), (None, line), (7, None), (8, ""), (9, "short\nshort")])
+    made = docs_frame(spark, [(3, f"a\n{line}\nb"), (1, f"{line.upper()}\n{line}\nend"), (2, f"{line}"), (None, line), (7, None), (8, ""), (9, "short\nshort"), (10, f"Said so. {line}. \n\n {line}.  Then"), (11, f"{line}.\n{line}. x")])
     for frame in (real, made):
-        seen, want = set(), {}
-        for doc_id, text in sorted(((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()), key=lambda x: (x[0] is None, x[0] or 0)):
-            spans = []
-            for b, e, h in units_of(text or "") if doc_id is not None else []:
-                if h in seen:
-                    spans.append((b, e))
-                seen.add(h)
-            kept, at = "", 0
-            for b, e in spans:
-                kept, at = kept + (text or "")[at:b], e + 1
-            want[doc_id] = (len(spans), ",".join(f"{b}:{e}" for b, e in spans), None if text is None else kept + text[at:], len(text or "") - sum(e - b for b, e in spans))
-        got = {r["doc_id"]: (r["n_removed"], r["spans"], r["text"], r["kept_chars"]) for r in remove_repeats(frame).collect()}
-        assert got == want
+        rows = frame.select("doc_id", "text").collect()
+        want = brute_repeats([(i, t or "") for i, t in rows if i is not None])
+        got = {r["doc_id"]: r for r in remove_repeats(frame).collect()}
+        for doc_id, text in rows:
+            r = got[doc_id]
+            assert r["text"] == (None if text is None else want.get(doc_id, text)), doc_id
+            assert r["kept_chars"] == len(r["text"] or "") and r["kept_chars"] + r["removed_chars"] == len(text or "")
+            spans = [tuple(map(int, x.split(":"))) for x in r["spans"].split(",") if x]
+            left = list(text or "")
+            for b, e in reversed(spans):
+                del left[b:e]
+            assert "".join(left) == (r["text"] or "") and len(spans) == r["n_removed"]
     assert remove_repeats(odd).count() == len(ODD) and remove_repeats(empty).count() == 0
 
 

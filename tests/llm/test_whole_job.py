@@ -40,13 +40,25 @@ def test_hard_wrapped_passages_are_removed(spark):
     mixed = "\n".join(" ".join(w) for w in (words[:14], words[14:32], words[32:45], words[45:]))  # 14, 18, 13 and 20 words
     same = "\n".join(["one short line"] * 18)
     docs = docs_frame(spark, [(1, f"a b\n{wrapped}\nc"), (2, f"d e f\n{wrapped}\ng h"), (3, f"i\n\n{mixed}"), (4, f"{mixed}\nj k"), (5, same), (6, "heading\na short line\n\nb"), (7, "heading\na short line\n\nc")])
-    got = {r["doc_id"]: r for r in remove_repeats(docs, passages=True).collect()}
-    assert got[1]["n_removed"] == 0 and got[2]["text"] == "d e f\ng h" and got[2]["n_removed"] == 5
+    got = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "d e f\ng h" and got[2]["n_removed"] == 1
     assert got[3]["n_removed"] == 0 and got[4]["text"] == "j k"
     assert got[5]["text"] == "\n".join(["one short line"] * 6) + "\n" and got[7]["n_removed"] == 0
     assert all(r["kept_chars"] + r["removed_chars"] == n["n_chars"] for r, n in ((got[x["doc_id"]], x) for x in docs.collect()))
 
 
+def test_passages_inside_lines_are_removed(spark):
+    from tissueloom.llm.lines import remove_repeats
+
+    said = " ".join(f"{a} {b} {c} stood on the hill." for a, b, c in zip("abcdefgh", "ijklmnop", "qrstuvwx"))  # 56 words
+    docs = docs_frame(spark, [(1, f"Before. {said} After it."), (2, f"Other words here! {said.upper()} and more words.\nEnd."), (3, f"Cut off {said}"), (4, "a i q stood on the hill. Alone.")])
+    got = {r["doc_id"]: r for r in remove_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "Other words here! and more words.\nEnd."
+    # the first sentence differs by what stands before it
+    assert got[3]["text"] == "Cut off a i q stood on the hill. " and got[4]["n_removed"] == 0
+    assert [docs.where(f"doc_id = {k}").first()["text"][slice(*map(int, got[k]["spans"].split(":")))] for k in (2, 3)] == [said.upper() + " ", said[len("a i q stood on the hill. ") :]]
+
+
 def test_licence_grants_and_tags_are_labelled(spark):
     from tissueloom.llm.licenses import scan_licenses
 

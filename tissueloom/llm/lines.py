@@ -1,13 +1,15 @@
 """Operator 5, substring dedup by line hashing.
 
-Each line of enough words is normalised and hashed with its offsets; so is, for shorter lines,
-the shortest passage of consecutive lines from or up to each that has enough words. Digests meet
-globally: the earliest occurrence by (doc_id, offset) stays, every other one is removed. Offsets
-are those of the original text.
+Lines are cut into sentences; the unit is the shortest run of sentences, from or up to each one,
+that has enough words, whatever line breaks lie in it. A long line, a paragraph of short lines and
+a passage set into the middle of a line all are made of such runs. Each unit is normalised and
+hashed with its offsets. Digests meet globally: the earliest occurrence by (doc_id, offset)
+stays, every other one is removed. Offsets are those of the original text.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import xxhash
@@ -16,126 +18,148 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, staged, texts
 
-#: Least words of a line, or of a passage of lines, that counts as a unit: shorter ones (headings,
-#: licence and sign-off lines) recur in unrelated documents by right.
+#: Least words of a unit: shorter passages (headings, licence and sign-off lines) recur in
+#: unrelated documents by right. It counts over line breaks.
 MIN_WORDS = 16
 
-UNITS = "hi long, lo long, doc_id long, begin int, stop int, cuts string"
+UNITS = "hi long, lo long, doc_id long, begin int, stop int"
+RESULT = "doc_id long, n_removed long, removed_chars long, kept_chars long, spans string, text string"
 
+#: Between two sentences: a line break, or white space behind a full stop (and closing quotes).
+_BREAK = re.compile(r"\n|(?<=[.!?。！？])[ \t\r\f\v]+|(?<=[.!?。！？][\"'”’)\]])[ \t\r\f\v]+")
 
-def units_of(text: str, min_words: int = MIN_WORDS):
-    r"""(begin, stop, digest) of each ``\n``-split line with at least ``min_words`` words.
 
-    Normal form: case folded to lower, words joined by single spaces. The digest is 128 bits.
-    """
-    begin = 0
-    for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= min_words:
-            yield begin, begin + len(line), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
-        begin += len(line) + 1
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(begin, stop, words in lower case) of each sentence that has words."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        words = text[at : m.start()].lower().split()
+        if words:
+            out.append((at, m.start(), words))
+        at = m.end()
+    words = text[at:].lower().split()
+    if words:
+        out.append((at, len(text), words))
+    return out
 
 
-def passages_of(text: str, min_words: int = MIN_WORDS):
-    """(lines, digest) of each passage of two lines or more; lines are (begin, stop) pairs.
+def units_of(text: str, min_words: int = MIN_WORDS):
+    """(begin, stop, digest) of each unit: for every sentence the shortest runs that begin and that end with it.
 
-    For each line of fewer words than ``min_words``: the shortest runs of consecutive lines that
-    begin and that end with it and have at least ``min_words`` words. Lines without words part
-    passages. Normal form as in units_of, whatever the line breaks.
+    Normal form: lower case, words joined by single spaces. The digest is 128 bits.
     """
-    lines, begin = [], 0
-    for line in text.split("\n"):
-        lines.append((begin, begin + len(line), line.lower().split()))
-        begin += len(line) + 1
-    done = set()
-    for k, (_, _, words) in enumerate(lines):
-        if not 0 < len(words) < min_words:
-            continue
-        for step in (1, -1):
-            n, j = len(words), k
-            while n < min_words and 0 <= j + step < len(lines) and lines[j + step][2]:
-                j += step
-                n += len(lines[j][2])
-            run = (min(j, k), max(j, k))
-            if n >= min_words and run not in done:
-                done.add(run)
-                part = lines[run[0] : run[1] + 1]
-                yield [x[:2] for x in part], xxhash.xxh3_128_digest(" ".join(w for x in part for w in x[2]).encode("utf-8", "replace"))
-
-
-def units(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
-    """The units of all texts: digest (two longs), doc_id, begin, stop, and the lines of a passage (``begin:stop``, comma-joined)."""
+    every = sentences(text)
+    plain = [" ".join(words) for _, _, words in every]
+    size = [len(words) for _, _, words in every]
+    runs = set()
+    # two moving windows: the shortest run from each sentence, and the shortest one up to each
+    j = n = 0
+    for k in range(len(every)):
+        while j < len(every) and n < min_words:
+            n += size[j]
+            j += 1
+        if n < min_words:
+            break
+        runs.add((k, j))
+        n -= size[k]
+    k = n = 0
+    for j in range(len(every)):
+        n += size[j]
+        while n - size[k] >= min_words:
+            n -= size[k]
+            k += 1
+        if n >= min_words:
+            runs.add((k, j + 1))
+    for k, j in sorted(runs):
+        yield every[k][0], every[j - 1][1], xxhash.xxh3_128_digest(" ".join(plain[k:j]).encode("utf-8", "replace"))
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The units of all texts: digest (two longs), doc_id, begin, stop."""
 
     def make():
         def f(b):
-            hi, lo, ids, begins, stops, cuts = [], [], [], [], [], []
+            hi, lo, ids, begins, stops = [], [], [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 for begin, stop, digest in units_of(text, min_words):
                     x, y = struct.unpack("<qq", digest)
-                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(begin), stops.append(stop), cuts.append(None)
-                for lines, digest in passages_of(text, min_words) if passages else ():
-                    x, y = struct.unpack("<qq", digest)
-                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(lines[0][0]), stops.append(lines[-1][1])
-                    cuts.append(",".join(f"{begin}:{stop}" for begin, stop in lines))
-            return {"hi": hi, "lo": lo, "doc_id": ids, "begin": begins, "stop": stops, "cuts": cuts}
+                    hi.append(x), lo.append(y), ids.append(doc_id), begins.append(begin), stops.append(stop)
+            return {"hi": hi, "lo": lo, "doc_id": ids, "begin": begins, "stop": stops}
 
         return f
 
     return map_rows(docs.where("doc_id is not null"), make, UNITS, ["doc_id", "text"])
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
-    """doc_id and ``removed``: sorted array of (begin, stop) of the lines whose unit stands earlier already.
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id and ``begins``, ``stops``: the places, in order, of the units that stand earlier already.
 
     Both tables are stored before they meet, so that a digest with very many occurrences is
-    split over tasks; its aggregation sums up within each task first. A passage that runs into
-    the first one of its kind, as where one line is repeated over and over, is not removed.
+    split over tasks; its aggregation sums up within each task first. A unit that runs into the
+    first one of its kind, as where one sentence is repeated over and over, is not removed.
     """
-    every = staged(units(docs, min_words, passages), "line-units")
+    every = staged(units(docs, min_words), "line-units")
     place = F.struct("doc_id", "begin", "stop")
     firsts = every.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "first")
     firsts = staged(firsts, "line-firsts")
-    later = every.join(firsts, ["hi", "lo"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("begin") != F.col("first.begin")) & (F.col("cuts").isNull() | (F.col("begin") > F.col("first.stop"))))
-    whole = F.concat_ws(":", F.col("begin").cast("string"), F.col("stop").cast("string"))
-    lines = later.select("doc_id", F.explode(F.split(F.coalesce("cuts", whole), ",")).alias("x"))
-    line = F.struct(*(F.split_part("x", F.lit(":"), F.lit(k)).cast("int").alias(end) for k, end in ((1, "begin"), (2, "stop"))))
-    return lines.groupBy("doc_id").agg(F.sort_array(F.collect_set(line)).alias("removed"))
+    later = every.join(firsts, ["hi", "lo"]).where("doc_id <> first.doc_id or begin >= first.stop")
+    places = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "stop"))).alias("places"))
+    return places.select("doc_id", F.col("places.begin").alias("begins"), F.col("places.stop").alias("stops"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passages: bool = False) -> DataFrame:
-    """Documents without the lines that an earlier document, or the same one earlier, holds.
+def removed_spans(text: str, begins: list[int], stops: list[int]) -> list[tuple[int, int]]:
+    """What goes with these units (sorted by begin): disjoint spans with the white space behind them.
 
-    Takes rows with doc_id and text; returns doc_id, n_removed, removed_chars, kept_chars,
-    ``spans`` (``begin:stop`` in code points of the original text, comma-joined) and ``text``
-    without those spans (and without the line break after each). Units are single lines; with
-    ``passages``, also passages of lines that are too short by themselves, and a span is a line.
+    A span takes the line break behind it along only where it begins a line.
+    """
+    out: list[list[int]] = []
+    for begin, stop in zip(begins, stops, strict=True):
+        if out and not text[out[-1][1] : begin].strip():  # overlaps the last one, or only white space is between
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([begin, stop])
+    for span in out:
+        at = span[1]
+        while at < len(text) and text[at] in " \t\r\f\v":
+            at += 1
+        if text[at : at + 1] == "\n":
+            if span[0] == 0 or text[span[0] - 1] == "\n":
+                span[1] = at + 1
+        else:
+            span[1] = at
+    return [(begin, stop) for begin, stop in out]
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Documents without the passages that an earlier document, or the same one earlier, holds.
+
+    Takes rows with doc_id and text; returns doc_id, n_removed (spans), removed_chars, kept_chars
+    (the length of the returned text), ``spans`` (``begin:stop`` in code points of the original
+    text, disjoint, comma-joined) and ``text`` without those spans. A passage is one of at least
+    ``min_words`` words that is made of whole sentences; case and white space do not matter.
 
     "Earliest" is by (doc_id, offset); rows that share a doc_id count as one document, so their
-    equal lines at equal offsets all stay. Rows with a null doc_id are returned whole and take
-    no part. Null texts stay null; empty texts and texts without a long line lose nothing; other
+    equal units at equal offsets all stay. Rows with a null doc_id are returned whole and take
+    no part. Null texts stay null; empty texts and texts of fewer words lose nothing; other
     columns are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, min_words, passages)
-    joined = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars")).join(spans, "doc_id", "left")
-    n = F.coalesce(F.size("removed"), F.lit(0))
-    n = F.when(F.col("removed").isNull(), 0).otherwise(n)
-    gone = F.coalesce(F.aggregate("removed", F.lit(0), lambda a, x: a + x["stop"] - x["begin"]), F.lit(0))
-    return joined.select(
-        "doc_id",
-        n.cast("long").alias("n_removed"),
-        gone.cast("long").alias("removed_chars"),
-        (F.col("chars") - gone).cast("long").alias("kept_chars"),
-        F.coalesce(F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["begin"].cast("string"), x["stop"].cast("string"))), ","), F.lit("")).alias("spans"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut_expression()).alias("text"),
-    )
-
-
-def cut_expression():
-    """The text between the removed spans; each span takes its line break along."""
-    state = "struct(cast('' as string) as kept, 1 as at)"
-    return F.expr(
-        f"concat(aggregate(removed, {state}, (a, x) -> struct(concat(a.kept, substr(text, a.at, x.begin + 1 - a.at)) as kept, x.stop + 2 as at)).kept, "
-        f"substr(text, element_at(removed, -1).stop + 2))"
-    )
+    joined = docs.select("doc_id", "text").join(repeated_spans(docs, min_words), "doc_id", "left")
 
+    def make():
+        def f(b):
+            out = {x.split()[0]: [] for x in RESULT.split(", ")}
+            for doc_id, text, begins, stops in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "begins", "stops")), strict=True):
+                gone = [(x, y) for x, y in removed_spans(text, begins, stops) if x < len(text)] if begins and text else []
+                kept = text
+                if gone:
+                    ends = [0, *(y for _, y in gone)]
+                    kept = "".join(text[x:y] for x, y in zip(ends, [*(x for x, _ in gone), len(text)], strict=True))
+                n = len(text or "") - len(kept or "")
+                row = doc_id, len(gone), n, len(kept or ""), ",".join(f"{x}:{y}" for x, y in gone), kept
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            return out
+
+        return f
 
+    return map_rows(joined, make, RESULT, ["doc_id", "text", "begins", "stops"])
