@@ -36,6 +36,8 @@ BLOCK = 16
 COMMON = 1 / 8
 #: Characters of test items that one index holds; more items make more indexes, each queried by all texts.
 INDEX_CHARS = 4_000_000
+#: Sums of block maxima, and block maxima, that a worker holds at a time, whatever the text's length.
+CELLS = 1 << 18
 
 MATCHES = "doc_id long, item_id long, passage int, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
@@ -82,6 +84,46 @@ class Item:
     shingles: set = field(default_factory=set)
 
 
+class BlockMaxima:
+    """Of the blocks of one stride: the largest impact of each rare term, as sparse rows term -> (block, impact)."""
+
+    def __init__(self, stride: int, blocks: list[int], maxima: list[dict[int, float]], need: list[float], n_terms: int):
+        self.stride, self.blocks, self.need = stride, np.array(blocks), np.array(need)
+        term = np.concatenate([np.fromiter(m, np.int64, len(m)) for m in maxima])
+        block = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(m) for m in maxima])
+        value = np.concatenate([np.fromiter(m.values(), np.float32, len(m)) for m in maxima])
+        order = np.argsort(term, kind="stable")
+        self.block, self.value = block[order], value[order]
+        self.start = np.zeros(n_terms + 2, np.int32)  # the last row, of words not indexed, is empty
+        np.cumsum(np.bincount(term, minlength=n_terms + 1), out=self.start[1:])
+
+    def stretches(self, ids: np.ndarray) -> np.ndarray:
+        """The summed maxima of each stretch of ``stride`` words, by block."""
+        width, n = len(self.blocks), self.stride
+        out = np.zeros((-(-len(ids) // n), width))
+        for at in range(0, len(ids), max(1, CELLS // width)):
+            some = ids[at : at + max(1, CELLS // width)]
+            count = self.start[some + 1] - self.start[some]
+            row = np.repeat(self.start[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = np.repeat((np.arange(at, at + len(some)) // n) * width, count) + self.block[row]
+            out += np.bincount(cell, self.value[row], out.size).reshape(out.shape)
+        return out
+
+    def passages(self, ids: np.ndarray):
+        """(begin, end, blocks) of each passage whose sum reaches what some block needs."""
+        n = self.stride
+        total = -(-max(1, len(ids) - n) // n)
+        step = max(1, CELLS // len(self.blocks))
+        for a in range(0, total, step):
+            b = min(a + step, total)
+            sums = self.stretches(ids[a * n : (b + 1) * n])
+            if len(sums) <= b - a:
+                sums = np.concatenate([sums, np.zeros((b - a + 1 - len(sums), sums.shape[1]))])
+            through = sums[: b - a] + sums[1 : b - a + 1] >= self.need
+            for k in np.flatnonzero(through.any(1)):
+                yield (a + int(k)) * n, min((a + int(k) + 2) * n, len(ids)), self.blocks[through[k]].tolist()
+
+
 class Index:
     """BM25 index of some items; document frequencies and lengths are those of all items."""
 
@@ -99,12 +141,11 @@ class Index:
             idf[t] = math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5))
         common = seen > max(1, COMMON * n_items)
         postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        self.bound = []  # of each block: what its common terms can add at most
+        bound, maxima = [], []  # of each block: what its common terms can add at most, and its rare terms each
         self.blocks = [range(k, min(k + BLOCK, len(self.items))) for k in range(0, len(self.items), BLOCK)]
-        self.rare_max = np.zeros((n_terms + 1, len(self.blocks)), np.float32)  # the last row is for words not indexed
-        self.length = []  # of each block: the stride of the passages that are asked about it
+        strides = defaultdict(list)
         for b, block in enumerate(self.blocks):
-            most = 0.0
+            most, rare = 0.0, {}
             for i in block:
                 item = self.items[i]
                 item.shingles = shingles(item.words)
@@ -123,14 +164,12 @@ class Index:
                     if common[t]:
                         shared += x
                     else:
-                        self.rare_max[t, b] = max(self.rare_max[t, b], x * (1 + 1e-6))
+                        rare[t] = max(rare.get(t, 0.0), x * (1 + 1e-6))
                 most = max(most, shared)
-            self.bound.append(most)
-            self.length.append(stride_of(len(self.items[block[-1]].words)))
+            bound.append(most), maxima.append(rare)
+            strides[stride_of(len(self.items[block[-1]].words))].append(b)
         self.postings = [([i for i, _ in p], [x for _, x in p]) for p in postings]
-        self.classes = defaultdict(list)
-        for b, n in enumerate(self.length):
-            self.classes[n].append(b)
+        self.classes = [BlockMaxima(n, blocks, [maxima[b] for b in blocks], [1 - bound[b] - 1e-6 for b in blocks], n_terms) for n, blocks in strides.items()]
 
     # ---- queries ------------------------------------------------------------------------------
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -143,17 +182,8 @@ class Index:
         For a block of stride n, passages are 2n words long and begin every n words, so that every
         stretch of n words lies in one; n exceeds the block's longest item by a quarter or more.
         """
-        for n, blocks in self.classes.items():
-            begins = np.arange(0, max(1, len(ids) - n), n)
-            ends = np.minimum(begins + 2 * n, len(ids))
-            need = np.array([1 - self.bound[b] for b in blocks]) - 1e-6
-            for at in range(0, len(blocks), 64):
-                some = blocks[at : at + 64]
-                sums = np.zeros((len(ids) + 1, len(some)))
-                np.cumsum(self.rare_max[:, some][ids] if len(some) < len(self.blocks) else self.rare_max[ids], axis=0, out=sums[1:], dtype=np.float64)
-                through = sums[ends] - sums[begins] >= need[at : at + 64]
-                for k in np.flatnonzero(through.any(1)):
-                    yield int(begins[k]), int(ends[k]), [some[j] for j in np.flatnonzero(through[k])]
+        for some in self.classes:
+            yield from some.passages(ids)
 
     def wand(self, terms: list[int], block: range) -> list[tuple[int, float]]:
         """The block's items whose summed impacts reach 1, with the sums."""
