@@ -105,6 +105,33 @@ def test_wand_equals_exhaustive_scoring(spark):
             assert {i for i, _ in ix.wand(passage, b)} == want
 
 
+def test_block_maxima_let_through_what_dense_sums_do(monkeypatch):
+    from tissueloom.llm import decontaminate as D
+
+    rng = np.random.default_rng(8)
+    vocab = [b"w%d" % k for k in range(20_000)]
+    items = [([k], [vocab[j] for j in rng.zipf(1.2, int(rng.integers(6, 70))) % 20_000], 6) for k in range(3000)]
+    df = Counter(w for _, ws, _ in items for w in set(ws))
+    ix = D.Index(items, df, 3000, float(np.mean([len(w) for _, w, _ in items])))
+    filled = sum(len(c.value) for c in ix.classes)
+    assert sum(c.start.nbytes + c.block.nbytes + c.value.nbytes for c in ix.classes) == 8 * filled + 4 * len(ix.classes) * (len(ix.terms) + 2)
+    for n in (0, 1, 7, 40, 400):
+        ids = ix.ids([vocab[j] for j in rng.zipf(1.2, n) % 20_000])
+        want = set()
+        for c in ix.classes:
+            dense = np.zeros((len(ix.terms) + 1, len(c.blocks)))
+            for t in range(len(ix.terms)):
+                at = slice(c.start[t], c.start[t + 1])
+                dense[t, c.block[at]] = c.value[at]
+            for begin in range(0, max(1, n - c.stride), c.stride):
+                end = min(begin + 2 * c.stride, n)
+                want |= {(begin, end, int(b)) for b in c.blocks[dense[ids[begin:end]].sum(0) >= c.need]}
+        for cells in (D.CELLS, 64):  # however little is held at a time
+            monkeypatch.setattr(D, "CELLS", cells)
+            assert {(b, e, x) for b, e, some in ix.passages(ids) for x in some} == want
+        monkeypatch.undo()
+
+
 # ---- 2 personal data ----------------------------------------------------------------------------------
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -334,6 +361,16 @@ def test_fertility_bands():
     assert (main_script("abc где"), main_script("где"), main_script("123"), main_script("日本")) == ("CYRILLIC", "CYRILLIC", "OTHER", "CJK")
 
 
+def test_fallback_is_skipped_only_where_it_is_zero():
+    from tissueloom.llm.quality import Fertility, default_vocabularies, words_of
+
+    fert, rng = Fertility(*default_vocabularies()), np.random.default_rng(4)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "é", "\u0301", "日", "ᚠ", "\u1100", "\u1161", "ﬁ", " ", "\x1c", "\u2003", "\x85", "가", "😀"], int(rng.integers(1, 12))))
+        assert not fert.covered(text) or fert.fallback(words_of(text)) == 0
+    assert fert.covered("plain words, naïve ones\n") and not fert.covered("ᚠᚢᚦ")
+
+
 # ---- 7 WARC ---------------------------------------------------------------------------------------------------
 PAGES = [(1, "http://a/ü x\r\ny", "<p>é</p>"), (2, None, None), (3, "http://b", ""), (5, "u", "same"), (4, "u", "same"), (6, "v", "same"), (None, "w", "same"), (7, "z", "z" * 3_000_000), (None, "q", "lone"), (8, "d", "dup"), (8, "d", "dup")]
 

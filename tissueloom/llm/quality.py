@@ -114,7 +114,7 @@ def main_script(text: str) -> str:
 
 
 class Fertility:
-    """The two public vocabularies, loaded once a task."""
+    """The two public vocabularies, loaded once a worker process (see fertility_of)."""
 
     def __init__(self, ranks_path: str, piece_path: str, pattern: str):
         import sentencepiece
@@ -126,6 +126,16 @@ class Fertility:
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.is_byte = [self.pieces.IsByte(i) or self.pieces.IsUnknown(i) for i in range(self.pieces.GetPieceSize())]
         self.known: dict[bytes, int] = {}
+        self.plain: dict[str, bool] = {}
+
+    def covered(self, text: str) -> bool:
+        """Whether no character of the text can become byte pieces: each is a piece, and combines with no other."""
+        plain = self.plain
+        chars = set(text)
+        for ch in chars.difference(plain):
+            alone = unicodedata.normalize("NFKC", ch) == ch and not unicodedata.combining(ch) and not "\u1100" <= ch <= "\u11ff"
+            plain[ch] = ch in " \t\n\r\x0b\x0c" or (alone and not any(map(self.is_byte.__getitem__, self.pieces.encode(ch))))
+        return all(map(plain.__getitem__, chars))
 
     def fallback(self, words: list[bytes]) -> float:
         """Share of byte pieces among the pieces of the words, each encoded by itself (and remembered)."""
@@ -148,7 +158,13 @@ class Fertility:
         clean = text.encode("utf-8", "replace").decode() if any_surrogate(text) else text
         ids = np.asarray(self.bpe.encode_ordinary(clean))
         share = np.unique(ids, return_counts=True)[1] / len(ids)
-        return len(ids), round(len(text) / len(ids), 6), round(self.fallback(words), 6), round(float(-(share * np.log2(share)).sum()) + 0.0, 6)
+        fallback = 0.0 if self.covered(clean) else self.fallback(words)
+        return len(ids), round(len(text) / len(ids), 6), round(fallback, 6), round(float(-(share * np.log2(share)).sum()) + 0.0, 6)
+
+
+@lru_cache(2)
+def fertility_of(vocabularies: tuple[str, str, str]) -> Fertility:
+    return Fertility(*vocabularies)
 
 
 def any_surrogate(text: str) -> bool:
@@ -219,7 +235,7 @@ class Judge:
     """Counts, fertility and verdict of one text: the columns of SCHEMA after doc_id."""
 
     def __init__(self, vocabularies: tuple[str, str, str], bands=BANDS):
-        self.fertility, self.bands = Fertility(*vocabularies), bands
+        self.fertility, self.bands = fertility_of(tuple(vocabularies)), bands
 
     def __call__(self, text: str) -> tuple:
         words = words_of(text)
