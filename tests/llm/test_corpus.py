@@ -479,24 +479,33 @@ def test_jaccard_odd_rows(spark, odd):
     assert keep_first(odd).count() == len(ODD)
 
 
-def test_every_linked_pair_shares_a_signature():
+@pytest.mark.parametrize("percent", [85, 80])
+def test_every_linked_pair_shares_a_signature(percent):
     """The plan's promise, on random pairs at the threshold, in all bands."""
-    from tissueloom.llm.jaccard import most_apart, signatures
+    from tissueloom.llm.jaccard import linked, most_apart, signatures
 
     rng = np.random.default_rng(9)
-    for _ in range(400):
-        n = int(rng.integers(7, 900))
+    tried = 0
+    for _ in range(1500):
+        n = int(rng.integers(4, 80 if rng.random() < 0.6 else 900))
         both = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        apart = most_apart(n, n)
-        k = int(rng.integers(0, max(1, apart // 2 - 1) + 1))
+        apart = most_apart(n, n, percent) + int(rng.integers(0, 3))
+        k = int(rng.integers(0, apart + 1))
         a = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, k).astype(np.uint64)]))
-        b = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, max(0, min(apart - k, int(0.15 * n)))).astype(np.uint64)]))
-        if 100 * n < 85 * (len(a) + len(b) - n):
+        b = np.unique(np.concatenate([both, rng.integers(0, 1 << 63, apart - k).astype(np.uint64)]))
+        if not linked(len(a), len(b), n, percent) or np.array_equal(a, b):
             continue
-        if np.array_equal(a, b):
-            continue
-        sig, owner = signatures([a, b], np.array([1, 2]))
+        tried += 1
+        sig, owner = signatures([a, b], np.array([1, 2]), percent)
         assert set(sig[owner == 1]) & set(sig[owner == 2])
+    assert tried > 300
+
+
+def test_plans_weigh_neighbourhoods_against_exact_segments():
+    from tissueloom.llm.jaccard import plan_of
+
+    assert all(plan_of(k).near == plan_of(k).m for k in (2, 3, 4, 5))  # short sets: fewer and longer segments
+    assert all(plan_of(k).near == 0 < plan_of(k).spare for k in (6, 8, 10))
 
 
 def test_components_of_long_paths(spark):

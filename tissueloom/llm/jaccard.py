@@ -5,8 +5,9 @@ A document is its set of distinct word shingles. Equal sets are one class; only
 Sizes fall into bands. For pairs whose larger set is in a band, a link bounds the symmetric
 difference by U, so the shingles' universe is hashed into segments, and each set indexes its
 segments: exactly (a segment that a linked pair shares must exist if there are more than U), or
-with their one-deletion neighbourhoods (such a segment absorbs two differences). How many of
-each a band gets is chosen by cost. Segments that hold nothing would gather everyone; they are
+with their one-deletion neighbourhoods (such a segment absorbs two differences, so there are
+fewer and longer ones). How many of each a band gets is chosen by the cost of its index rows and
+of the unlinked sets that short segments bring together. Segments that hold nothing would gather everyone; they are
 not indexed, and each band has spare segments for them. A set that has more of them than that
 (it is rare) indexes them all the same, so nothing is lost: see ``Plan``.
 
@@ -29,9 +30,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from .common import discard, map_rows, staged, texts, thinned
+from .common import arrow_schema, discard, map_rows, staged, texts, thinned
 from .graph import components
 
 # --- fixed values: the contract ---------------------------------------------------------------
@@ -39,12 +39,19 @@ WORDS, PERCENT = 4, 85
 # -----------------------------------------------------------------------------------------------
 #: Ratio of the bands' bounds; at least 100 / PERCENT, so that links reach the next band at most.
 RATIO = 2.0
-#: Share of a band's sets that may have more empty segments than it has spare ones.
-RARE = 1e-3
+#: Share of a band's sets that may have more empty segments than it has spare ones, and what more of
+#: them cost (in index rows): they all meet in their empty segments.
+RARE, GATHER = 1e-3, 1e4
 #: Bits of a set's parity sketch for each shingle, and the fewest and most in all (as powers of two).
 #: Two sketches differ in no more bits than their sets in shingles, whatever their lengths.
 SKETCH, SKETCH_LEAST, SKETCH_MOST = 2, 8, 16
 
+#: Measured on texts: how many unlinked sets share a shingle of a set, and the share of them that
+#: shares the next one too, for sets of under so many shingles; and how many index rows the check of
+#: one such set is worth. They steer the plan only, whatever they are nothing is lost.
+SHARED = ((64, 24.0, 1 / 4), (256, 9.5, 1 / 9), (math.inf, 6.7, 1 / 80))
+VERIFY = 1.0
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,10 +88,10 @@ class Shingler:
         return np.unique(mix(out))
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A class's 64-bit number, signed."""
-    x = xxhash.xxh3_64_intdigest(tokens.tobytes(), len(tokens))
-    return x - (1 << 64) if x >> 63 else x
+def node_of(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """A class's 64-bit number, signed, and another 64 bits by which classes of one number are told apart."""
+    x = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
+    return tuple(y - (1 << 64) if y >> 63 else y for y in (x & (1 << 64) - 1, x >> 64))
 
 
 def most_apart(a: int, b: int, percent: int = PERCENT) -> int:
@@ -145,6 +152,14 @@ def subset(sizes: np.ndarray, hi: int, near: int, spare: int, percent: int = PER
     return np.maximum(need - near, -(-need // 2))
 
 
+def empty_share(size: int, m: int) -> tuple[float, float]:
+    """Chances that a segment of ``m`` holds none, and one, of a set's shingles."""
+    if m == 1:
+        return float(size == 0), float(size == 1)
+    none = math.exp(size * math.log1p(-1 / m))
+    return none, size / (m - 1) * none
+
+
 def _tail(mean: float, most: int) -> float:
     """Poisson probability of more than ``most`` (by the normal distribution for large means)."""
     if mean > 60:
@@ -156,16 +171,26 @@ def _tail(mean: float, most: int) -> float:
     return max(0.0, 1 - total)
 
 
+def met(mean: float, size: int, near: bool) -> float:
+    """Unlinked sets that meet a set of this size in a segment of ``mean`` shingles (Poisson), exact or with neighbourhoods."""
+    shared, then = next((s, t) for most, s, t in SHARED if size < most)
+    some = math.exp(-(1 - then) * mean) - math.exp(-mean)  # sets in an empty segment are not indexed
+    if not near:
+        return shared * some / then
+    one = mean * math.exp(-mean)
+    return shared * ((some - then * one) / then**2 + one)  # all shingles but one, or a single one
+
+
 @lru_cache(1 << 12)
 def plan_of(k: int, percent: int = PERCENT) -> Plan | None:
-    """The cheapest plan by indexed segments for a typical set; None where linked sets are equal."""
+    """The cheapest plan by index rows, checks and rare sets (see RARE); None where linked sets are equal."""
     lo, hi = band_bounds(k)
     u = most_apart(hi, hi, percent)
     if u == 0:
         return None
     least = max(1, percent * lo // 100)  # the smallest sets that take part have the emptiest segments
     sizes = np.unique(np.linspace(least, hi, 9).astype(np.int64))
-    best = None
+    found = []
     for near in sorted({*range(0, min(u, 8) + 1), u // 4, u // 2, (u + 1) // 2}):
         spare = 0
         while spare < u + 3:
@@ -173,15 +198,17 @@ def plan_of(k: int, percent: int = PERCENT) -> Plan | None:
             if m < max(1, near):
                 spare += 1
                 continue
-            mean, own = least / m, int(subset(sizes[:1], hi, near, spare, percent)[0])
-            loss = math.exp(-mean) * (own + near) + near * mean * math.exp(-mean)
-            if _tail(loss, spare) <= RARE:
-                cost = float((subset(sizes, hi, near, spare, percent) + near * sizes / m).mean())
-                if best is None or cost < best[0]:
-                    best = (cost, Plan(m, near, spare))
+            none, one = empty_share(least, m)
+            loss = none * (int(subset(sizes[:1], hi, near, spare, percent)[0]) + near) + near * one
+            rare, of, cost = _tail(loss, spare), subset(sizes, hi, near, spare, percent), 0.0
+            for n, shown in zip(sizes.tolist(), of.tolist(), strict=True):
+                checks = (shown - near) * met(n / m, n, False) + near * met(n / m, n, True)
+                cost += shown + near * n / m + VERIFY * checks
+            found.append((cost + GATHER * max(0.0, rare - RARE), near, Plan(m, near, spare)))
+            if rare <= RARE:
                 break
-            spare = max(spare + 1, int(loss))
-    return best[1] if best else Plan(u + 1, 0, 0)
+            spare = max(spare + 1, min(int(loss), u + 2))
+    return min(found, key=lambda x: x[:2])[2]
 
 
 def signatures(tokens: list[np.ndarray], nodes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -227,11 +254,11 @@ def signatures(tokens: list[np.ndarray], nodes: np.ndarray, percent: int = PERCE
 
 
 # ---- the join's steps ------------------------------------------------------------------------------
-ROWS = "sig long, node long, doc_id long, n long, sketch binary"
+ROWS = "sig long, node long, doc_id long, n long, check long, sketch binary"
 
 
-def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Two kinds of rows: (sig, node) of the indexed segments of all sets with a doc_id, and (sig, node, doc_id, n, sketch) of each document.
+def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
+    """Two kinds of rows: (sig, node) of the indexed segments of all sets with a doc_id, and (sig, node, doc_id, n, check, sketch) of each document.
 
     A document's row has n, and a sig that only spreads it; its node is null without shingles.
     """
@@ -240,7 +267,7 @@ def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
         shingle = Shingler(words)
 
         def f(b):
-            doc_ids, nodes, sizes, sketches, parts = b.column("doc_id"), [], [], [], []
+            doc_ids, nodes, checks, sizes, sketches, parts = b.column("doc_id"), [], [], [], [], []
             held, names = [], []
 
             def flush():
@@ -251,7 +278,8 @@ def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
                 s = shingle(text.as_py())
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
-                nodes.append(node_of(s) if len(s) else None)
+                node, check = node_of(s, seed) if len(s) else (None, None)
+                nodes.append(node), checks.append(check)
                 if known and len(s):
                     held.append(s), names.append(nodes[-1])
                     if sum(map(len, held)) > 200_000:  # some sets at a time, so that a worker stays small
@@ -265,6 +293,7 @@ def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
                 "node": pa.concat_arrays([pa.array(owner, pa.int64()), pa.array(nodes, pa.int64())]),
                 "doc_id": pa.concat_arrays([none, doc_ids.cast(pa.int64())]),
                 "n": pa.concat_arrays([none, pa.array(sizes, pa.int64())]),
+                "check": pa.concat_arrays([none, pa.array(checks, pa.int64())]),
                 "sketch": pa.concat_arrays([pa.nulls(len(sig), pa.binary()), pa.array(sketches, pa.binary())]),
             }
 
@@ -278,7 +307,7 @@ def _buckets(batches):
 
     Nothing is held but the last row: whether a row's neighbour has its signature tells enough.
     """
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    schema = arrow_schema(ROWS)
     tail = None  # the last distinct row so far, and whether it went out
     for b in batches:
         is_doc = b.column("n").is_valid().to_numpy(zero_copy_only=False)
@@ -299,7 +328,7 @@ def _buckets(batches):
         out[0] &= not sent
         n = int(out.sum())
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(node[out]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(node[out]), *(pa.nulls(n, x.type) for x in list(schema)[2:])], schema=schema)
 
 
 def _stars(batches):
@@ -345,7 +374,7 @@ def sketch_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+def class_texts(docs: DataFrame, wanted: DataFrame, words: int = WORDS, seed: int = 0) -> DataFrame:
     """Of each wanted class (node, doc_id of a member) the compressed text of that member: (node, z)."""
     mine = thinned(docs.select("doc_id", "text").where("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
 
@@ -356,7 +385,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataF
             nodes, packed = [], []
             for node, text in zip(b.column("node").to_pylist(), texts(b), strict=True):
                 s = shingle(text)
-                if len(s) and node_of(s) == node:  # rows may share a doc_id
+                if len(s) and node_of(s, seed)[0] == node:  # rows may share a doc_id
                     nodes.append(node), packed.append(z.compress(text.encode("utf-8", "surrogatepass")))
             return {"node": nodes, "z": packed}
 
@@ -382,10 +411,10 @@ def bounded(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> Da
     return map_rows(met, make, "hub long, node long", ["hub", "node", "n_a", "n_b", "s_a", "s_b"]).repartition("hub")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """The pairs (hub, node) whose texts' shingles link, as edges (a, b). reps: (node, rep), a member's doc_id."""
     nodes = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-    members = staged(class_texts(docs, reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), words), "jaccard-members")
+    members = staged(class_texts(docs, reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), words, seed), "jaccard-members")
     right = members.select("node", F.col("z").alias("z_b"))
     left = members.select(F.col("node").alias("hub"), F.col("z").alias("z_a"))
     met = pairs.join(right, "node").join(left, "hub")
@@ -493,20 +522,25 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     n_shingles and a null component_id and links nothing. Other columns are ignored; an empty
     table gives an empty result.
     """
-    rows = index(docs, words, percent).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, ROWS)
-    rows = rows.persist(StorageLevel.DISK_ONLY)  # read three times below; what a lost executor held is made again
-    every = staged(rows.where("n is not null").select("doc_id", "node", "n").repartition("doc_id"), "jaccard-documents")
-    known = every.where("node is not null and doc_id is not null")
-    reps = staged(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    clash, seed = True, -1
+    while clash:  # two classes of one number (a chance of 2^-64 for each pair of them): all are numbered anew
+        seed += 1
+        rows = staged(index(docs, words, percent, seed).repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, ROWS), "jaccard-index")
+        every = staged(rows.where("n is not null").select("doc_id", "node", "n", "check").repartition("doc_id"), "jaccard-documents")
+        known = every.where("node is not null and doc_id is not null")
+        reps = staged(known.groupBy("node").agg(F.min("doc_id").alias("rep"), (F.min("check") != F.max("check")).alias("clash")), "jaccard-reps")
+        clash = not reps.where("clash").isEmpty()
+        if clash:
+            discard(rows, every, reps)
 
     stars = staged(hubs(rows.where("n is null").select("sig", "node")), "jaccard-stars")
     nodes = stars.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     held = rows.where("n is not null and doc_id is not null").join(reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
     sketches = staged(held.dropDuplicates(["node"]).select("node", F.col("n").cast("int").alias("n"), "sketch"), "jaccard-sketches")
-    rows.unpersist()
+    discard(rows)
 
     pairs = staged(bounded(stars.select("hub", "node").distinct(), sketches, percent), "jaccard-pairs")
-    links = staged(verified(pairs, docs, reps, words, percent), "jaccard-links")
+    links = staged(verified(pairs, docs, reps, words, percent, seed), "jaccard-links")
     labels, spent = components(links), [stars, sketches, pairs, links]
     left = stars
     for forest in (True, False):
@@ -514,7 +548,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         spent.append(pairs)
         if pairs.isEmpty():
             break
-        more = staged(verified(pairs.select("hub", "node").distinct(), docs, reps, words, percent), "jaccard-links")
+        more = staged(verified(pairs.select("hub", "node").distinct(), docs, reps, words, percent, seed), "jaccard-links")
         spent.append(more)
         if not more.isEmpty():
             links = links.unionByName(more)
