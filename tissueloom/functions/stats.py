@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranking import numbered, suffix_min
+
 # --- fixed values: coefficients of the error function's rational approximation (Abramowitz and
 # Stegun 7.1.26) ---------------------------------------------------------------------------------
 ERF_P = 0.3275911
@@ -111,7 +114,7 @@ def hypergeometric_sf(hits, draws, good, total) -> Column:
 
 
 def _correlation_batch(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([student_p(float(a), int(b)) for a, b in zip(r, n, strict=True)])
+    return pd.Series(student_p(r.to_numpy(float), n.to_numpy(float)))
 
 
 def correlation_p(r, n) -> Column:
@@ -119,39 +122,58 @@ def correlation_p(r, n) -> Column:
     return F.pandas_udf(_correlation_batch, "double")(r, n)
 
 
-def student_p(r: float, n: int) -> float:
-    if n < 3 or r != r:
-        return 1.0
-    if abs(r) >= 1:
-        return 0.0
-    df = n - 2
-    t2 = r * r * df / (1 - r * r)
-    return incomplete_beta(df / 2, 0.5, df / (df + t2))
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
+def student_p(r: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of correlations of n pairs each; 1 for fewer than three pairs and where r is NaN."""
+    r, n = np.broadcast_arrays(np.asarray(r, float), np.asarray(n, float))
+    out = np.where(np.abs(r) >= 1, 0.0, 1.0)
+    ok = (n >= 3) & (np.abs(r) < 1)
+    out[(n < 3) | np.isnan(r)] = 1.0
+    df, square = n[ok] - 2, r[ok] ** 2
+    out[ok] = incomplete_beta(df / 2, 0.5, 1 - square)  # df / (df + t^2) is 1 - r^2
+    return out
+
+
+def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction (Lentz), elementwise."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = (x >= 1).astype(float)
+    inside = (x > 0) & (x < 1)
+    swap = inside & (x > (a + 1) / (a + b + 2))
+    out[inside & ~swap] = _beta_fraction(a[inside & ~swap], np.full(int((inside & ~swap).sum()), b), x[inside & ~swap])
+    out[swap] = 1 - _beta_fraction(np.full(int(swap.sum()), b), a[swap], 1 - x[swap])
+    return out
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    pairs = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True) if len(a) else (np.zeros((0, 2)), np.zeros(0, int))
+    log_beta = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in pairs[0]])  # few distinct ones
+    front = np.exp(log_beta[pairs[1].ravel()] + a * np.log(x) + b * np.log1p(-x)) if len(a) else np.zeros(0)
+    tiny = 1e-300
+    safe = lambda v: np.where(v == 0, tiny, v)
+    c = np.ones_like(x)
+    d = 1 / safe(1 - (a + b) * x / (a + 1))
     h = d
     for m in range(1, 400):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / (1 + num * d or tiny)
-            c = 1 + num / c or tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+            d = 1 / safe(1 + num * d)
+            c = safe(1 + num / c)
+            step = d * c
+            h = h * step
+        if (np.abs(step - 1) < 1e-15).all():
             break
     return front * h / a
 
 
 def benjamini_hochberg(df: DataFrame, p: str, *group: str, out: str = "fdr") -> DataFrame:
-    """Adds the BH-corrected p: the suffix minimum of p * n / rank, at most 1; ties share the largest rank."""
-    w = W.partitionBy(*group) if group else W.partitionBy(F.lit(1))
+    """Adds the BH-corrected p: the suffix minimum of p * n / rank, at most 1; ties share the largest rank.
+
+    Groups are ordered by themselves; without them all rows are, in ranges.
+    """
+    if not group:
+        n = F.broadcast(df.agg(F.count("*").alias("_n")))
+        placed = numbered(df, p, F.xxhash64(*df.columns), out="_r").join(n)
+        return suffix_min(placed, "_r", F.least(F.lit(1.0), F.col(p) * F.col("_n") / F.col("_r")), out).drop("_n", "_r")
+    w = W.partitionBy(*group)
     ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(p)))
     back = w.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(back))).drop("_n", "_r")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranking import numbered
 from ..functions.stats import benjamini_hochberg, hypergeometric_sf
 
 COLUMNS = {"gene": "gene", "tissue": "anatomical", "stage": "developmental"}
@@ -14,14 +15,10 @@ COLUMNS = {"gene": "gene", "tissue": "anatomical", "stage": "developmental"}
 def dimension(calls: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Distinct ids of a column numbered from 1 by id, with a name (the smallest one where it varies).
 
-    Ids are numbered within ranges of a sorted order, so that one task never numbers them all:
-    each range's numbers begin after the counts of those before it.
+    Ids are numbered within ranges of a sorted order, so that one task never numbers them all.
     """
     ids = calls.groupBy(F.col(column).alias("id")).agg(F.min(name or column).cast("string").alias("name")).where("id is not null")
-    ranged = ids.repartitionByRange("id").withColumn("_part", F.spark_partition_id())
-    offsets = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy("id")))
-    return numbered.join(F.broadcast(offsets.select("_part", "_before")), "_part").select((F.col("_before") + F.col("_k")).alias("idx"), "id", "name")
+    return numbered(ids, "id", out="idx").select("idx", "id", "name")
 
 
 def encode_calls(calls: DataFrame) -> dict[str, DataFrame]:

@@ -42,12 +42,15 @@ def pixels(spots: DataFrame, flag: str = "flag") -> DataFrame:
 
 
 def pitch(spots: DataFrame, column: str = "x", top: int = 10) -> DataFrame:
-    """Spot pitch: the mean of the largest steps between sorted distinct coordinates.
+    """Spot pitch: the mean of the ``top`` largest steps between sorted coordinates, of equal ones too (0).
 
-    Distinct coordinates are few (a grid's rows or columns), so one window may order them.
+    Steps above 0 are those between distinct coordinates, which are few (a grid's rows or
+    columns), so one window may order them; the other steps are counted.
     """
     steps = spots.select(column).distinct().withColumn("step", F.col(column) - F.lag(column).over(W.orderBy(column)))
-    return steps.where("step is not null").orderBy(F.desc("step")).limit(top).agg(F.avg("step").alias("pitch"))
+    largest = steps.where("step is not null").orderBy(F.desc("step")).limit(top).agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("_s"))
+    n = spots.agg(F.count(column).alias("_n"))
+    return largest.join(n).select(F.try_divide("_s", F.least(F.lit(top), F.col("_n") - 1)).alias("pitch"))
 
 
 def scale_spots(spots: DataFrame, step: float) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Mapper: a graph of overlapping clusters along a lens."""
+"""Mapper: a graph of overlapping clusters along a lens of two coordinates."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pca_lens(vectors: DataFrame, k: int = 1) -> DataFrame:
+def pca_lens(vectors: DataFrame, k: int = 2) -> DataFrame:
     """(id, vec, lens array): the first components, each signed so that its largest loading is positive."""
     with_features = vectors.withColumn("_f", array_to_vector("vec"))
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(with_features)
@@ -20,15 +20,100 @@ def pca_lens(vectors: DataFrame, k: int = 1) -> DataFrame:
     return model.transform(with_features).select("id", "vec", lens.alias("lens"))
 
 
-def cover(lensed: DataFrame, n: int = 8, overlap: float = 0.5, kind: str = "percentile") -> DataFrame:
-    """(id, vec, patch): patches of the first lens coordinate that overlap by a share of their width; bounds are strict."""
-    one = lensed.select("id", "vec", F.get("lens", F.lit(0)).alias("_l"))
+#: Most rows whose pairwise distances the driver holds, for the lenses that need them all.
+LENS_ROWS = 5000
+
+
+def distance_lens(vectors: DataFrame, kind: str = "mds", dist: str = "euclidean", k: int = 2, max_rows: int = LENS_ROWS) -> DataFrame:
+    """(id, vec, lens array) from all pairwise distances, euclidean or 1 - correlation; on the driver, for bounded tables.
+
+    ``mds``: least squares on the distances (stress majorisation from the classical solution).
+    ``neighbor``: the first nontrivial eigenvectors of the normalised Laplacian of the graph that
+    links each row to the tenth of the rows that are nearest by their rows of distances.
+    """
+    rows = vectors.select("id", "vec").orderBy("id").limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows: use the PCA lens")
+    x = np.stack(rows["vec"].to_numpy()).astype(float)
+    if dist == "correlation":
+        x = x - x.mean(1, keepdims=True)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        d = np.maximum(1 - x @ x.T, 0)
+    elif dist == "euclidean":
+        d = _all_gaps(x)
+    else:
+        raise ValueError(dist)
+    lens = _least_squares_scaling(d, k) if kind == "mds" else _spectral(d, k)
+    made = vectors.sparkSession.createDataFrame(pd.DataFrame({"id": rows["id"], "lens": lens.tolist()}), "id long, lens array<double>")
+    return vectors.select("id", "vec").join(made, "id")
+
+
+def _all_gaps(x: np.ndarray) -> np.ndarray:
+    square = (x**2).sum(1)
+    d = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Columns whose largest entry is positive."""
+    sign = np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    return v * np.where(sign == 0, 1, sign)
+
+
+def _least_squares_scaling(d: np.ndarray, k: int, rounds: int = 300, tol: float = 1e-6) -> np.ndarray:
+    n = len(d)
+    centre = np.eye(n) - 1 / n
+    values, u = np.linalg.eigh(-0.5 * centre @ d**2 @ centre)
+    y = _signed(u[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0)))
+    last = np.inf
+    for _ in range(rounds):
+        now = _all_gaps(y)
+        stress = ((now - d) ** 2).sum() / 2
+        if last - stress <= tol * max(stress, 1e-300):
+            break
+        last = stress
+        ratio = -np.divide(d, now, out=np.zeros_like(d), where=now > 1e-12)
+        np.fill_diagonal(ratio, 0)
+        np.fill_diagonal(ratio, -ratio.sum(1))
+        y = ratio @ y / n
+    return y
+
+
+def _spectral(d: np.ndarray, k: int) -> np.ndarray:
+    n = len(d)
+    near = np.argsort(_all_gaps(d), axis=1, kind="stable")[:, : max(1, n // 10)]
+    link = np.zeros((n, n))
+    link[np.arange(n)[:, None], near] = 1
+    link = (link + link.T) / 2
+    np.fill_diagonal(link, 0)
+    root = np.sqrt(np.maximum(link.sum(1), 1e-300))
+    _, u = np.linalg.eigh(np.eye(n) - link / root[:, None] / root)
+    return _signed(u[:, 1 : k + 1] / root[:, None])
+
+
+def cover(lensed: DataFrame, n: int = 10, gain: float = 0.5, kind: str = "percentile") -> DataFrame:
+    """(id, vec, patch): n x n patches of the first two lens coordinates, ``patch`` = row * n + column.
+
+    A coordinate is cut at its percentiles, or in equal widths; each part is extended by ``gain``
+    times its width at either end, and bounds are strict. A lens of one coordinate gives n patches.
+    """
+    out = lensed.select("id", "vec", F.get("lens", F.lit(0)).alias("_l0"), F.coalesce(F.get("lens", F.lit(1)), F.lit(0.0)).alias("_l1"))
     if kind == "percentile":
-        posts = one.agg(F.percentile("_l", F.array(*(F.lit(k / n) for k in range(n + 1)))).alias("_q"))
+        shares = F.array(*(F.lit(k / n) for k in range(n + 1)))
+        posts = out.agg(*(F.percentile(f"_l{c}", shares).alias(f"_q{c}") for c in (0, 1)))
     else:
-        posts = one.agg(F.min("_l").alias("lo"), F.max("_l").alias("hi")).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / n).alias("_q"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("patch"), (F.get("_q", k) - overlap / 2 * (F.get("_q", k + 1) - F.get("_q", k)) - 1e-9).alias("lo"), (F.get("_q", k + 1) + overlap / 2 * (F.get("_q", k + 1) - F.get("_q", k)) + 1e-9).alias("hi")))
-    return one.join(F.broadcast(posts)).select("id", "vec", "_l", F.explode(ends).alias("e")).where((F.col("_l") > F.col("e.lo")) & (F.col("_l") < F.col("e.hi"))).select("id", "vec", F.col("e.patch").alias("patch"))
+        posts = out.agg(*(F.array(*(F.min(f"_l{c}") + (F.max(f"_l{c}") - F.min(f"_l{c}")) * k / n for k in range(n + 1))).alias(f"_q{c}") for c in (0, 1)))
+
+    def parts(c: int) -> Column:
+        q, x = F.col(f"_q{c}"), F.col(f"_l{c}")
+        spill = lambda k: gain * (F.get(q, k + 1) - F.get(q, k))
+        inside = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (x > F.get(q, k) - spill(k)) & (x < F.get(q, k + 1) + spill(k)))
+        # a lens of one coordinate has no width in the other
+        return inside if c == 0 else F.when(F.get(q, F.lit(0)) == F.get(q, F.lit(n)), F.array(F.lit(0))).otherwise(inside)
+
+    out = out.join(F.broadcast(posts)).withColumn("_i", F.explode(parts(0))).withColumn("_j", F.explode(parts(1)))
+    return out.select("id", "vec", (F.col("_i") * n + F.col("_j")).cast("int").alias("patch"))
 
 
 def davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
@@ -96,7 +181,8 @@ def prune_singletons(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node"), "node", "left_semi")
 
 
-def mapper(vectors: DataFrame, n: int = 8, overlap: float = 0.5, k_max: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the whole construction."""
-    nodes = prune_singletons(patch_clusters(cover(pca_lens(vectors), n, overlap), k_max))
+def mapper(vectors: DataFrame, n: int = 10, gain: float = 0.5, k_max: int = 4, lens: str = "pca", dist: str = "euclidean") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the whole construction. Lenses: ``pca``, ``mds``, ``neighbor`` (see distance_lens)."""
+    lensed = pca_lens(vectors, 2) if lens == "pca" else distance_lens(vectors, lens, dist)
+    nodes = prune_singletons(patch_clusters(cover(lensed, n, gain), k_max))
     return nodes, overlap_graph(nodes)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranking import numbered
+
 
 def _joined(m: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     return m.join(m.groupBy(key).agg(*aggregates), key)
@@ -204,7 +206,7 @@ def hash_draw(*parts: Column) -> Column:
 
 def bootstrap_means(m: DataFrame, n_samples: int = 32, seed: int = 1) -> DataFrame:
     """Bags of a fifth of the spots, drawn with replacement: the mean of each gene in each bag."""
-    spots = m.select("spot_id").distinct().withColumn("pos", F.row_number().over(W.orderBy("spot_id")) - 1)
+    spots = numbered(m.select("spot_id").distinct(), "spot_id", out="pos").withColumn("pos", F.col("pos") - 1)
     n = spots.agg(F.count("*").alias("n"))
     draws = n.select(F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("bag"), "n").select("bag", "n", F.explode(F.sequence(F.lit(0), F.greatest((F.col("n") / 5).cast("long"), F.lit(1)) - 1)).alias("k"))
     draws = draws.select("bag", (hash_draw(F.col("bag").cast("string"), F.col("k").cast("string"), F.lit(str(seed))) % F.col("n")).alias("pos"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import two_sided
+from ..sources.staging import stored
 from .cells import range_pairs
-from .neighbors import knn
+from .neighbors import bound, knn
 
 #: Most spots whose dense kernel a task or the driver holds.
 DENSE_SPOTS = 3000
@@ -94,7 +95,7 @@ def median_distance(pairs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n)).where(F.col("_to") > F.expr("_n div 2")).agg(F.min("d").alias("median"))
 
 
-def variogram(m: DataFrame, pairs: DataFrame, n_lags: int = 12) -> DataFrame:
+def variogram(m: DataFrame, pairs: DataFrame, n_lags: int = 10) -> DataFrame:
     """Per gene and lag of equal width: mean distance, mean half variance, pairs; the last lag is closed."""
     width = pairs.agg((F.max("d") / n_lags).alias("_w"))
     a, b = m.select("gene_id", F.col("spot_id").alias("i"), F.col("value").alias("_a")), m.select("gene_id", F.col("spot_id").alias("j"), F.col("value").alias("_b"))
@@ -103,11 +104,42 @@ def variogram(m: DataFrame, pairs: DataFrame, n_lags: int = 12) -> DataFrame:
     return met.groupBy("gene_id", "lag").agg(F.avg("d").alias("distance"), F.avg((F.col("_a") - F.col("_b")) ** 2 / 2).alias("gamma"), F.count("*").alias("n_pairs"))
 
 
+def dense_variogram(m: DataFrame, spots: DataFrame, n_lags: int = 10) -> DataFrame:
+    """As ``variogram`` over all pairs of spots, without making them as rows: a task holds one gene's spots.
+
+    For genes of at most DENSE_SPOTS spots. For more, give ``variogram`` the pairs within a radius.
+    The width of a lag is that of all spots with a value, whatever gene.
+    """
+    known = spots.join(m.select("spot_id").distinct(), "spot_id", "left_semi").select("spot_id", "x", "y")
+    if known.limit(DENSE_SPOTS + 1).count() > DENSE_SPOTS:
+        raise ValueError(f"more than {DENSE_SPOTS} spots")
+    place = known.toPandas().set_index("spot_id")
+    xy = place[["x", "y"]].to_numpy(float)
+    width = max((float(_gaps(xy[k : k + 1], xy).max()) for k in range(len(xy))), default=0.0) / n_lags
+
+    def lags(frame: pd.DataFrame) -> pd.DataFrame:
+        own, z = place.loc[frame["spot_id"]].to_numpy(float), frame["value"].to_numpy(float)
+        total = np.zeros((3, n_lags))
+        for k in range(len(z) - 1):
+            d = _gaps(own[k : k + 1], own[k + 1 :])[0]
+            lag = np.minimum(d / width if width else np.zeros(len(d)), n_lags - 1).astype(int)
+            for row, x in enumerate((d, (z[k] - z[k + 1 :]) ** 2 / 2, np.ones(len(d)))):
+                total[row] += np.bincount(lag, x, n_lags)
+        some = np.flatnonzero(total[2])
+        return pd.DataFrame({"gene_id": frame["gene_id"].iloc[0], "lag": some.astype("int32"), "distance": total[0, some] / total[2, some], "gamma": total[1, some] / total[2, some], "n_pairs": total[2, some].astype("int64")})
+
+    return m.join(F.broadcast(known.select("spot_id")), "spot_id", "left_semi").groupBy("gene_id").applyInPandas(lags, "gene_id string, lag int, distance double, gamma double, n_pairs long")
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+
+
 def variogram_model(kind: str, h: Column, nugget: Column, sill: Column, reach: Column) -> Column:
-    """Spherical, exponential or gaussian model."""
+    """Spherical, exponential or gaussian model; at distance 0 it is the nugget."""
     s = h / reach
     if kind == "spherical":
-        shape = F.when(h >= reach, 1.0).otherwise(1.5 * s - 0.5 * s**3)
+        shape = F.when(h >= reach, 1.0).otherwise(1.5 * s - 0.5 * s * s * s)
     elif kind == "exponential":
         shape = 1 - F.exp(-3 * s)
     elif kind == "gaussian":
@@ -117,35 +149,65 @@ def variogram_model(kind: str, h: Column, nugget: Column, sill: Column, reach: C
     return nugget + (sill - nugget) * shape
 
 
-GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+# --- fixed values: factors of the first guesses of nugget, sill and reach ------------------------
+NUGGETS = (0.1, 0.3, 0.5, 0.8, 1.0)
+SILLS = (0.5, 0.8, 1.0, 1.2, 1.5)
+REACHES = (0.3, 0.5, 0.8, 1.0, 1.5)
+# -------------------------------------------------------------------------------------------------
+
 
+def fit_variogram(vario: DataFrame, kind: str = "spherical") -> DataFrame:
+    """Per gene the best of 125 combinations of nugget, sill and reach by squared error (ties: the first).
 
-def fit_variogram(vario: DataFrame, kind: str = "exponential", grid: tuple[float, ...] = GRID) -> DataFrame:
-    """Per gene the best of a grid of nugget, sill and reach by squared error (ties: the first of the grid)."""
-    top = vario.groupBy("gene_id").agg(F.max("gamma").alias("_g"), F.max("distance").alias("_h"))
-    points = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for k, (a, b, c) in enumerate((a, b, c) for a in grid for b in grid for c in grid))))
-    tried = top.select("gene_id", points.alias("p"), "_g", "_h").select("gene_id", "p.k", (F.col("p.a") * F.col("_g") / 2).alias("nugget"), (F.col("p.b") * 2 * F.col("_g")).alias("sill"), (F.col("p.c") * 2 * F.col("_h")).alias("reach"))
-    err = vario.join(F.broadcast(tried), "gene_id").withColumn("_e", (F.col("gamma") - variogram_model(kind, F.col("distance"), F.col("nugget"), F.col("sill"), F.col("reach"))) ** 2)
-    sse = err.groupBy("gene_id", "k", "nugget", "sill", "reach").agg(F.sum("_e").alias("sse"))
-    w = W.partitionBy("gene_id").orderBy(F.round("sse", 6), "k")
-    return sse.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    First guesses: half the first lag's gamma, the largest gamma, half the largest distance. The
+    chosen nugget is at least 0, the sill at least .0001 above it, the reach at least .0001. A gene's
+    lags are few; they are one row, in which all combinations are tried in lag order.
+    """
+    lags = F.array_sort(F.collect_list(F.struct("lag", F.col("distance").alias("h"), F.col("gamma").alias("g"))))
+    rows = vario.groupBy("gene_id").agg(lags.alias("lags"))
+    guess = F.struct(F.col("lags")[0]["g"].alias("n"), F.array_max(F.transform("lags", lambda p: p["g"])).alias("s"), F.array_max(F.transform("lags", lambda p: p["h"])).alias("r"))
+    grid = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for k, (a, b, c) in enumerate((a, b, c) for a in NUGGETS for b in SILLS for c in REACHES)))
+
+    def tried(z):
+        def one(p):
+            par = F.struct((z["n"] * 0.5 * p["a"]).alias("nugget"), (z["s"] * p["b"]).alias("sill"), (z["r"] * 0.5 * p["c"]).alias("reach"))
+            error = lambda q: F.aggregate(z["lags"], F.lit(0.0), lambda t, x: t + (x["g"] - variogram_model(kind, x["h"], q["nugget"], q["sill"], q["reach"])) * (x["g"] - variogram_model(kind, x["h"], q["nugget"], q["sill"], q["reach"])))
+            return bound(par, lambda q: F.struct(error(q).alias("sse"), p["k"].alias("k"), q["nugget"].alias("nugget"), q["sill"].alias("sill"), q["reach"].alias("reach")))
+
+        return F.array_min(F.transform(grid, one))
+
+    best = rows.select("gene_id", bound(F.struct(F.col("lags"), guess["n"].alias("n"), guess["s"].alias("s"), guess["r"].alias("r")), tried).alias("p"))
+    return best.select("gene_id", "p.k", F.greatest(F.lit(0.0), F.col("p.nugget")).alias("nugget"), F.greatest(F.col("p.nugget") + 0.0001, F.col("p.sill")).alias("sill"), F.greatest(F.lit(0.0001), F.col("p.reach")).alias("reach"), "p.sse")
 
 
 def _model_numpy(kind, h, nugget, sill, reach):
-    s = h / max(reach, 1e-12)
+    s = h / reach
     shape = {"spherical": np.where(h >= reach, 1, 1.5 * s - 0.5 * s**3), "exponential": 1 - np.exp(-3 * s), "gaussian": 1 - np.exp(-3 * s * s)}[kind]
-    return np.where(h == 0, 0, nugget + (sill - nugget) * shape)
+    return nugget + (sill - nugget) * shape
+
 
+#: Targets that one pass of kriging sends to every task; more targets make more passes.
+TARGETS = 4096
 
-def krige(m: DataFrame, spots: DataFrame, targets: DataFrame, fits: DataFrame, kind: str = "exponential") -> DataFrame:
+
+def krige(m: DataFrame, spots: DataFrame, targets: DataFrame, fits: DataFrame, kind: str = "spherical") -> DataFrame:
     """Ordinary kriging of each gene at ``targets`` (target_id, x, y): value and variance (not below 0).
 
-    A task holds one gene's spots (at most DENSE_SPOTS) and solves its system once for all targets.
+    The diagonal is the nugget. A task holds one gene's spots (at most DENSE_SPOTS) and solves its
+    system once for the targets of a pass; targets go to the tasks in passes of bounded size.
     """
-    joined = m.join(spots, "spot_id").join(fits.select("gene_id", "nugget", "sill", "reach"), "gene_id")
-    rows = targets.select("target_id", F.col("x").alias("tx"), F.col("y").alias("ty")).orderBy("target_id").toPandas()
-    place = rows[["tx", "ty"]].to_numpy(float)
-
+    joined = m.join(spots, "spot_id").join(fits.select("gene_id", "nugget", "sill", "reach"), "gene_id").select("gene_id", "spot_id", "x", "y", "value", "nugget", "sill", "reach")
+    passes = max(1, -(-targets.count() // TARGETS))
+    joined = stored(joined, "kriging") if passes > 1 else joined
+    out = None
+    for k in range(passes):
+        rows = targets.where(F.pmod(F.xxhash64("target_id"), F.lit(passes)) == k).select("target_id", "x", "y").toPandas()
+        part = joined.groupBy("gene_id").applyInPandas(_solver(rows["target_id"].to_numpy(), rows[["x", "y"]].to_numpy(float), kind), "gene_id string, target_id long, value double, variance double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _solver(names: np.ndarray, place: np.ndarray, kind: str):
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > DENSE_SPOTS:
             raise ValueError(f"more than {DENSE_SPOTS} spots")
@@ -155,16 +217,16 @@ def krige(m: DataFrame, spots: DataFrame, targets: DataFrame, fits: DataFrame, k
         n = len(z)
         gamma = np.ones((n + 1, n + 1))
         gamma[n, n] = 0
-        gamma[:n, :n] = _model_numpy(kind, np.linalg.norm(xy[:, None] - xy[None], axis=2), *par)
+        gamma[:n, :n] = _model_numpy(kind, _gaps(xy, xy), *par)
         right = np.ones((n + 1, len(place)))
-        right[:n] = _model_numpy(kind, np.linalg.norm(xy[:, None] - place[None], axis=2), *par)
+        right[:n] = _model_numpy(kind, _gaps(xy, place), *par)
         try:
             w = np.linalg.solve(gamma, right)
         except np.linalg.LinAlgError:  # spots at one place
             w = np.linalg.lstsq(gamma, right, rcond=None)[0]
-        return pd.DataFrame({"gene_id": frame["gene_id"].iloc[0], "target_id": rows["target_id"], "value": w[:n].T @ z, "variance": np.maximum((w * right).sum(0), 0)})
+        return pd.DataFrame({"gene_id": frame["gene_id"].iloc[0], "target_id": names, "value": w[:n].T @ z, "variance": np.maximum((w * right).sum(0), 0)})
 
-    return joined.groupBy("gene_id").applyInPandas(solve, "gene_id string, target_id long, value double, variance double")
+    return solve
 
 
 def gene_cross_moran(m: DataFrame) -> DataFrame:

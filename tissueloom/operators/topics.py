@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import best_assignment
+from ..functions.ranking import numbered
+from ..sources.staging import stored
 from . import matrix as M
 
 #: Most terms of a corpus: topic profiles of that many terms are held on the driver.
@@ -22,19 +26,42 @@ def corpus(m: DataFrame, p_min: float = 0.05, p_max: float = 0.95, filters: bool
     return M.term_counts(M.unify(M.densify(m), unify, log)).select(F.col("spot_id").alias("pixel"), F.col("gene_id").alias("term"), "n")
 
 
+#: Cells of count vectors that one batch holds.
+VECTOR_CELLS = 1 << 20
+
+
 def term_vectors(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Count vectors per pixel, and the vocabulary in their order."""
-    terms = [r["term"] for r in docs.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
-    if len(terms) > MAX_TERMS:
+    """Count vectors per pixel, stored (a fit reads them each round), and the vocabulary in their order."""
+    terms = numbered(docs.select("term").distinct(), "term", out="k")
+    names = [r["term"] for r in terms.orderBy("k").limit(MAX_TERMS + 1).collect()]
+    if len(names) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} terms")
-    counts = docs.groupBy("pixel").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("n").cast("double")))).alias("c"))
-    known = F.array(*(F.lit(t) for t in terms))
-    return counts.select("pixel", array_to_vector(F.transform(known, lambda t: F.coalesce(F.try_element_at("c", t), F.lit(0.0)))).alias("features")), terms
+    size = len(names)
+    met = docs.where("n <> 0").join(terms, "term").groupBy("pixel").agg(F.collect_list((F.col("k") - 1).cast("int")).alias("k"), F.collect_list(F.col("n").cast("double")).alias("n"))
+    rows = docs.select("pixel").distinct().join(met, "pixel", "left")
+
+    def fill(frames):
+        for frame in frames:
+            step = max(1, VECTOR_CELLS // max(1, size))
+            for at in range(0, len(frame), step):
+                part = frame.iloc[at : at + step]
+                v = np.zeros((len(part), size))
+                for i, (k, n) in enumerate(zip(part["k"], part["n"], strict=True)):
+                    if k is not None:
+                        v[i, k] = n
+                yield pd.DataFrame({"pixel": part["pixel"].to_numpy(), "v": list(v)})
+
+    kind = dict(docs.dtypes)["pixel"]
+    vectors = stored(rows.mapInPandas(fill, f"pixel {kind}, v array<double>"), "term-vectors")
+    return vectors.select("pixel", array_to_vector("v").alias("features")), names
 
 
-def fit_lda(docs: DataFrame, k: int, alpha: float = 2.0, beta: float = 0.5, rounds: int = 50, seed: int = 42):
-    """(model, theta (pixel, topic, p), beta (topic, gene, p)) by online variational Bayes; topics count from 1."""
-    vectors, terms = term_vectors(docs)
+def fit_lda(docs: DataFrame, k: int, alpha: float = 2.0, beta: float = 0.5, rounds: int = 50, seed: int = 42, vectors: tuple[DataFrame, list[str]] | None = None):
+    """(model, theta (pixel, topic, p), beta (topic, gene, p)) by online variational Bayes; topics count from 1.
+
+    ``vectors``: what term_vectors gave, where several fits share it.
+    """
+    vectors, terms = vectors or term_vectors(docs)
     model = LDA(k=k, docConcentration=[alpha] * k, topicConcentration=beta, maxIter=rounds, optimizer="online", subsamplingRate=1.0, seed=seed).fit(vectors)
     theta = model.transform(vectors).select("pixel", F.posexplode(vector_to_array("topicDistribution")).alias("t", "p")).select("pixel", (F.col("t") + 1).alias("topic"), "p")
     profile = model.topicsMatrix().toArray().T
@@ -43,14 +70,21 @@ def fit_lda(docs: DataFrame, k: int, alpha: float = 2.0, beta: float = 0.5, roun
     return model, theta, docs.sparkSession.createDataFrame(rows, "topic int, gene string, p double")
 
 
+#: Fits that run side by side: each is a sequence of small jobs.
+FITS = 4
+
+
 def fit_many(docs: DataFrame, ks: list[int], **how) -> DataFrame:
-    """One row per k: log perplexity and topics of mean share below .05."""
-    vectors, _ = term_vectors(docs)
-    rows = []
-    for k in ks:
-        model, theta, _ = fit_lda(docs, k, **how)
+    """One row per k: log perplexity and topics of mean share below .05. All fits read one stored table of vectors."""
+    shared = term_vectors(docs)
+
+    def row(k):
+        model, theta, _ = fit_lda(docs, k, vectors=shared, **how)
         rare = M.rare_topics(theta.withColumn("k", F.lit(k))).first()["n_rare"]
-        rows.append((k, float(model.logPerplexity(vectors)), int(rare)))
+        return k, float(model.logPerplexity(shared[0])), int(rare)
+
+    with ThreadPoolExecutor(FITS) as pool:
+        rows = list(pool.map(row, ks))
     return docs.sparkSession.createDataFrame(rows, "k int, log_perplexity double, n_rare int")
 
 
@@ -120,7 +154,7 @@ def nmf(m: DataFrame, k: int = 9, rounds: int = 30, inner: int = 30, seed: int =
     if len(genes) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} genes")
     at = {g: i for i, g in enumerate(genes)}
-    rows = m.groupBy("spot_id").agg(F.collect_list("gene_id").alias("g"), F.collect_list("value").alias("v"))
+    rows = stored(m.groupBy("spot_id").agg(F.collect_list("gene_id").alias("g"), F.collect_list("value").alias("v")), "nmf-rows")
     h = np.random.default_rng(seed).uniform(0.1, 1.0, (k, len(genes)))
 
     def weights(frame, h):

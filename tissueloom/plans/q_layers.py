@@ -60,9 +60,11 @@ def spot_pixels(spark, sf_dir):
     return L.pixels(V.spots(spark, sf_dir).join(s, "spot_id"), "in_tissue")
 
 
-@query("spot_pitch", "with c as (select distinct p_retailprice as x from part), d as (select x - lag(x) over (order by x) as step from c) select round(avg(step), 6) as pitch from (select step from d where step is not null order by step desc limit 10)")
+@query("spot_pitch", "with c as (select p_size::double as x from part union all select 1000.0 + n_nationkey * n_nationkey from nation), d as (select x - lag(x) over (order by x) as step from c) select round(avg(step), 6) as pitch from (select step from d where step is not null order by step desc limit 40)")
 def spot_pitch(spark, sf_dir):
-    return L.pitch(V.table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("x"))).select(R("pitch").alias("pitch"))
+    x = V.table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("x"))
+    far = V.table(spark, sf_dir, "nation").select((1000.0 + F.col("n_nationkey") * F.col("n_nationkey")).alias("x"))
+    return L.pitch(x.unionByName(far), top=40).select(R("pitch").alias("pitch"))
 
 
 @query("scale_spots", V.with_views("select spot_id, cast(round_even(x / 2.0, 0) as bigint) as x, cast(round_even(y / 2.0, 0) as bigint) as y from s", s=V.SPOTS))

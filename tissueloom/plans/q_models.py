@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import align as A
 from ..operators import generative as G
 from ..operators import gp, imaging, mapper
+from ..operators import neighbors as N
 from ..operators import topics as T
 from . import views as V
 from .catalog import query
@@ -51,7 +52,7 @@ def lda_top_genes(spark, sf_dir):
 
 @query("lda_many_k")
 def lda_many_k(spark, sf_dir):
-    return T.fit_many(_corpus(spark, sf_dir), [2, 3, 4], rounds=10)
+    return T.fit_many(_corpus(spark, sf_dir), list(range(2, 10)), rounds=20)
 
 
 @query("deconv_spatial")
@@ -134,7 +135,7 @@ def spatial_genes(spark, sf_dir):
 
 @query("pattern_clusters")
 def pattern_clusters(spark, sf_dir):
-    return gp.pattern_clusters(V.expr(spark, sf_dir), V.spots(spark, sf_dir), 3, 2.0, rounds=5)[0]
+    return gp.pattern_clusters(V.expr(spark, sf_dir), V.spots(spark, sf_dir), 3)[0]
 
 
 # ---- generative ----------------------------------------------------------------------------------------
@@ -312,10 +313,37 @@ def mapper_graph(spark, sf_dir):
     return mapper.mapper(V.vecs(spark, sf_dir).select("id", "vec"), 6)[1]
 
 
-@query("mapper_cover", V.with_views(", l as (select id, vec[1] as l from v), q as (select min(l) lo, max(l) hi from l), p as (select k, lo + (hi - lo) * k / 5 as a, lo + (hi - lo) * (k + 1) / 5 as b from q, range(0, 5) r(k)) select id, cast(k as int) as patch from l, p where l > a - 0.25 * (b - a) - 1e-9 and l < b + 0.25 * (b - a) + 1e-9", v=V.VECS))
-def mapper_cover(spark, sf_dir):
-    v = V.vecs(spark, sf_dir).select("id", "vec", F.slice("vec", 1, 1).alias("lens"))
-    return mapper.cover(v, 5, 0.5, "width").select("id", "patch")
+@query("mapper_mds")
+def mapper_mds(spark, sf_dir):
+    """Nodes along the scaling lens of the label means."""
+    v = V.vecs(spark, sf_dir)
+    return mapper.mapper(N.centroids(v.withColumn("label", F.col("id") % 40)), 3, lens="mds", dist="correlation")[0]
+
+
+@query("mapper_spectral")
+def mapper_spectral(spark, sf_dir):
+    v = V.vecs(spark, sf_dir)
+    return mapper.mapper(N.centroids(v.withColumn("label", F.col("id") % 40)), 3, lens="neighbor")[0]
+
+
+PATCHES = (
+    "l as (select id, vec[1] as x, vec[2] as y from v), q as (select {q} from l), p as (select k, {ax} as a, {bx} as b, {ay} as c, {by} as d from q, range(0, 5) r(k)) "
+    "select id, cast(i.k * 5 + j.k as int) as patch from l, p i, p j where x > i.a - 0.5 * (i.b - i.a) and x < i.b + 0.5 * (i.b - i.a) and y > j.c - 0.5 * (j.d - j.c) and y < j.d + 0.5 * (j.d - j.c)"
+)
+WIDE = {f"{e}{c}": f"l{c} + (h{c} - l{c}) * {k} / 5" for c in "xy" for e, k in (("a", "k"), ("b", "(k + 1)"))}
+POSTS = {f"{e}{c}": f"q{c}[k + {o}]" for c in "xy" for e, o in (("a", 1), ("b", 2))}
+
+
+def _cover(kind):
+    def run(spark, sf_dir):
+        v = V.vecs(spark, sf_dir).select("id", "vec", F.slice("vec", 1, 2).alias("lens"))
+        return mapper.cover(v, 5, 0.5, kind).select("id", "patch")
+
+    return run
+
+
+query("mapper_cover", V.with_views(", " + PATCHES.format(q="min(x) lx, max(x) hx, min(y) ly, max(y) hy", **WIDE), v=V.VECS))(_cover("width"))
+query("mapper_cover_posts", V.with_views(", " + PATCHES.format(q="quantile_cont(x, [0, 0.2, 0.4, 0.6, 0.8, 1]) qx, quantile_cont(y, [0, 0.2, 0.4, 0.6, 0.8, 1]) qy", **POSTS), v=V.VECS))(_cover("percentile"))
 
 
 @query("slide_render", V.with_views("select cast(floor((px - (select min(px) from c)) / 4) as bigint) as gx, cast(floor((py - (select min(py) from c)) / 4) as bigint) as gy, round(avg(area), 6) as mean from c group by all", c=V.CELLS))

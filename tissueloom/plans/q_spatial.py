@@ -70,30 +70,53 @@ def median_pair_distance(spark, sf_dir):
     return S.median_distance(S.spot_pairs(V.spots(spark, sf_dir))).select(R("median", 9).alias("median"))
 
 
-VARIO = f"{PAIRS}, w as (select max(d) / 12 as w from p), l as (select i, j, d, cast(least(floor(d / w), 11) as int) as lag from p, w), g as (select x.gene_id, lag, avg(d) as distance, avg((x.value - y.value) ** 2 / 2) as gamma, count(*) as n_pairs from l join e x on x.spot_id = i join e y on y.spot_id = j and x.gene_id = y.gene_id group by all)"
+VARIO = f"{PAIRS}, w as (select max(d) / 10 as w from p), l as (select i, j, d, cast(least(floor(d / w), 9) as int) as lag from p, w), g as (select x.gene_id, lag, avg(d) as distance, avg((x.value - y.value) ** 2 / 2) as gamma, count(*) as n_pairs from l join e x on x.spot_id = i join e y on y.spot_id = j and x.gene_id = y.gene_id group by all)"
 
 
 @query("variogram", V.with_views(f", {VARIO} select gene_id, lag, round(distance, 6) as distance, round(gamma, 4) as gamma, n_pairs from g", **ES))
 def variogram(spark, sf_dir):
-    out = S.variogram(V.expr(spark, sf_dir), S.spot_pairs(V.spots(spark, sf_dir)))
+    out = S.dense_variogram(V.expr(spark, sf_dir), V.spots(spark, sf_dir))
     return out.select("gene_id", "lag", R("distance").alias("distance"), R("gamma", 4).alias("gamma"), "n_pairs")
 
 
-G5 = "(values (0, 0.1), (1, 0.3), (2, 0.5), (3, 0.7), (4, 0.9))"
+@query("variogram_pairs", V.with_views(f", {PAIRS.replace(' from s a', ' from s a').replace('a.spot_id < b.spot_id)', f'a.spot_id < b.spot_id and {DIST} <= 3)')}, w as (select max(d) / 10 as w from p), l as (select i, j, d, cast(least(floor(d / w), 9) as int) as lag from p, w) select x.gene_id, lag, round(avg(d), 6) as distance, round(avg((x.value - y.value) ** 2 / 2), 4) as gamma, count(*) as n_pairs from l join e x on x.spot_id = i join e y on y.spot_id = j and x.gene_id = y.gene_id group by all", **ES))
+def variogram_pairs(spark, sf_dir):
+    """Of pairs within a radius, as for more spots than a task holds."""
+    near = S.range_pairs(V.spots(spark, sf_dir), V.spots(spark, sf_dir), 3.0, "x", "y", "spot_id").where("id_a < id_b")
+    out = S.variogram(V.expr(spark, sf_dir), near.select(F.col("id_a").alias("i"), F.col("id_b").alias("j"), F.col("distance").alias("d")))
+    return out.select("gene_id", "lag", R("distance").alias("distance"), R("gamma", 4).alias("gamma"), "n_pairs")
+
 
+VALUES = lambda name, values: f"{name}(k, v) as (values {', '.join(f'({k}, {v}::double)' for k, v in enumerate(values))})"
+FIT = (
+    f"{VARIO}, {VALUES('gn', S.NUGGETS)}, {VALUES('gs', S.SILLS)}, {VALUES('gr', S.REACHES)}, t as (select gene_id, arg_min(gamma, lag) * 0.5 as n0, max(gamma) as s0, max(distance) * 0.5 as r0 from g group by 1), "
+    "c as (select gene_id, gn.k * 25 + gs.k * 5 + gr.k as k, n0 * gn.v as nugget, s0 * gs.v as sill, r0 * gr.v as reach from t, gn, gs, gr), "
+    "e2 as (select gene_id, k, nugget, sill, reach, sum((gamma - (nugget + (sill - nugget) * case when distance >= reach then 1 else 1.5 * (distance / reach) - 0.5 * (distance / reach) * (distance / reach) * (distance / reach) end)) ** 2 order by lag) as sse from g join c using (gene_id) group by all), "
+    "r as (select *, row_number() over (partition by gene_id order by round(sse, 6), k) as r from e2), fit as (select gene_id, cast(k as int) as k, greatest(0, nugget) as nugget, greatest(nugget + 0.0001, sill) as sill, greatest(0.0001, reach) as reach from r where r = 1)"
+)
 
-@query("variogram_fit", V.with_views(f", {VARIO}, t as (select gene_id, max(gamma) g, max(distance) h from g group by 1), c as (select gene_id, a.k * 25 + b.k * 5 + c.k as k, a.v::double * g / 2 as nugget, b.v::double * 2 * g as sill, c.v::double * 2 * h as reach from t, {G5} a(k, v), {G5} b(k, v), {G5} c(k, v)), e2 as (select gene_id, k, nugget, sill, reach, sum((gamma - (nugget + (sill - nugget) * (1 - exp(-3 * distance / reach)))) ** 2) as sse from g join c using (gene_id) group by all), r as (select *, row_number() over (partition by gene_id order by round(sse, 6), k) as r from e2) select gene_id, cast(k as int) as k, round(nugget, 4) as nugget, round(sill, 4) as sill, round(reach, 4) as reach from r where r = 1", **ES))
+
+@query("variogram_fit", V.with_views(f", {FIT} select gene_id, k, round(nugget, 4) as nugget, round(sill, 4) as sill, round(reach, 4) as reach from fit", **ES))
 def variogram_fit(spark, sf_dir):
-    v = S.variogram(V.expr(spark, sf_dir), S.spot_pairs(V.spots(spark, sf_dir)))
+    v = S.dense_variogram(V.expr(spark, sf_dir), V.spots(spark, sf_dir))
     return S.fit_variogram(v).select("gene_id", "k", R("nugget", 4).alias("nugget"), R("sill", 4).alias("sill"), R("reach", 4).alias("reach"))
 
 
+def _krige(spark, sf_dir, dx, dy):
+    m, spots = V.expr(spark, sf_dir), V.spots(spark, sf_dir)
+    targets = spots.select(F.col("spot_id").alias("target_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    return S.krige(m, spots, targets, S.fit_variogram(S.dense_variogram(m, spots)))
+
+
 @query("kriging")
 def kriging(spark, sf_dir):
-    m, spots = V.expr(spark, sf_dir), V.spots(spark, sf_dir)
-    fits = S.fit_variogram(S.variogram(m, S.spot_pairs(spots)))
-    targets = spots.select(F.col("spot_id").alias("target_id"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"))
-    return S.krige(m, spots, targets, fits)
+    return _krige(spark, sf_dir, 0.5, 0.25)
+
+
+# at a measured place kriging gives the measured value, with the nugget as its variance
+@query("kriging_at_spots", V.with_views(f", {FIT} select gene_id, spot_id as target_id, round(value, 2) as value, round(nugget, 1) as variance from e join fit using (gene_id)", **ES))
+def kriging_at_spots(spark, sf_dir):
+    return _krige(spark, sf_dir, 0.0, 0.0).select("gene_id", "target_id", R("value", 2).alias("value"), R("variance", 1).alias("variance"))
 
 
 @query("gene_cross_moran", V.with_views(", d as (select spot_id, gene_id, value - (select avg(value) from e) as d from e), c as (select a.spot_id, sum(a.d * b.d) s from d a join d b on a.spot_id = b.spot_id and a.gene_id <> b.gene_id group by 1), q as (select spot_id, sum(d ** 2) q, count(*) n from d group by 1) select spot_id, round(n * s / (n * (n - 1) * q), 6) as moran from c join q using (spot_id)", e=V.EXPR))
