@@ -2,7 +2,8 @@
 
 The lexer reads assignments of source and configuration syntax (``=``, ``:``, ``:=``, ``=>``;
 quoted, bare and concatenated literals; names, quoted keys, members; a declared type between
-name and ``=``) out of free text as name-literal pairs, in order. A right side that names an earlier target is replaced by that
+name and ``=``) out of free text as name-literal pairs, in order; names and literals that stand side by side
+(XML elements, arguments, setters, YAML blocks) are pairs too. A right side that names an earlier target is replaced by that
 target's literal, so constants propagate. A literal is scored by how sensitive its target's
 name is and by how much it looks like key material; the pairs above the threshold are added to
 the spans of the base patterns.
@@ -54,6 +55,16 @@ _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 _TYPED = re.compile(r"""[ \t]*+[&*]?(?:'[a-z]++[ \t]++)?(?:mut[ \t]++)?[A-Za-z_][A-Za-z0-9_.]*+(?:[\[<][^\n=;\[<]{0,64}[\]>]{1,4})?\??(?:[ \t]*+\|[ \t]*+[A-Za-z_]++)*+(?:[ \t]++=(?![=>~])(?=[ \t]*+["'`A-Za-z0-9+/_.~$])|=(?=[ \t]*+["'`]))""")
 #: Before a type's name in ``name type =``: the space, and what makes it a list or a pointer.
 _BEFORE_TYPE = re.compile(r"[ \t]+(?:\*|\[[0-9]{0,6}\])?\Z")
+#: Names and literals that no assignment operator joins: an XML element, a key and a value side by side
+#: as arguments or in a list, a setter's argument, and the first line of a YAML block.
+_BESIDE = (
+    re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?:[ \t][^<>\n]{0,256})?>[ \t]*(?P<value>[^<>\s][^<>\n]*)</(?P=name)>"),
+    re.compile(r"""(?P<q>["'])(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[ \t]*,[ \t]*(?P<r>["'])(?P<value>(?:(?!(?P=r))[^\\\n]|\\.)*)(?P=r)"""),
+    re.compile(r"""\b(?:set|with|add)_?(?P<name>[A-Za-z_][A-Za-z0-9_]{0,63})\([ \t]*(?P<r>["'])(?P<value>(?:(?!(?P=r))[^\\\n]|\\.)*)(?P=r)[ \t]*\)"""),
+    re.compile(r"^(?P<pad>[ \t]*)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63}):[ \t]*[|>][-+0-9]{0,2}[ \t]*\n(?P=pad)[ \t]+(?P<value>\S[^\n]*)", re.M),
+)
+#: What each of them needs in the text.
+_BESIDE_SIGNS = (("</",), ('",', "',", '" ,', "' ,"), ("('", '("', "( "), (": |", ":|", ": >", ":>"))
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -190,13 +201,19 @@ def pairs(text: str):
         yield name, value, b, end, sources, counts
 
 
+def beside(text: str):
+    """(name, literal, begin, end) of names and literals that stand side by side (see _BESIDE)."""
+    for pattern, signs in zip(_BESIDE, _BESIDE_SIGNS, strict=True):
+        if any(s in text for s in signs):
+            for m in pattern.finditer(text):
+                yield m["name"], m["value"].rstrip(), m.start("name"), m.start("value") + len(m["value"].rstrip())
+
+
 def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str]]:
     """Pairs whose score reaches the threshold, and the assignments their literals come from, as ``assign`` spans.
 
     Spans that overlap a base span are left out.
     """
-    if not _OPERATOR.search(text):
-        return []
     order = sorted(base)
     starts = [x[0] for x in order]
     furthest = list(accumulate((x[1] for x in order), max))
@@ -207,6 +224,10 @@ def added_spans(text: str, base: list[tuple[int, int, str]], threshold: float) -
 
     named: dict[tuple[int, int], list[tuple[int, int]]] = {}  # of each assignment, those it names
     seen: set[tuple[int, int]] = set()
+    for name, value, begin, end in beside(text):
+        sensitive, look = name_score(name), literal_score(value)
+        if sensitive >= 1.0 and look > 0 and sensitive + look >= threshold:
+            seen.add((begin, end))
     for name, value, begin, end, sources, counts in pairs(text):
         if sources:
             named[begin, end] = sources
