@@ -209,7 +209,7 @@ def candidates(isl: Island, max_tokens: int) -> list[tuple[int, int, str, str]]:
                     out.append((i, j + 1, "ip", before))
                 if 14 <= n_digits <= 19:
                     out.append((i, j + 1, "card", before))
-                if 9 <= n_digits <= 15:
+                if 10 <= n_digits <= 15:
                     out.append((i, j + 1, "phone", before))
             if n_digits > 19 and not at:
                 break
@@ -282,7 +282,7 @@ def training_lines(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
 
     def decoy():
         c = card()
-        return rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", num(rng.choice([10, 12, 16])), c[:-1] + str((int(c[-1]) + 1) % 10), f"{num(4)}-{num(2)}-{num(2)}", f"{rng.randint(1, 9)}.{num(1)}.{num(1)}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{num(8)}{word()}{num(6)}", f"{num(3)},{num(3)},{num(3)}", f"{word()} (at) {word()}", f"{word()} at {word()}"])
+        return rng.choice([num(rng.randint(1, 6)), f"{num(2)}.{num(2)}", num(rng.choice([10, 12, 16])), c[:-1] + str((int(c[-1]) + 1) % 10), f"{num(4)}-{num(2)}-{num(2)}", f"{rng.randint(1, 9)}.{num(1)}.{num(1)}", ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{num(8)}{word()}{num(6)}", f"{num(3)},{num(3)},{num(3)}", f"{num(3)}-{num(2)}-{num(4)}", f"{word()} (at) {word()}", f"{word()} at {word()}"])
 
     out = []
     for _ in range(n):
