@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, new_path
+from .common import bounded_batches, new_path, staged
 
 SCHEMA = "page_id long, url string, record_id string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 #: Columns that come from the header: predicates on these are tested before the payload is read.
@@ -314,7 +314,9 @@ def archive_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
     slim = pages.select("page_id", F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("n"))
     firsts = slim.where(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "first")
-    known = rows.join(firsts, "sha1", "left")
+    # stored, its size is known: below the session's broadcast threshold payloads are not shuffled,
+    # above it they are, and a digest with very many pages is split as a skewed one
+    known = rows.join(staged(firsts, "warc-firsts"), "sha1", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.select(
         "page_id",
