@@ -118,3 +118,37 @@ def test_typed_declarations_and_long_literals():
     # white space after the first 4096 characters counts
     (_, value, *_, counts), = pairs(f'secret_a = "{"a1B!c" * 1000} and prose"')
     assert len(value) == 4096 and sum(counts.values()) == 5010 and literal_score(value, counts) == -5.0
+
+
+def test_names_and_literals_side_by_side():
+    from tissueloom.llm.secrets import added_spans, base_spans
+
+    found = {
+        "<password>Zx81!kQp02Lm</password>": "password>Zx81!kQp02Lm",
+        'conn.put("api_key", "Zx81kQp02LmAA")': 'api_key", "Zx81kQp02LmAA',
+        "cfg.setPassword('Zx81!kQp02Lm')": "Password('Zx81!kQp02Lm",
+        "a: 1\nsecret_key: |\n  Zx81kQp02LmAA99\n  more": "secret_key: |\n  Zx81kQp02LmAA99",
+        "<b>bold</b> and <user>bob</user>": None,
+        'they said "token", "hello world again"': None,
+        "notes: |\n  Zx81kQp02LmAA99": None,
+    }
+    for text, want in found.items():
+        assert [text[b:e] for b, e, _ in added_spans(text, base_spans(text), 4.0)] == ([want] if want else []), text
+
+
+def test_every_labelled_segment_is_a_candidate():
+    from tissueloom.llm.pii import candidates, islands, training_lines
+
+    kinds = set()
+    for line, gold in training_lines(600, 11):
+        known = {(isl.tokens[i][0], isl.tokens[j - 1][1], kind) for isl in islands(line) for i, j, kind, _ in candidates(isl, 24)}
+        assert set(gold) <= known, (line, set(gold) - known)
+        kinds |= {k for _, _, k in gold}
+    assert kinds == {"email", "ip", "card", "phone"}
+
+
+def test_numbers_that_are_no_phones(spark):
+    from tissueloom.llm.pii import find_pii
+
+    docs = docs_frame(spark, [(1, "id 123-45-6789 of 2024"), (2, "tel 555-123-4567 please")])
+    assert {r["doc_id"]: r["spans"] for r in find_pii(docs).collect()} == {1: "", 2: "phone:4:16"}

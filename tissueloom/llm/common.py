@@ -18,20 +18,37 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``, or, in local mode only, one set here where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             path = set_dir.get()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tissueloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """The folder of this application's stored steps."""
+    return f"{shared_dir(spark)}/tissueloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tissueloom/{name}-{uuid.uuid4().hex}"
+    return f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all stored steps of this application: for when its results have been written or read."""
+    delete(spark, steps_dir(spark))
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -50,9 +67,7 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_staged_path", None) if df is not None else None
         if path:
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(df.sparkSession, path)
             df._staged_path = None
 
 
