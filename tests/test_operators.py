@@ -284,3 +284,33 @@ def test_writers_check_their_input(spark, grid, planted, tmp_path):
         readers.as_matrix(np.zeros((2, 2, 2)))
     assert readers.as_matrix([1, 2]).shape == (2, 1) and readers.as_vector([[1, 2], [3, 4]]).tolist() == [1, 2, 3, 4]
     assert readers.reshape_embedding([1, 2, 3, 4], None).tolist() == [[1, 3], [2, 4]]
+
+
+def test_cell_search_is_exact_and_probes_recall(spark):
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(size=(20, 8))[rng.integers(0, 20, 900)] + rng.normal(size=(900, 8)) * 0.2, np.zeros((3, 8)), np.ones((60, 8))]
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vec array<double>").repartition(4)
+    for metric in ("euclidean", "cosine"):
+        want = {(r["id"], r["rank"]): (r["neighbour"], round(r["score"], 6)) for r in neighbors.knn(v, k=6, metric=metric).collect()}
+        got = {(r["id"], r["rank"]): (r["neighbour"], round(r["score"], 6)) for r in neighbors.knn_cells(v, k=6, metric=metric, cells=25).collect()}
+        assert {k: s for k, (_, s) in got.items()} == {k: s for k, (_, s) in want.items()}
+        some = neighbors.knn_cells(v, k=6, metric=metric, cells=25, probes=4).collect()
+        near = {(i, n) for (i, _), (n, _) in want.items() if i < 900}
+        assert len(near & {(r["id"], r["neighbour"]) for r in some}) >= 0.9 * len(near)
+
+
+def test_contracted_louvain_finds_planted_groups(spark):
+    rng = np.random.default_rng(5)
+    edges = {}
+    for a in range(200):
+        for b in rng.integers(0, 200, 12).tolist():
+            if a != b and (a // 25 == b // 25 or rng.random() < 0.05):
+                edges[min(a, b), max(a, b)] = 1.0
+    for a in range(200):  # a ring inside each group
+        b = a + 1 if a % 25 < 24 else a - 24
+        edges[min(a, b), max(a, b)] = 1.0
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double").repartition(3)
+    here, there = neighbors.louvain(e), neighbors.louvain(e, max_edges=len(edges) - 1)
+    score = lambda c: neighbors.modularity(e, c).first()["modularity"]
+    assert there.count() == 200 and there.select("id").distinct().count() == 200
+    assert score(there) > score(here) - 0.05 and score(there) > 0.6

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .matrix import hash_draw
+
 #: Most rows that a model is fitted on.
 MAX_TRAINING_ROWS = 50_000
 
@@ -249,11 +251,20 @@ def noise_schedule(steps: int, kind: str = "linear") -> pd.DataFrame:
     return pd.DataFrame({"step": t, "beta": beta, "alpha": 1 - beta, "alpha_bar": bar, "sigma": np.sqrt(beta * (1 - before) / (1 - bar))})
 
 
-def linear_schedule(spark, steps: int) -> DataFrame:
-    """The linear schedule as a frame: alpha_bar by a running sum of logarithms."""
-    beta = F.lit(1e-4) + (F.col("id") * ((0.02 - 1e-4) / max(steps - 1, 1)))
-    bar = F.exp(F.sum(F.log(1 - F.col("beta"))).over(W.orderBy("step").rowsBetween(W.unboundedPreceding, 0)))
-    return spark.range(steps).select((F.col("id") + 1).alias("step"), beta.alias("beta")).withColumn("alpha_bar", bar)
+def schedule(spark, steps: int, kind: str = "linear") -> DataFrame:
+    """The schedule as a frame (a row a step): beta, alpha_bar by a running sum of logarithms, posterior variance (the first step's is its beta)."""
+    f = lambda t: F.pow(F.cos((t / F.lit(steps + 1) + 0.008) / 1.008 * (math.pi / 2)), F.lit(2.0))
+    if kind == "linear":
+        beta = F.lit(1e-4) + (F.col("id") * ((0.02 - 1e-4) / max(steps - 1, 1)))
+    elif kind == "cosine":
+        beta = F.least(F.lit(0.999), 1 - f(F.col("id") + 1) / f(F.col("id")))
+    else:
+        raise ValueError(kind)
+    w = W.orderBy("step")
+    bar = F.exp(F.sum(F.log(1 - F.col("beta"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    out = spark.range(steps).select((F.col("id") + 1).alias("step"), beta.alias("beta")).withColumn("alpha_bar", bar)
+    before = F.lag("alpha_bar").over(w)
+    return out.withColumn("posterior_variance", F.when(before.isNull(), F.col("beta")).otherwise(F.col("beta") * (1 - before) / (1 - F.col("alpha_bar"))))
 
 
 def time_embedding(t: np.ndarray, dim: int) -> np.ndarray:
@@ -343,7 +354,7 @@ def synthetic_cells(spark, n_cells: int = 800, n_genes: int = 20, noise: float =
 
     Parameters and noise come from hashes of (gene, cell, seed), so partitions do not matter.
     """
-    u = lambda *k: F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = lambda *k: hash_draw(*(x.cast("string") for x in k), F.lit(str(seed))) / float(1 << 32)
     cells = spark.range(n_cells).select(F.col("id").alias("cell"), (F.col("id") / max(n_cells - 1, 1)).alias("condition"))
     g = F.col("gene")
     long = cells.withColumn("gene", F.explode(F.sequence(F.lit(0), F.lit(n_genes - 1))))

@@ -103,14 +103,23 @@ def _matches(spark, sf_dir):
     return C.greedy_matches(C.match_candidates(a, b, 3.0).withColumn("score", R("score", 9)), stage=stored)
 
 
-@query("greedy_matches")
+GREEDY = (
+    f"{MATCH}, c as (select id_a, id_b, distance, morphology, round(score, 9) as score from s where round(score, 9) > 0.3), "
+    "w(i, id_a, id_b, distance, morphology, score, taken) as (select 0, *, false from c union all select i + 1, id_a, id_b, distance, morphology, score, best from ("
+    "select *, bool_or(best) over (partition by id_a) as at_a, bool_or(best) over (partition by id_b) as at_b from (select *, ra = 1 and rb = 1 as best from ("
+    "select *, row_number() over (partition by id_a order by score desc, id_a, id_b) as ra, row_number() over (partition by id_b order by score desc, id_a, id_b) as rb from w where not taken))) where best or not (at_a or at_b))"
+)
+GREEDY_SQL = V.with_views(f"{GREEDY} select {{}} from w where taken", **CV).replace("with c as", "with recursive c0 as", 1).replace("from c where id % 2", "from c0 where id % 2")
+
+
+@query("greedy_matches", GREEDY_SQL.format("id_a, id_b, round(distance, 6) as distance, round(morphology, 6) as morphology, round(score, 6) as score"))
 def greedy_matches(spark, sf_dir):
-    return _matches(spark, sf_dir)
+    return _matches(spark, sf_dir).select("id_a", "id_b", *(R(c).alias(c) for c in ("distance", "morphology", "score")))
 
 
-@query("match_statistics")
+@query("match_statistics", GREEDY_SQL.format("count(distinct id_a) as n_a, count(distinct id_b) as n_b, round(avg(distance), 6) as mean_distance, round(avg(score), 6) as mean_score"))
 def match_statistics(spark, sf_dir):
-    return C.match_statistics(_matches(spark, sf_dir))
+    return C.match_statistics(_matches(spark, sf_dir)).select("n_a", "n_b", R("mean_distance").alias("mean_distance"), R("mean_score").alias("mean_score"))
 
 
 @query("cell_lines", "with p as (select l_suppkey as cell, l_quantity as x, l_discount * 100 + l_quantity / 3 as y from lineitem), f as (select cell, regr_slope(y, x) k, regr_intercept(y, x) b, min(x) lo, max(x) hi from p group by 1) select cell, round(atan(k) + case when k < 0 then pi() else 0 end, 6) as theta, round((hi - lo) * sqrt(1 + k * k), 4) as r1, round(max(abs(k * x - y + b) / sqrt(k * k + 1)), 4) as r2 from p join f using (cell) group by cell, k, lo, hi")

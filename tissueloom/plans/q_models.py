@@ -95,11 +95,16 @@ def topic_correlations(spark, sf_dir):
     return T.correlations(p, p).withColumn("r", R("r"))
 
 
-@query("topic_pairs")
+KEYS = range(0, 10, 2)
+PERMUTED = " cross join ".join(f"(select b as b{k}, r as r{k} from c where a = {k}) c{k}" for k in KEYS)
+TOTAL, DIFFERENT = " + ".join(f"r{k}" for k in KEYS), " and ".join(f"b{i} <> b{j}" for i in KEYS for j in KEYS if i < j)
+
+
+@query("topic_pairs", V.with_views(f", p as (select spot_id % 10 as k, gene_id as item, avg(value) as p from e group by all), c as (select x.k as a, y.k as b, corr(x.p, y.p) as r from p x join p y using (item) where x.k % 2 = 0 and y.k % 2 = 1 group by all), best as (select * from {PERMUTED} where {DIFFERENT} order by {TOTAL} desc limit 1) " + " union all ".join(f"select {k}::bigint as a, b{k} as b, round(r{k}, 6) as r from best" for k in KEYS), e=V.EXPR))
 def topic_pairs(spark, sf_dir):
     e = V.expr(spark, sf_dir)
     side = lambda r: e.where(F.col("spot_id") % 2 == r).groupBy((F.col("spot_id") % 10).alias("key"), F.col("gene_id").alias("item")).agg(F.avg("value").alias("p"))
-    return T.paired(T.correlations(side(0), side(1)))
+    return T.paired(T.correlations(side(0), side(1))).withColumn("r", R("r"))
 
 
 @query("cluster_topics")
@@ -190,9 +195,12 @@ def nearest_times(spark, sf_dir):
     return G.nearest_times(spark.range(14, 98).select((F.col("id") / 2).alias("t")), times)
 
 
-@query("noise_schedule", "with b as (select i + 1 as step, 1e-4 + i * ((0.02 - 1e-4) / 99) as beta from range(0, 100) r(i)) select step, round(beta, 8) as beta, round(exp(sum(ln(1 - beta)) over (order by step)), 8) as alpha_bar from b")
-def noise_schedule(spark, sf_dir):
-    return G.linear_schedule(spark, 100).select("step", R("beta", 8).alias("beta"), R("alpha_bar", 8).alias("alpha_bar"))
+BETAS = {"linear": "1e-4 + i * ((0.02 - 1e-4) / 99)", "cosine": "least(0.999, 1 - cos(((i + 1) / 101.0 + 0.008) / 1.008 * pi() / 2) ** 2 / cos((i / 101.0 + 0.008) / 1.008 * pi() / 2) ** 2)"}
+for _s, _b in BETAS.items():
+
+    @query(f"noise_schedule_{_s}", f"with b as (select i + 1 as step, {_b} as beta from range(0, 100) r(i)), a as (select step, beta, exp(sum(ln(1 - beta)) over (order by step)) as bar from b), p as (select *, lag(bar) over (order by step) as before from a) select step, round(beta, 8) as beta, round(bar, 8) as alpha_bar, round(case when before is null then beta else beta * (1 - before) / (1 - bar) end, 8) as posterior_variance from p")
+    def _schedule(spark, sf_dir, kind=_s):
+        return G.schedule(spark, 100, kind).select("step", *(R(c, 8).alias(c) for c in ("beta", "alpha_bar", "posterior_variance")))
 
 
 @query("time_embedding", "select event_id, round(sin(value), 6) as s0, round(cos(value * exp(-ln(10000) * 3 / 3)), 6) as c3 from events")
@@ -201,9 +209,17 @@ def time_embedding(spark, sf_dir):
     return e.select("event_id", R(F.get("v", F.lit(0))).alias("s0"), R(F.get("v", F.lit(7))).alias("c3"))
 
 
-@query("synthetic_cells")
+DRAW = lambda *k: "(('0x' || substr(md5(concat_ws('-', " + ", ".join(k) + ", '42')), 1, 8))::bigint / 4294967296.0::double)"
+
+
+@query(
+    "synthetic_cells",
+    f"with c as (select i as cell, i / 99.0::double as condition from range(0, 100) r(i)), g as (select j::int as gene, 5 + 10 * {DRAW('j', chr(39) + 'b' + chr(39))} as base, 2 + 5 * {DRAW('j', chr(39) + 'a' + chr(39))} as amp, 0.5 + 2 * {DRAW('j', chr(39) + 'f' + chr(39))} as freq, 2 * pi() * {DRAW('j', chr(39) + 'p' + chr(39))} as phase from range(0, 10) r(j)), "
+    f"s as (select cell, condition, gene, base, case gene % 3 when 0 then amp * sin(2 * pi() * freq * condition + phase) when 1 then amp * (2 * condition - 1) else amp * exp(-((condition - 0.5) ** 2) / 0.08) end as signal, sqrt(-2 * ln({DRAW('gene', 'cell', chr(39) + 'x' + chr(39))} + 1e-12)) * cos(2 * pi() * {DRAW('gene', 'cell', chr(39) + 'y' + chr(39))}) as normal from c, g) "
+    "select cell, round(condition, 6) as condition, gene, round(greatest(base + signal + normal * 0.1 * base, 0), 6) as value from s",
+)
 def synthetic_cells(spark, sf_dir):
-    return G.synthetic_cells(spark, 100, 10)
+    return G.synthetic_cells(spark, 100, 10).select("cell", R("condition").alias("condition"), "gene", R("value").alias("value"))
 
 
 @query("activations", "select event_id, greatest(value - 50, 0) as relu, case when value > 50 then value - 50 else 0.01 * (value - 50) end as leaky, round(1 / (1 + exp(-(value - 50) / 10)), 6) as sigmoid from events")
@@ -235,9 +251,19 @@ def procrustes(spark, sf_dir):
     return out.select(R("theta").alias("theta"), R("scale").alias("scale"), R("tx", 4).alias("tx"), R("ty", 4).alias("ty"), R("ss", 2).alias("ss"), R("correlation").alias("correlation"))
 
 
-@query("rotation_angle")
+WRAP = lambda x: f"(({x}) + pi() - 2 * pi() * floor((({x}) + pi()) / (2 * pi())) - pi())"
+
+
+@query(
+    "rotation_angle",
+    V.with_views(
+        f", {PP}, m as (select avg(xa) a, avg(ya) b, avg(xb) c, avg(yb) d from p), z as (select xa - a x, ya - b y, xb - c u, yb - d v from p, m), d as (select median({WRAP('atan2(v, u) - atan2(y, x)')}) as median, atan2(sum(x * v - y * u), sum(x * u + y * v)) as theta from z) "
+        f"select round(case when abs({WRAP('median - theta')}) > pi() / 2 then theta else median end, 6) as angle from d",
+        c=V.CELLS,
+    ),
+)
 def rotation_angle(spark, sf_dir):
-    return A.rotation_angle(_point_pairs(spark, sf_dir))
+    return A.rotation_angle(_point_pairs(spark, sf_dir)).select(R("angle").alias("angle"))
 
 
 @query("optimal_matches")
@@ -356,7 +382,37 @@ def slide_render(spark, sf_dir):
 
 
 
-@query("reference_shares")
+def _solutions():
+    """Of each subset of three profiles the least-squares parts, as SQL over the products g.. of profiles and h. with the spot."""
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    out = []
+    for i in range(3):
+        out.append([f"h{i} / {g(i, i)}" if k == i else "0.0" for k in range(3)])
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        det = f"({g(i, i)} * {g(j, j)} - {g(i, j)} * {g(i, j)})"
+        part = {i: f"(h{i} * {g(j, j)} - h{j} * {g(i, j)}) / {det}", j: f"(h{j} * {g(i, i)} - h{i} * {g(i, j)}) / {det}"}
+        out.append([part.get(k, "0.0") for k in range(3)])
+    minor = lambda r, c: "({} * {} - {} * {})".format(g(*(x[0] for x in (r, c))), g(*(x[1] for x in (r, c))), g(r[0], c[1]), g(r[1], c[0]))
+    rest = {k: [x for x in range(3) if x != k] for k in range(3)}
+    cof = lambda i, j: f"({'-' if (i + j) % 2 else ''}1.0) * {minor(rest[i], rest[j])}"
+    det = "(" + " + ".join(f"{g(0, j)} * {cof(0, j)}" for j in range(3)) + ")"
+    out.append(["(" + " + ".join(f"h{j} * {cof(j, k)}" for j in range(3)) + f") / {det}" for k in range(3)])
+    return " union all ".join(f"select spot_id, bb, h0, h1, h2, {n} as n, {x} as x0, {y} as x1, {z} as x2 from q" for n, (x, y, z) in enumerate(out))
+
+
+THREE = "p as (select cast(spot_id % 3 as int) as kind, gene_id, avg(value) as p from e group by all), w as (select gene_id, max(p) filter (kind = 0) as p0, max(p) filter (kind = 1) as p1, max(p) filter (kind = 2) as p2 from p group by 1)"
+GRAM = ", ".join(f"sum(p{i} * p{j}) as g{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+@query(
+    "reference_shares",
+    V.with_views(
+        f", {THREE}, g as (select {GRAM} from w), h as (select spot_id, sum(value * value) as bb, sum(value * p0) as h0, sum(value * p1) as h1, sum(value * p2) as h2 from e join w using (gene_id) group by 1), q as (select * from h, g), s as ({_solutions()}), "
+        "b as (select *, bb - x0 * h0 - x1 * h1 - x2 * h2 as f, row_number() over (partition by spot_id order by bb - x0 * h0 - x1 * h1 - x2 * h2, n) as r from s where x0 >= 0 and x1 >= 0 and x2 >= 0), u as (select * from b where r = 1) "
+        + " union all ".join(f"select spot_id, '{k}' as kind, round(x{k} / (x0 + x1 + x2), 5) as share, round(f / bb, 5) as residual from u" for k in range(3)),
+        e=V.EXPR,
+    ),
+)
 def reference_shares(spark, sf_dir):
     profiles = V.expr(spark, sf_dir).groupBy((F.col("spot_id") % 3).cast("string").alias("kind"), "gene_id").agg(F.avg("value").alias("p"))
-    return T.reference_shares(V.expr(spark, sf_dir), profiles)
+    return T.reference_shares(V.expr(spark, sf_dir), profiles).select("spot_id", "kind", R("share", 5).alias("share"), R("residual", 5).alias("residual"))

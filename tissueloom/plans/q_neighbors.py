@@ -14,11 +14,19 @@ L2 = "sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2
 COS = "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(a.vec, lambda x: x * x))) / sqrt(list_sum(list_transform(b.vec, lambda x: x * x)))"
 
 
-@query("knn", V.with_views(f", d as (select a.id, b.id as neighbour, {L2} as score from v a join v b on a.id <> b.id), r as (select *, row_number() over (partition by id order by score, neighbour) as rank from d) select id, neighbour, cast(rank as int) as rank, round(score, 5) as score from r where rank <= 10", **VV))
+KNN_SQL = V.with_views(f", d as (select a.id, b.id as neighbour, {L2} as score from v a join v b on a.id <> b.id), r as (select *, row_number() over (partition by id order by score, neighbour) as rank from d) select id, neighbour, cast(rank as int) as rank, round(score, 5) as score from r where rank <= 10", **VV)
+
+
+@query("knn", KNN_SQL)
 def knn(spark, sf_dir):
     return N.knn(V.vecs(spark, sf_dir), k=10).withColumn("score", R("score", 5))
 
 
+@query("knn_cells", KNN_SQL)
+def knn_cells(spark, sf_dir):
+    return N.knn_cells(V.vecs(spark, sf_dir), k=10).withColumn("score", R("score", 5))
+
+
 @query("joint_links", V.with_views(f", d as (select a.id, b.id as neighbour, {COS} as score from v a join v b on a.id % 2 = 0 and b.id % 2 = 1), r as (select *, row_number() over (partition by id order by score desc, neighbour) as rank from d) select id, neighbour, cast(rank as int) as rank, round(score, 5) as score from r where rank <= 5 and score > 0.2", **VV))
 def joint_links(spark, sf_dir):
     v = V.vecs(spark, sf_dir)
@@ -95,7 +103,12 @@ def louvain(spark, sf_dir):
     return N.louvain(_edges(spark, sf_dir))
 
 
-@query("label_propagation")
+ROUNDS = "".join(
+    f", v{k} as (select src as id, community, sum(weight) as w from u join l{k - 1} on id = dst group by all), l{k} as (select id, arg_max(community, (round(w, 9), -community)) as community from v{k} group by 1)" for k in range(1, 6)
+)
+
+
+@query("label_propagation", V.with_views(f", {EDGES}, u as (select src, dst, weight from e union all select dst, src, weight from e), l0 as (select distinct src as id, src as community from u){ROUNDS} select id, community from l5", **VV))
 def label_propagation(spark, sf_dir):
     return N.label_propagation(_edges(spark, sf_dir))
 
@@ -111,7 +124,15 @@ def modularity(spark, sf_dir):
     return N.modularity(_edges(spark, sf_dir), c).withColumn("modularity", R("modularity"))
 
 
-@query("graph_tree")
+@query(
+    "graph_tree",
+    V.with_views(
+        f", o as (select id, vec, row_number() over (order by id) as k from v), n as (select a.k, list(b.id) as near from o a join o b on a.k > b.k and {COS} >= 0.5 group by 1), "
+        "z as (select o.id, o.k, coalesce(near, []) as near from o left join n using (k)), t(k, id, leaders, leader) as (select k, id, [id], id from z where k = 1 union all select z.k, z.id, case when len(f) = 0 then list_append(leaders, z.id) else leaders end, coalesce(f[1], z.id) from "
+        "(select t.leaders, t.k as before, list_filter(t.leaders, lambda x: list_contains(y.near, x)) as f from t join z y on y.k = t.k + 1) p join z on z.k = p.before + 1) select id, leader from t",
+        **VV,
+    ).replace("with v", "with recursive v", 1),
+)
 def graph_tree(spark, sf_dir):
     return N.leader_tree(V.vecs(spark, sf_dir), 0.5)
 
