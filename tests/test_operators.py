@@ -314,3 +314,133 @@ def test_contracted_louvain_finds_planted_groups(spark):
     score = lambda c: neighbors.modularity(e, c).first()["modularity"]
     assert there.count() == 200 and there.select("id").distinct().count() == 200
     assert score(there) > score(here) - 0.05 and score(there) > 0.6
+
+
+def test_colors(spark):
+    from tissueloom.functions import colors
+
+    assert colors.hue_palette(3) == ["#F8766D", "#00BA38", "#619CFF"] and colors.rainbow(3) == ["#FF0000", "#00FF00", "#0000FF"]
+    one = spark.createDataFrame([("#336699",)], "c string")
+    assert one.select(colors.lighten(F.col("c")), colors.darken(F.col("c"), 2), colors.transparent(F.col("c"), 50)).first()[:] == ("#99B3CC", "#1A334D", "#33669980")
+    rows = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, None)], "id int, k string")
+    got = {r["id"]: r["color"] for r in colors.factor_colors(rows, "k", least=2).collect()}
+    assert got == {1: "#D3D3D3", 2: "#FF0000", 3: "#FF0000", 4: "#D3D3D3"}
+
+
+def test_concave_hull_follows_a_notch():
+    u = np.array([(x, y) for x in range(9) for y in range(9) if not (3 <= x <= 5 and y > 2)])
+    area = lambda p: abs(sum(p[k - 1][0] * p[k][1] - p[k][0] * p[k - 1][1] for k in range(len(p)))) / 2
+    assert area(N.convex_hull(u)) == 64 and area(N.concave_hull(u)) < 50
+    assert len(N.concave_hull(np.array([[0, 0], [1, 1]]))) == 2 and len(N.concave_hull(np.array([[0, 0], [2, 0], [2, 2], [0, 2]]))) == 4
+
+
+def test_overdispersed_genes_against_numpy(spark):
+    rng = np.random.default_rng(21)
+    rows, odd = [], set()
+    for g in range(60):
+        mean = math.exp(rng.uniform(0, 4))
+        wide = g % 12 == 0
+        odd |= {f"g{g:02d}"} if wide else set()
+        for s in range(200):
+            rows.append((f"g{g:02d}", s, float(rng.poisson(mean * (rng.gamma(0.5, 2) if wide else 1))) + 0.5))
+    m = spark.createDataFrame(rows, "gene_id string, spot_id long, value double")
+    got = {r["gene_id"]: r for r in matrix.overdispersed_genes(m).collect()}
+    assert {g for g, r in got.items() if r["selected"]} == odd
+    # the trend is smooth, and fits the others' log variance (of a Poisson law: log mean)
+    assert np.mean([abs(r["residual"]) for g, r in got.items() if g not in odd]) < 0.6
+    x = np.array([r["lm"] for r in got.values()])
+    trend = np.array([r["lv"] - r["residual"] for r in got.values()])[np.argsort(x)]
+    assert np.abs(np.diff(trend, 2)).max() < 1.0
+    r = next(iter(got.values()))
+    assert math.isclose(S.chi2_sf(r["qv"] * 60, 59), max(r["p"], 1e-300), rel_tol=1e-5, abs_tol=1e-9)
+    assert math.isclose(r["scale"], math.sqrt(min(max(r["qv"], 1e-3), 1e3) / math.exp(r["lv"])), rel_tol=1e-9)
+    assert matrix.overdispersed_genes(m.where("false")).count() == 0
+
+
+def test_manifold_layout_keeps_groups(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[*(rng.normal(c, 0.15, (30, 5)) for c in (np.eye(5)[:3] * 3))]
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, vec array<double>")
+    y = np.stack([r["vec"] for r in neighbors.manifold_layout(v, 2, k=8, epochs=80).orderBy("id").collect()])
+    d = np.linalg.norm(y[:, None] - y[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert (d.argmin(1) // 30 == np.arange(90) // 30).mean() > 0.95
+    assert neighbors.manifold_graph(v, 2, 4, layout="pca").count() > 90
+
+
+def test_lenses_and_clusters_of_the_mapper(spark):
+    a = np.linspace(0, 2 * math.pi, 80, endpoint=False)
+    v = spark.createDataFrame([(i, [math.cos(x), math.sin(x), 0.0]) for i, x in enumerate(a)], "id long, vec array<double>")
+    flat = np.stack([r["lens"] for r in mapper.distance_lens(v, "mds").orderBy("id").collect()])
+    want = np.stack([[math.cos(x), math.sin(x)] for x in a])
+    assert np.abs(np.linalg.norm(flat[:, None] - flat[None], axis=2) - np.linalg.norm(want[:, None] - want[None], axis=2)).max() < 1e-3
+    ring = np.stack([r["lens"] for r in mapper.distance_lens(v, "neighbor").orderBy("id").collect()])
+    assert np.std(np.linalg.norm(ring, axis=1)) < 0.05 * np.linalg.norm(ring, axis=1).mean()
+    with pytest.raises(ValueError):
+        mapper.distance_lens(v, max_rows=10)
+
+
+def test_kriging_against_its_system(spark, grid, planted):
+    one = planted.where("gene_id = 'g00'") if planted.where("gene_id = 'g00'").count() else planted.where(F.col("gene_id") == planted.first()["gene_id"])
+    fit = spatial.fit_variogram(spatial.dense_variogram(one, grid))
+    p = fit.first()
+    gap = lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1])
+
+    def model(h):
+        return p["sill"] if h >= p["reach"] else p["nugget"] + (p["sill"] - p["nugget"]) * (1.5 * h / p["reach"] - 0.5 * (h / p["reach"]) ** 3)
+
+    z = {r["spot_id"]: r["value"] for r in one.collect()}
+    xy = {r["spot_id"]: (r["x"], r["y"]) for r in grid.collect() if r["spot_id"] in z}
+    ids = sorted(xy)
+    a = np.ones((len(ids) + 1, len(ids) + 1))
+    a[-1, -1] = 0
+    for i, s in enumerate(ids):
+        for j, t in enumerate(ids):
+            a[i, j] = p["nugget"] if i == j else model(gap(xy[s], xy[t]))
+    at = (2.3, 1.6)
+    b = np.array([*(model(gap(xy[s], at)) for s in ids), 1.0])
+    w = np.linalg.inv(a) @ b
+    got = spatial.krige(one, grid, spark.createDataFrame([(7, *at)], "target_id long, x double, y double"), fit).first()
+    assert math.isclose(got["value"], sum(w[i] * z[s] for i, s in enumerate(ids)), rel_tol=1e-6) and math.isclose(got["variance"], max(0.0, w @ b), rel_tol=1e-6, abs_tol=1e-9)
+    # the grid of the fit: the best of the 125 combinations, tried here one by one
+    lags = [(r["distance"], r["gamma"]) for r in spatial.dense_variogram(one, grid).orderBy("lag").collect()]
+    n0, s0, r0 = lags[0][1] / 2, max(g for _, g in lags), max(h for h, _ in lags) / 2
+    best = min((sum((g - (s * s0 if h >= r * r0 else n * n0 + (s * s0 - n * n0) * (1.5 * h / (r * r0) - 0.5 * (h / (r * r0)) ** 3))) ** 2 for h, g in lags), n * n0, s * s0, r * r0) for n in (0.1, 0.3, 0.5, 0.8, 1) for s in (0.5, 0.8, 1, 1.2, 1.5) for r in (0.3, 0.5, 0.8, 1, 1.5))
+    assert np.allclose([p["nugget"], p["sill"], p["reach"]], [max(0, best[1]), max(best[1] + 1e-4, best[2]), best[3]], rtol=1e-9) and math.isclose(p["sse"], best[0], rel_tol=1e-9)
+
+
+def test_bson_round_trip(spark, tmp_path):
+    kind = "id long, name string, size double, antibody map<string,double>, at array<double>, ok boolean"
+    rows = [(1, "a", 1.5, {"x": 2.0}, [1.0, 2.0], True), (2, None, None, {}, [], False), (3, "é", -0.5, {"y": 0.0, "z": 1.0}, [3.0], None)]
+    cells_ = spark.createDataFrame(rows, kind).repartition(2)
+    written = writers.write_cells_bson(cells_, f"file://{tmp_path}/cells").collect()
+    assert sum(r["documents"] for r in written) == 3
+    back = readers.read_cells_bson(spark, f"file://{tmp_path}/cells/*.bson", "id long, name string, size double, at array<double>").collect()
+    assert sorted((r["id"], r["name"], r["size"], r["at"]) for r in back) == sorted((r[0], r[1], r[2], r[4]) for r in rows)
+    assert readers.bson_documents(writers.bson_document({"n": 5, "m": {"k": [True, None]}})) == [{"n": 5, "m": {"k": [True, None]}}]
+
+
+def test_diffusion_weights_are_stored(tmp_path):
+    model = generative.Diffusion(3, steps=5)
+    writers.save_model(model, str(tmp_path / "d.npz"))
+    again = generative.Diffusion(3, steps=5, seed=7).load(np.load(tmp_path / "d.npz"))
+    assert np.allclose(again.sample(np.zeros(2)), model.sample(np.zeros(2)))
+    with pytest.raises(ValueError):
+        generative.Diffusion(4, steps=5).load(np.load(tmp_path / "d.npz"))
+
+
+def test_numbers_of_a_global_order(spark):
+    from tissueloom.functions.ranking import numbered
+
+    x = RNG.integers(0, 40, 500).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "id long, v long").repartition(5)
+    got = [(r["n"], r["v"]) for r in numbered(df, "v", "id").collect()]
+    assert sorted(got) == list(enumerate(sorted(x), 1))
+    p = spark.createDataFrame([(k, float(v)) for k, v in enumerate(RNG.random(200).round(2))], "id long, p double")
+    rows = sorted((r["p"], r["id"]) for r in p.collect())
+    want, low = {}, 1.0
+    for k in range(len(rows), 0, -1):
+        low = min(low, rows[k - 1][0] * len(rows) / k)
+        want[rows[k - 1][1]] = low
+    assert all(math.isclose(r["fdr"], want[r["id"]]) for r in S.benjamini_hochberg(p, "p").collect())
+    assert S.benjamini_hochberg(p.where("false"), "p").count() == 0

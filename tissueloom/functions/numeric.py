@@ -221,3 +221,42 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
         return out[:-1]
 
     return np.array(half(p) + half(p[::-1]))
+
+
+def concave_hull(points: np.ndarray, ratio: float = 2.0) -> np.ndarray:
+    """The convex hull dug in: an edge goes through the nearest point inside where it is long beside that point's distance.
+
+    An edge is replaced by two as long as its length over the smaller distance of the inner point
+    to its ends exceeds ``ratio`` and no point is left out (Park and Oh's rule). Counter-clockwise.
+    """
+    hull = convex_hull(points)
+    if len(hull) < 3:
+        return hull
+    inner = {tuple(p) for p in np.unique(points, axis=0).tolist()} - set(map(tuple, hull.tolist()))
+    ring = [tuple(p) for p in hull.tolist()]
+    at = 0
+    while at < len(ring) and inner:
+        a, b = np.array(ring[at]), np.array(ring[(at + 1) % len(ring)])
+        rest = np.array(sorted(inner))
+        edge = b - a
+        length = math.hypot(*edge)
+        t = np.clip(((rest - a) @ edge) / max(length**2, 1e-300), 0, 1)
+        off = np.linalg.norm(rest - (a + t[:, None] * edge), axis=1)
+        best = int(np.lexsort((rest[:, 1], rest[:, 0], off))[0])
+        p = rest[best]
+        near = min(math.hypot(*(p - a)), math.hypot(*(p - b)))
+        # it must be nearer to this edge than to its neighbours, so that edges do not cross
+        others = [(ring[at - 1], ring[at]), (ring[(at + 1) % len(ring)], ring[(at + 2) % len(ring)])]
+        apart = min(_to_segment(p, np.array(c), np.array(d)) for c, d in others)
+        if near > 0 and length / near > ratio and off[best] <= apart + 1e-12:
+            ring.insert(at + 1, tuple(p.tolist()))
+            inner.discard(tuple(p.tolist()))
+        else:
+            at += 1
+    return np.array(ring)
+
+
+def _to_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    edge = b - a
+    t = min(1.0, max(0.0, float((p - a) @ edge) / max(float(edge @ edge), 1e-300)))
+    return math.hypot(*(p - a - t * edge))

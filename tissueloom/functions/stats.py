@@ -83,6 +83,24 @@ def chi2_sf(x: float, df: float) -> float:
     return 1 - lower_gamma(df / 2, x / 2)
 
 
+def chi2_isf(p: float, df: float) -> float:
+    """The x whose upper tail is p, by bisection."""
+    if p >= 1:
+        return 0.0
+    lo, hi = 0.0, max(df, 1.0)
+    while chi2_sf(hi, df) > p and hi < 1e12:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if chi2_sf(mid, df) > p:
+            lo = mid
+        else:
+            hi = mid
+        if hi - lo <= 1e-12 * hi:
+            break
+    return (lo + hi) / 2
+
+
 def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 

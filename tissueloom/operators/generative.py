@@ -69,6 +69,23 @@ def hidden_sizes(dim: int) -> tuple[int, int]:
     return (512, 256) if dim >= 256 else (max(128, dim), max(64, dim // 2))
 
 
+def weights_of(model) -> dict[str, np.ndarray]:
+    """A network's weights by layer and name, for np.savez."""
+    return {f"{k}.{n}": v for k, layer in enumerate(model.all_layers()) for n, v in layer.p.items()}
+
+
+def with_weights(model, arrays):
+    """The network with stored weights in place of its own; shapes must be the same."""
+    layers = model.all_layers()
+    for name in list(arrays):
+        k, n = name.split(".")
+        value = np.asarray(arrays[name])
+        if value.shape != layers[int(k)].p[n].shape:
+            raise ValueError(f"weights {name} have another shape")
+        layers[int(k)].p[n] = value
+    return model
+
+
 class Cvae:
     """Conditional variational autoencoder: (vec, t in 0..1) -> latent -> vec."""
 
@@ -121,16 +138,14 @@ class Cvae:
             losses.append(total / len(x))
         return losses
 
+    def all_layers(self) -> list[Dense]:
+        return [*self.enc, self.mu, self.logvar, *self.dec]
+
     def arrays(self) -> dict[str, np.ndarray]:
-        """The weights by name, for np.savez."""
-        layers = (*self.enc, self.mu, self.logvar, *self.dec)
-        return {f"{k}.{n}": v for k, layer in enumerate(layers) for n, v in layer.p.items()}
+        return weights_of(self)
 
     def load(self, arrays) -> Cvae:
-        for name in list(arrays):
-            k, n = name.split(".")
-            (*self.enc, self.mu, self.logvar, *self.dec)[int(k)].p[n] = np.asarray(arrays[name])
-        return self
+        return with_weights(self, arrays)
 
 
 def scale_time(df: DataFrame, column: str = "t") -> DataFrame:
@@ -289,6 +304,15 @@ class Diffusion:
         self.layers = [Dense(rng, dim + embed + 1, width, False), Dense(rng, width, width, False), Dense(rng, width, width, False), Dense(rng, width, dim, False, False)]
         self.noise, self.dim, self.steps, self.embed, self.rng, self.t = noise_schedule(steps, kind), dim, steps, embed, rng, 0
 
+    def all_layers(self) -> list[Dense]:
+        return self.layers
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return weights_of(self)
+
+    def load(self, arrays) -> Diffusion:
+        return with_weights(self, arrays)
+
     def guess(self, x: np.ndarray, step: np.ndarray, c: np.ndarray) -> np.ndarray:
         h = np.c_[x, time_embedding(step.astype(float), self.embed), c]
         for layer in self.layers:

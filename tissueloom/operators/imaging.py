@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import connected_regions, convex_hull, nnls, otsu
+from ..functions.numeric import concave_hull, connected_regions, nnls, otsu
 
 # --- fixed values: stain colours by antibody (RGB, 0..255) of the two immunofluorescence panels --
 IHC1 = {"CD11b": (0, 0, 255), "CD11c": (0, 255, 0), "CD8": (255, 255, 0), "PanCK": (255, 0, 0), "Dapi": (200, 200, 200)}
@@ -75,7 +75,7 @@ def scan_cells(tiles: DataFrame, threshold: float, dark: bool = True, offset: tu
     """Connected regions of each tile (tile_id, left, top, w, pixels) as cells with their shape.
 
     ``dark``: cells are at or below the threshold. Angle and radii come from the region's second
-    moments, the weight is the mean level over 255, the polygon the region's hull.
+    moments, the weight is the mean level over 255, the polygon the region's concave hull.
     """
 
     def run(frames):
@@ -84,13 +84,16 @@ def scan_cells(tiles: DataFrame, threshold: float, dark: bool = True, offset: tu
             for t in frame.itertuples():
                 img = np.asarray(t.pixels, float).reshape(-1, int(t.w))
                 label = connected_regions(img <= threshold if dark else img > threshold)
-                for k in range(1, int(label.max(initial=0)) + 1):
-                    ys, xs = np.nonzero(label == k)
+                place = np.flatnonzero(label.ravel())
+                place = place[np.argsort(label.ravel()[place], kind="stable")]
+                each = np.split(place, np.cumsum(np.bincount(label.ravel()[place])[1:])[:-1]) if len(place) else []
+                for k, own in enumerate(each, 1):
+                    ys, xs = np.divmod(own, img.shape[1])
                     cov = np.cov(np.c_[xs, ys].T) if len(xs) > 1 else np.zeros((2, 2))
                     val, vec = np.linalg.eigh(cov)
                     r1, r2 = 2 * math.sqrt(max(val[1], 0)) + 0.5, 2 * math.sqrt(max(val[0], 0)) + 0.5
                     box = (np.ptp(xs) + 1) * (np.ptp(ys) + 1)
-                    hull = convex_hull(np.c_[xs, ys])
+                    hull = concave_hull(np.c_[xs, ys])
                     theta = math.atan2(vec[1, 1], vec[0, 1]) % math.pi
                     x, y = xs.mean(), ys.mean()
                     out.append((t.tile_id, k, x, y, x + t.left + offset[0], y + t.top + offset[1], float(box), len(xs) / box, len(xs), r1, r2, theta, img[ys, xs].mean() / 255, hull[:, 0].astype(float), hull[:, 1].astype(float)))

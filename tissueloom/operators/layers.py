@@ -27,6 +27,11 @@ def relabel(m: DataFrame, spots: DataFrame) -> DataFrame:
     return m.join(spots, "spot_id").select(F.concat_ws(",", F.col("x").cast("long").cast("string"), F.col("y").cast("long").cast("string")).alias("label"), "gene_id", "value")
 
 
+def join_places(data: DataFrame, other: DataFrame, key: str = "xy") -> DataFrame:
+    """All rows of ``data`` with what ``other`` holds under the same ``x,y`` label (nulls where it holds nothing)."""
+    return data.join(other, key, "left")
+
+
 def parse_label(df: DataFrame, column: str = "label") -> DataFrame:
     """``x,y`` back to two numbers; other strings give nulls."""
     parts = F.split(column, ",")

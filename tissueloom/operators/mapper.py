@@ -127,6 +127,19 @@ def davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
     return float(((s[:, None] + s[None]) / np.maximum(d, 1e-300)).max(1).mean())
 
 
+def separation(labelled: DataFrame) -> DataFrame:
+    """The Davies-Bouldin index of labelled vectors (id, vec, label), for tables of any size: one row."""
+    from .neighbors import centroids
+
+    centre = centroids(labelled).select(F.col("id").alias("label"), F.col("vec").alias("_c"))
+    gap = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    spread = labelled.join(centre, "label").groupBy("label").agg(F.avg(gap(F.col("vec"), F.col("_c"))).alias("_s")).join(centre, "label")
+    a, b = (spread.select(F.col("label").alias(f"_{x}"), F.col("_s").alias(f"_s{x}"), F.col("_c").alias(f"_c{x}")) for x in "ab")
+    met = a.join(b, F.col("_a") != F.col("_b"))  # labels are few
+    worst = met.groupBy("_a").agg(F.max((F.col("_sa") + F.col("_sb")) / gap(F.col("_ca"), F.col("_cb"))).alias("_r"))
+    return worst.agg(F.avg("_r").alias("davies_bouldin"))
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
     """Lloyd's rounds from the point nearest the mean and then the farthest ones."""
     centers = [x[np.argmin(((x - x.mean(0)) ** 2).sum(1))]]

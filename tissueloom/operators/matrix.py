@@ -6,11 +6,17 @@ gene with very many spots never has to fit one task.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.ranking import numbered
+from ..functions.stats import benjamini_hochberg, chi2_isf, incomplete_beta
+from ..sources.staging import stored
 
 
 def _joined(m: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -152,6 +158,75 @@ def overdispersed(m: DataFrame) -> DataFrame:
     return v.join(F.broadcast(fit)).select("gene_id", "lm", "lv", (F.col("lv") - F.col("slope") * F.col("lm") - F.col("intercept")).alias("residual"))
 
 
+def _spline_parts(x: Column, knots: list[float]) -> list[Column]:
+    """A natural cubic spline's basis: 1, x, and one part for each inner knot."""
+    cube = lambda k: F.pow(F.greatest(x - k, F.lit(0.0)), F.lit(3.0))
+    last = knots[-1]
+    part = lambda k: (cube(k) - cube(last)) / (last - k)
+    return [F.lit(1.0), x, *(part(k) - part(knots[-2]) for k in knots[:-2])]
+
+
+def _spline_penalty(knots: list[float]) -> np.ndarray:
+    """Integrals of products of the basis' second derivatives, which are linear between knots."""
+    at = np.array(knots)
+    bend = lambda k, x: 6 * (np.maximum(x - k, 0) - np.maximum(x - at[-1], 0)) / (at[-1] - k)
+    second = lambda x: np.stack([np.zeros_like(x), np.zeros_like(x), *(bend(k, x) - bend(at[-2], x) for k in at[:-2])])
+    lo, hi = at[:-1], at[1:]
+    ends = [second(lo), second((lo + hi) / 2), second(hi)]
+    return sum(w * np.einsum("ik,jk,k->ij", e, e, hi - lo) / 6 for w, e in zip((1, 4, 1), ends, strict=True))  # Simpson's rule is exact here
+
+
+def overdispersed_genes(m: DataFrame, knots: int = 5, alpha: float = 0.05, adjusted: bool = True, least: float = 1e-3, most: float = 1e3) -> DataFrame:
+    """Genes whose variance lies above the trend of log variance over log mean, with scale factors.
+
+    The trend is a natural cubic spline of ``knots`` quantile knots, smoothed by generalised
+    cross-validation; a line where there are under 1.5 genes a knot. All of the fit follows from
+    sums over genes of the basis' products. Returns lm, lv, residual, p (F test of exp(residual) with
+    as many degrees as spots), fdr, qv (chi-square quantile of p over the genes), ``scale`` = sqrt(qv
+    within bounds / variance), and ``selected``. Genes without a positive mean and variance take no part.
+    """
+    v = stored(variances(m).where("mean > 0 and var_samp > 0").select("gene_id", F.log("mean").alias("lm"), F.log("var_samp").alias("lv")), "variances")
+    n_obs = m.select("spot_id").distinct().count()
+    n_genes = m.select("gene_id").distinct().count()
+    about = v.agg(F.count("*").alias("n"), F.min("lm").alias("lo"), F.max("lm").alias("hi"), F.percentile("lm", F.array(*(F.lit(k / (knots - 1)) for k in range(knots)))).alias("q")).first()
+    out = "gene_id string, lm double, lv double, residual double, p double, fdr double, qv double, scale double, selected boolean"
+    if not about["n"]:
+        return m.sparkSession.createDataFrame([], out)
+    span = (about["hi"] - about["lo"]) or 1.0
+    x = (F.col("lm") - about["lo"]) / span
+    places = sorted({(q - about["lo"]) / span for q in about["q"]})
+    curved = about["n"] >= 1.5 * knots and len(places) > 2
+    parts = _spline_parts(x, places) if curved else [F.lit(1.0), x]
+    size = len(parts)
+    sums = v.agg(*(F.sum(parts[i] * parts[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)), *(F.sum(p * F.col("lv")).alias(f"h{i}") for i, p in enumerate(parts)), F.sum(F.col("lv") ** 2).alias("yy")).first()
+    gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)])
+    right = np.array([sums[f"h{i}"] for i in range(size)])
+    penalty = _spline_penalty(places) if curved else np.zeros((size, size))
+    best = None
+    for weight in np.r_[np.geomspace(1e-8, 1e4, 61) * about["n"]] if curved else [0.0]:
+        solve = np.linalg.pinv(gram + weight * penalty)
+        b = solve @ right
+        left = max(sums["yy"] - 2 * b @ right + b @ gram @ b, 0.0)
+        free = about["n"] - np.trace(solve @ gram)
+        score = left / free**2 if free > 1e-9 else math.inf
+        if best is None or score < best[0]:
+            best = (score, b)
+    trend = sum((p * float(c) for p, c in zip(parts, best[1], strict=True)), F.lit(0.0))
+
+    @F.pandas_udf("double")
+    def tail(residual: pd.Series) -> pd.Series:
+        return pd.Series(incomplete_beta(np.full(len(residual), n_obs / 2), n_obs / 2, 1 / (1 + np.exp(residual.to_numpy(float)))))
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        return pd.Series([chi2_isf(max(x, 1e-300), max(1, n_genes - 1)) / n_genes for x in p])
+
+    fit = v.withColumn("residual", F.col("lv") - trend).withColumn("p", tail("residual"))
+    fit = benjamini_hochberg(fit, "p").withColumn("qv", quantile("p"))
+    scale = F.sqrt(F.greatest(F.lit(least), F.least(F.lit(most), F.col("qv"))) / F.exp("lv"))
+    return fit.withColumn("scale", scale).withColumn("selected", F.col("fdr" if adjusted else "p") < alpha).select(*(c.split()[0] for c in out.split(", ")))
+
+
 def restrict_corpus(m: DataFrame, above: float = 1.0, below: float = 0.05, n_top: int = 1000) -> DataFrame:
     """Presence bounds, then the n_top most overdispersed genes."""
     kept = presence_filter(m, above, below)

@@ -308,3 +308,21 @@ def st_clusters(m: DataFrame, spots: DataFrame, k: int, n_top: int = 1000, weigh
     d = (1 - weight) * d1 / max(d1.max(), 1e-300) + weight * d2 / max(d2.max(), 1e-300)
     labels = ward_labels(d, k) if method == "ward" else k_medoids(d, k)
     return m.sparkSession.createDataFrame(pd.DataFrame({"spot_id": rows["spot_id"], "cluster": labels}), "spot_id long, cluster int")
+
+
+def spatial_statistics(m: DataFrame, spots: DataFrame, max_distance: float | None = None) -> DataFrame:
+    """Autocorrelation of each gene with weights within ``max_distance`` (by default the median distance of two spots)."""
+    if max_distance is None:
+        max_distance = median_distance(spot_pairs(spots)).first()["median"]
+    return autocorrelation(m, distance_weights(spots, max_distance))
+
+
+def full_analysis(counts: DataFrame, spots: DataFrame, k: int = 5, grid: DataFrame | None = None, weight: float = 0.5) -> dict[str, DataFrame]:
+    """Statistics by falling Moran's I, kriged surfaces on ``grid`` (where there is one), and clusters of spots, on log2 counts per million."""
+    from .matrix import log2_cpm
+
+    m = stored(log2_cpm(counts), "log-counts")
+    out = {"stats": spatial_statistics(m, spots), "clusters": st_clusters(m, spots, k, weight=weight)}
+    if grid is not None:
+        out["surfaces"] = krige(m, spots, grid, fit_variogram(dense_variogram(m, spots)))
+    return out

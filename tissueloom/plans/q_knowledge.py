@@ -125,3 +125,11 @@ def benjamini_hochberg(spark, sf_dir):
 def normal_p(spark, sf_dir):
     z = (F.col("p_size") - 25) / F.lit(10.0)
     return V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(S.two_sided(z), 6).alias("p"))
+
+
+@query("chi2_p", "select event_id, round(1 - (1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-v * v)), 6) as p from (select event_id, sqrt(value / 20) as v, 1 / (1 + 0.3275911 * sqrt(value / 20)) as t from events where value >= 0)")
+def chi2_p(spark, sf_dir):
+    """Chi-square's upper tail with one degree of freedom."""
+    from ..functions.stats import chi2_sf_1
+
+    return V.table(spark, sf_dir, "events").where("value >= 0").select("event_id", F.round(chi2_sf_1(F.col("value") / 10), 6).alias("p"))

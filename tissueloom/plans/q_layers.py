@@ -146,3 +146,30 @@ def pie_slices(spark, sf_dir):
     theta = M.library_share(V.expr(spark, sf_dir)).select(F.col("spot_id").alias("pixel"), F.col("gene_id").alias("topic"), F.col("value").alias("p"))
     out = L.pie_slices(theta, V.spots(spark, sf_dir))
     return out.withColumns({"start": R("start"), "stop": R("stop")})
+
+
+HEX = lambda f: "'#' || " + " || ".join(f"printf('%02X', cast(floor(least(greatest({f.format(x=c)}, 0), 255) + 0.5) as bigint))" for c in ("r", "g", "b"))
+
+
+@query("color_shades", f"with p as (select p_partkey as id, ((p_partkey * 7919) % 16777216) >> 16 as r, (((p_partkey * 7919) % 16777216) >> 8) & 255 as g, ((p_partkey * 7919) % 16777216) & 255 as b from part) select id, {HEX('({x} + (255 - {x}) * 0.25)')} as light, {HEX('({x} / 1.4)')} as dark, {HEX('{x}')} || 'BF' as clear from p")
+def color_shades(spark, sf_dir):
+    from ..functions import colors
+
+    p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("#"), F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0")).alias("c"))
+    return p.select("id", colors.lighten(F.col("c"), 0.25).alias("light"), colors.darken(F.col("c")).alias("dark"), colors.transparent(F.col("c"), 25).alias("clear"))
+
+
+@query("factor_colors", "with v(label, color) as (values ('AUTOMOBILE', '#FF0000'), ('BUILDING', '#CCFF00'), ('FURNITURE', '#00FF66'), ('HOUSEHOLD', '#0066FF'), ('MACHINERY', '#CC00FF')) select c_custkey as id, coalesce(color, '#D3D3D3') as color from customer left join v on c_mktsegment = label")
+def factor_colors(spark, sf_dir):
+    from ..functions import colors
+
+    c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    return colors.factor_colors(c, "label").select("id", "color")
+
+
+@query("join_places", V.with_views(", d as (select x::bigint || ',' || y::bigint as xy, spot_id from s), o as (select x::bigint || ',' || y::bigint as xy, sum(value) as total from e join s using (spot_id) where spot_id % 3 = 0 group by 1) select xy, spot_id, total from d left join o using (xy)", **ES))
+def join_places(spark, sf_dir):
+    spots = V.spots(spark, sf_dir)
+    label = F.concat_ws(",", F.col("x").cast("long").cast("string"), F.col("y").cast("long").cast("string"))
+    totals = V.expr(spark, sf_dir).where("spot_id % 3 = 0").join(spots, "spot_id").groupBy(label.alias("xy")).agg(F.sum("value").alias("total"))
+    return L.join_places(spots.select(label.alias("xy"), "spot_id"), totals)

@@ -80,6 +80,17 @@ def overdispersion(spark, sf_dir):
     return M.overdispersed(V.expr_holes(spark, sf_dir)).select("gene_id", R("residual").alias("residual"))
 
 
+@query("overdispersed_genes")
+def overdispersed_genes(spark, sf_dir):
+    return M.overdispersed_genes(V.expr_holes(spark, sf_dir))
+
+
+@query("overdispersed_line", V.with_views(f", {OD} select gene_id, round(residual, 6) as residual from o", **H))
+def overdispersed_line(spark, sf_dir):
+    """With so many knots that the trend is a line."""
+    return M.overdispersed_genes(V.expr_holes(spark, sf_dir), knots=20).select("gene_id", R("residual").alias("residual"))
+
+
 @query("restrict_corpus", V.with_views(f", {OD} select gene_id, spot_id, value from e semi join (select gene_id from o where residual > 0 order by residual desc, gene_id limit 6) using (gene_id)", **H))
 def restrict_corpus(spark, sf_dir):
     return M.restrict_corpus(V.expr_holes(spark, sf_dir), 1.01, 0.05, 6).select("gene_id", "spot_id", "value")

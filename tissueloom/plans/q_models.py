@@ -315,6 +315,24 @@ def scan_cells(spark, sf_dir):
     return imaging.split_large(imaging.scan_cells(t, imaging.otsu_threshold(t)), 1.0).drop("scan_x", "scan_y")
 
 
+OTSU = (
+    "h as (select cast(floor(v) as int) as bin, count(*) as n from u group by 1), b as (select bin, sum(n) over (order by bin) as w, sum(bin * n) over (order by bin) as m, sum(n) over () as wt, sum(bin * n) over () as mt from h), "
+    "o as (select bin as t from b where w < wt order by round((mt::double * w - m::double * wt) ** 2 / (w * (wt - w)::double), 6) desc, bin limit 1)"
+)
+
+
+@query(
+    "scan_regions",
+    f"with {TILES}, u as (select l_partkey, tile_id, unnest(p) as v, generate_subscripts(p, 1) - 1 as y from t join g using (p)), {OTSU}, "
+    "f as (select * from (select tile_id, v, y, min(v) over (partition by tile_id) as lo, max(v) over (partition by tile_id) as hi from u)), k as (select *, y - row_number() over (partition by tile_id order by y) as run from f, o where lo <> hi and v <= t) "
+    "select tile_id, row_number() over (partition by tile_id order by min(y)) as label, round(avg(y), 6) as y, count(*) as points, round(avg(v) / 255, 6) as weight from k group by tile_id, run",
+)
+def scan_regions(spark, sf_dir):
+    """The connected regions, before large ones are split."""
+    t = imaging.drop_blank(_tiles(spark, sf_dir))
+    return imaging.scan_cells(t, imaging.otsu_threshold(_tiles(spark, sf_dir))).select("tile_id", "label", R("y").alias("y"), "points", R("weight").alias("weight"))
+
+
 @query("tile_bounds", "with t as (select 9 as level, i % 3 as col, i // 3 as row from range(0, 9) r(i)), u as (select level, col, row, greatest(col * 128 - case when col > 0 then 2 else 0 end, 0) as l, greatest(row * 128 - case when row > 0 then 2 else 0 end, 0) as t, least((col + 1) * 128 + 2, ceil(700 / 2.0)) as r, least((row + 1) * 128 + 2, ceil(500 / 2.0)) as b from t) select cast(col as bigint) as col, cast(row as bigint) as row, cast(l as bigint) as \"left\", cast(t as bigint) as top, cast(r - l as bigint) as w, cast(b - t as bigint) as h from u")
 def tile_bounds(spark, sf_dir):
     t = spark.range(9).select(F.lit(9).alias("level"), (F.col("id") % 3).alias("col"), F.expr("id div 3 as row"))
@@ -327,6 +345,37 @@ def rgb_channels(spark, sf_dir):
     return imaging.channels(p).drop("rgb")
 
 
+STAINS = {"hematoxylin": (166, 183, 59), "eosin": (18, 253, 28), "dab": (69, 145, 199)}
+
+
+def _stain_sql():
+    """Least squares on each subset of the three stains, with the constants worked out; the best non-negative one counts."""
+    import numpy as np
+    from itertools import combinations
+
+    a = np.array(list(STAINS.values()), float).T / 255
+    rows = []
+    for n, chosen in enumerate(c for k in range(4) for c in combinations(range(3), k)):
+        part = np.zeros((3, 3))
+        if chosen:
+            part[list(chosen)] = np.linalg.pinv(a[:, chosen])
+        rows.append("(" + ", ".join([str(n), *(f"{float(v)!r}::double" for v in part.ravel())]) + ")")
+    names = ", ".join(f"c{i}{j}" for i in range(3) for j in range(3))
+    x = [f"c{i}0 * r + c{i}1 * g + c{i}2 * b" for i in range(3)]
+    left = " + ".join(f"({c} - ({' + '.join(f'{float(a[k, i])!r}::double * x{i}' for i in range(3))})) ** 2" for k, c in enumerate("rgb"))
+    return (
+        f"with p as (select p_partkey as id, ((((p_partkey * 7919) % 16777216) >> 16) / 255.0)::double as r, (((((p_partkey * 7919) % 16777216) >> 8) & 255) / 255.0)::double as g, ((((p_partkey * 7919) % 16777216) & 255) / 255.0)::double as b from part), "
+        f"w(n, {names}) as (values {', '.join(rows)}), s as (select id, n, r, g, b, {', '.join(f'{v} as x{i}' for i, v in enumerate(x))} from p, w), k as (select *, row_number() over (partition by id order by round({left}, 12), n) as best from s where x0 >= -1e-12 and x1 >= -1e-12 and x2 >= -1e-12) "
+        "select id, " + ", ".join(f"round(x{i}, 5) as {n}" for i, n in enumerate(STAINS)) + " from k where best = 1"
+    )
+
+
+@query("stain_unmix", _stain_sql())
+def stain_unmix(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))
+    return imaging.unmix(imaging.channels(p).drop("rgb"), STAINS).select("id", *(R(n, 5).alias(n) for n in STAINS))
+
+
 @query("ihc_unmix")
 def ihc_unmix(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 16777216).alias("rgb"))

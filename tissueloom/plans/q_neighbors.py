@@ -184,6 +184,43 @@ def manifold_graph(spark, sf_dir):
     return N.manifold_graph(V.vecs(spark, sf_dir).select("id", "vec"))
 
 
+@query("manifold_graph_pca")
+def manifold_graph_pca(spark, sf_dir):
+    return N.manifold_graph(V.vecs(spark, sf_dir).select("id", "vec"), layout="pca")
+
+
+STEPS = " union all ".join(
+    f"select {t} as step, id_x, id_y, round(distance, 5) as distance from (select *, row_number() over (partition by id_x order by distance, id_y) p, row_number() over (partition by id_y order by distance, id_x) q from d where x = {t} and y = {t + 1}) where p <= 5 and q <= 5"
+    for t in range(2)
+)
+
+
+@query("time_links", V.with_views(f", d as (select a.id as id_x, b.id as id_y, a.id % 3 as x, b.id % 3 as y, {L2} as distance from v a join v b on b.id % 3 = a.id % 3 + 1) {STEPS}", **VV))
+def time_links(spark, sf_dir):
+    v = V.vecs(spark, sf_dir)
+    return N.join_times([v.where(F.col("id") % 3 == t) for t in range(3)]).withColumn("distance", R("distance", 5))
+
+
+TWO = "w as (select *, id % 2 as side from v), x as (select a.id as id, b.id as o, a.side, {0} as s, row_number() over (partition by a.id order by {0}, b.id) as r from w a join w b on a.side = b.side and a.id <> b.id)".format(L2)
+
+
+@query("graph_union", V.with_views(f", {TWO} select 'side_' || side as class, id, o as neighbour, round(s, 5) as score from x where r <= 3", **VV))
+def graph_union(spark, sf_dir):
+    """The neighbour graphs of two slices, one below the other."""
+    from ..operators.cells import tag_union
+
+    v = V.vecs(spark, sf_dir)
+    graph = lambda t: N.knn(v.where(F.col("id") % 2 == t), k=3).select("id", "neighbour", R("score", 5).alias("score"))
+    return tag_union(side_0=graph(0), side_1=graph(1))
+
+
+@query("davies_bouldin", V.with_views(", u as (select id, label, unnest(vec) as x, generate_subscripts(vec, 1) as k from v), c as (select label, k, avg(x) as c from u group by all), o as (select u.id, u.label, sqrt(sum((x - c) ** 2)) as d from u join c using (label, k) group by all), s as (select label, avg(d) as s from o group by 1), g as (select a.label as a, b.label as b, sqrt(sum((a.c - b.c) ** 2)) as g from c a join c b on a.k = b.k and a.label <> b.label group by all), r as (select g.a, max((p.s + q.s) / g.g) as r from g join s p on p.label = g.a join s q on q.label = g.b group by 1) select round(avg(r), 6) as davies_bouldin from r", **VV))
+def davies_bouldin(spark, sf_dir):
+    from ..operators.mapper import separation
+
+    return separation(V.vecs(spark, sf_dir)).select(R("davies_bouldin").alias("davies_bouldin"))
+
+
 @query("mutual_links", V.with_views(f", x as (select * from v where id % 2 = 0), y as (select * from v where id % 2 = 1), d as (select a.id as id_x, b.id as id_y, {L2} as distance from x a join y b on true), r as (select *, row_number() over (partition by id_x order by distance, id_y) p, row_number() over (partition by id_y order by distance, id_x) q from d) select id_x, id_y, round(distance, 5) as distance from r where p <= 5 and q <= 5", **VV))
 def mutual_links(spark, sf_dir):
     v = V.vecs(spark, sf_dir)

@@ -138,3 +138,26 @@ for _m in ("ward", "medoids"):
     @query(f"st_clusters_{_m}")
     def _clusters(spark, sf_dir, method=_m):
         return S.st_clusters(V.expr(spark, sf_dir), V.spots(spark, sf_dir), 4, method=method)
+
+
+@query("full_analysis")
+def full_analysis(spark, sf_dir):
+    """Each gene's statistics and kriged mean, beside the clusters of spots, of the whole analysis."""
+    spots = V.spots(spark, sf_dir)
+    grid = spots.select(F.col("spot_id").alias("target_id"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.5).alias("y"))
+    out = S.full_analysis(V.expr(spark, sf_dir), spots, 4, grid)
+    surface = out["surfaces"].groupBy("gene_id").agg(F.avg("value").alias("surface_mean"))
+    return out["stats"].join(surface, "gene_id").join(out["clusters"].agg(F.countDistinct("cluster").alias("n_clusters")))
+
+
+LOG2 = "lib as (select spot_id, greatest(sum(value), 1) as t from raw group by 1), e as (select gene_id, spot_id, log2(value / t * 1e6 + 1) as value from raw join lib using (spot_id))"
+MEDIAN = f"md as (select d as median from (select {DIST} as d, row_number() over (order by {DIST}) - 1 as r, count(*) over () as n from s a join s b on a.spot_id < b.spot_id) where r = n // 2)"
+
+
+@query("full_statistics", V.with_views(f", {LOG2}, {MEDIAN}, {AUTO.replace('<= 1.5)', '<= (select median from md) + 1e-12)')} select gene_id, round(moran, 6) as moran, round(geary, 6) as geary from o", raw=V.EXPR, s=V.SPOTS))
+def full_statistics(spark, sf_dir):
+    from ..operators.matrix import log2_cpm
+
+    spots = V.spots(spark, sf_dir)
+    reach = S.median_distance(S.spot_pairs(spots)).first()["median"] + 1e-12
+    return S.spatial_statistics(log2_cpm(V.expr(spark, sf_dir)), spots, reach).select("gene_id", R("moran").alias("moran"), R("geary").alias("geary"))

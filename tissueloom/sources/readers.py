@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,6 +186,56 @@ def molecule_counts(molecules: DataFrame) -> DataFrame:
     return molecules.groupBy("barcode_idx", "feature_idx").agg(F.sum("count").alias("count"))
 
 
+def bson_documents(data: bytes) -> list[dict]:
+    """The documents of a BSON file: what write_cells_bson writes, and 32-bit integers and dates as numbers."""
+    out, at = [], 0
+    while at < len(data):
+        size = struct.unpack_from("<i", data, at)[0]
+        out.append(_bson_fields(data[at + 4 : at + size - 1]))
+        at += size
+    return out
+
+
+def _bson_fields(body: bytes) -> dict:
+    out, at = {}, 0
+    while at < len(body):
+        kind, stop = body[at], body.index(b"\0", at + 1)
+        name, at = body[at + 1 : stop].decode(), stop + 1
+        if kind in (1, 16, 18, 9):
+            code, width = {1: ("<d", 8), 16: ("<i", 4), 18: ("<q", 8), 9: ("<q", 8)}[kind]
+            out[name] = struct.unpack_from(code, body, at)[0]
+        elif kind == 2:
+            width = 4 + struct.unpack_from("<i", body, at)[0]
+            out[name] = body[at + 4 : at + width - 1].decode()
+        elif kind in (3, 4):
+            width = struct.unpack_from("<i", body, at)[0]
+            inner = _bson_fields(body[at + 4 : at + width - 1])
+            out[name] = list(inner.values()) if kind == 4 else inner
+        elif kind == 8:
+            width, out[name] = 1, bool(body[at])
+        elif kind == 10:
+            width, out[name] = 0, None
+        else:
+            raise ValueError(f"BSON type {kind}")
+        at += width
+    return out
+
+
+def read_cells_bson(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cells of BSON files (a path or glob) as rows of a schema; a file is read by one task, absent fields are null."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+
+    def run(frames):
+        for f in frames:
+            for content in f["content"]:
+                docs = bson_documents(bytes(content))
+                for k in range(0, len(docs), 10_000):
+                    yield pd.DataFrame([{n: d.get(n) for n in names} for d in docs[k : k + 10_000]], columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
 def as_vector(a) -> np.ndarray:
     """Any rank, row by row."""
     return np.asarray(a).reshape(-1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,6 +109,68 @@ def render_slide(points: DataFrame, channel: str | None = None, grid: float = 1.
     return L.raster_mean(chosen, grid, "intensity")
 
 
+def bson_document(row: dict) -> bytes:
+    """One BSON document: numbers, strings, booleans, nulls, lists and maps."""
+    body = b"".join(_bson_element(str(k), v) for k, v in row.items())
+    return struct.pack("<i", len(body) + 5) + body + b"\0"
+
+
+def _bson_element(name: str, v) -> bytes:
+    head = name.encode() + b"\0"
+    if v is None:
+        return b"\x0a" + head
+    if isinstance(v, bool):
+        return b"\x08" + head + bytes([v])
+    if isinstance(v, int):
+        return b"\x12" + head + struct.pack("<q", v)
+    if isinstance(v, float):
+        return b"\x01" + head + struct.pack("<d", v)
+    if isinstance(v, dict):
+        return b"\x03" + head + bson_document(v)
+    if isinstance(v, (list, tuple)):
+        return b"\x04" + head + bson_document(dict(enumerate(v)))
+    text = str(v).encode()
+    return b"\x02" + head + struct.pack("<i", len(text) + 1) + text + b"\0"
+
+
+def write_cells_bson(cells: DataFrame, folder: str) -> DataFrame:
+    """Cells as files of BSON documents, one file a partition: (path, documents) of what was written.
+
+    A file is written under its attempt's name and then renamed by its partition, so a repeated
+    attempt leaves the same files. ``folder`` is one that all executors share.
+    """
+    columns = cells.columns
+
+    def run(frames):
+        import pandas as pd
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        task, n = TaskContext.get(), 0
+        store.create_dir(base, recursive=True)
+        part, path = f"{base}/.part-{task.partitionId()}-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():05d}.bson"
+        with store.open_output_stream(part) as f:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    f.write(bson_document({c: _plain(row[c]) for c in columns}))
+                    n += 1
+        store.move(part, path)
+        yield pd.DataFrame({"path": [path], "documents": [n]})
+
+    return cells.mapInPandas(run, "path string, documents long")
+
+
+def _plain(v):
+    if isinstance(v, np.ndarray):
+        return [_plain(x) for x in v.tolist()]
+    if isinstance(v, np.generic):
+        v = v.item()
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()}
+    return None if isinstance(v, float) and v != v else v
+
+
 def save_model(model, path: str) -> None:
     """A network's weights as an npz file (a driver-side path)."""
     np.savez(path, **model.arrays())
