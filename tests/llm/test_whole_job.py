@@ -47,6 +47,17 @@ def test_hard_wrapped_passages_are_removed(spark):
     assert all(r["kept_chars"] + r["removed_chars"] == n["n_chars"] for r, n in ((got[x["doc_id"]], x) for x in docs.collect()))
 
 
+def test_quality_keeps_rows_by_text_whatever_their_ids(spark):
+    from tissueloom.llm.quality import judge_quality, keep_good
+
+    good = "The committee met on Tuesday to discuss the harbour wall and nobody could agree on who should pay for it."
+    rows = [(1, good, "en"), (1, good, "en"), (None, good, None), (2, "too short", "en"), (2, good + " Twice.", ""), (None, None, "en"), (3, "again and " * 40, "en")]
+    docs = spark.createDataFrame([(i, t, lang, f"row{k}") for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, _digest string").repartition(3)
+    kept = keep_good(docs)
+    assert kept.schema == docs.schema and sorted(r["_digest"] for r in kept.collect()) == ["row0", "row1", "row2", "row4"]
+    assert judge_quality(docs).where("kept").count() == 4
+
+
 def test_passages_inside_lines_are_removed(spark):
     from tissueloom.llm.lines import remove_repeats
 

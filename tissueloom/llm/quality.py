@@ -15,11 +15,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, field, map_rows, map_whole, staged, texts, with_column
+from .common import field, map_rows, staged, texts
 
 # --- fixed values: the contract ---------------------------------------------------------------
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -280,24 +279,38 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str] | None = N
 
 
 def keep_good(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None, bands=BANDS) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns; cases as in judge_quality."""
+    """The rows of ``docs`` whose text is kept, with all their columns; cases as in judge_quality.
+
+    A verdict follows from text and language alone, so that rows are matched to verdicts by a
+    128-bit digest of both, whatever their doc_ids. Only measures and digests are stored; the rows
+    meet the rejected digests in a second scan, which are broadcast where they are few.
+    """
     vocabularies = vocabularies or default_vocabularies()
     names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
     needed = ["base_failed", "kept", "script", "n_tokens", *(name for name, _, _ in FITTED)]
     kinds = dict(x.split() for x in SCHEMA.split(", "))
+    lang = ["lang"] if "lang" in docs.columns else []
 
     def make():
         judge = Judge(vocabularies, bands)
 
         def f(b):
             rows = [judge(t) for t in texts(b)]
-            made = pa.array([{x: r[names.index(x)] for x in needed} for r in rows], pa.struct(list(arrow_schema(", ".join(f"{x} {kinds[x]}" for x in needed)))))
-            return with_column(b, "_judged", made)
+            return {x: b.column(x) for x in [name, *lang]} | {x: [r[names.index(x)] for r in rows] for x in needed}
 
         return f
 
-    # the rows are stored with their measures: repeated and null doc_ids could not be joined to them
-    held = map_whole(docs.withColumn("_judged", F.lit(None).cast("struct<" + ",".join(f"{x}:{kinds[x]}" for x in needed) + ">")), make)
-    rows = staged(held, "quality-rows")
-    measured = rows.select("_judged.*", *(["lang"] if "lang" in docs.columns else []), F.struct(*(F.col(field(c)) for c in docs.columns)).alias("_row"))
-    return with_verdict(measured).where("kept").select("_row.*")
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    marked = docs.withColumn(name, digest(docs))
+    schema = ", ".join([f"{name} string", *(f"{x} {kinds[x]}" for x in needed), *("lang string" for _ in lang)])
+    measured = staged(map_rows(marked, make, schema, [name, "text", *lang]), "quality-measures")
+    rejected = staged(with_verdict(measured).where("not kept").select(name).distinct(), "quality-rejected")
+    return marked.join(rejected, name, "left_anti").select(*(F.col(field(c)) for c in docs.columns))
+
+
+def digest(docs: DataFrame) -> Column:
+    """128 bits of a row's text and, where there is one, language; a null text counts as empty."""
+    lang = F.coalesce(F.hex(F.col("lang").cast("string")), F.lit("-")) if "lang" in docs.columns else F.lit("-")
+    return F.md5(F.concat(lang, F.lit(":"), F.coalesce("text", F.lit(""))))
