@@ -537,7 +537,8 @@ def brute_url(url):
     fit = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fit:
         return host, path, max(fit)[1], max(fit)[2]
-    glob = lambda g: re.fullmatch("".join({"*": "[\\s\\S]*", "~": "[^/]*"}.get(c, re.escape(c)) for c in g), f".{host}{path}")
+    glob = lambda g: re.fullmatch("".join({"*": "[\\s\\S]*", "~": "[^/]*"}.get(c, re.escape(c)) for c in g), f".{plain}{path}")
+    plain = re.sub(r"\.+\Z", "", re.sub(r":[0-9]*\Z", "", re.sub(r"\A[\s\S]*@", "", host)))
     return host, path, None, "block" if any(map(glob, BLOCK_GLOBS)) else "allow"
 
 
@@ -545,14 +546,16 @@ def test_urls(spark):
     from tissueloom.llm.urls import filter_urls
 
     rng = np.random.default_rng(10)
-    pool = ["http", "://", "example.org", "org", "com", ".", "/", "/es/", "/en/1", "/fr/", "/de/", "?", "#", "adult-", "WWW.", "ads", "é", "notorg", "casino", " ", "*", "~"]
-    urls = [None, "", "x", "http://", "http://org", "http://a.ORG/x", "http://example.org/es/y", "http://x.com/fr/example.org/es/"] + ["http://" * int(rng.random() < 0.7) + "".join(rng.choice(pool, 9)) for _ in range(500)]
+    pool = ["http", "://", "example.org", "org", "com", ".", "/", "/es/", "/en/1", "/fr/", "/de/", "?", "#", "adult-", "WWW.", "ads", "é", "notorg", "casino", " ", "*", "~", "me@", ":80", ":x"]
+    urls = [None, "http://user:pw@b.casino.:8080/x", "http://a.porn:80/ads/", "http://a.com:/", "http://b.com/" + "ads" * 300_000, "http://" + "b" * 400_000 + ".doubleclick.x/y", "", "x", "http://", "http://org", "http://a.ORG/x", "http://example.org/es/y", "http://x.com/fr/example.org/es/"] + ["http://" * int(rng.random() < 0.7) + "".join(rng.choice(pool, 9)) for _ in range(500)]
     frame = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, html string, host string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(frame).collect()}
     assert got == {k: brute_url(u) for k, u in enumerate(urls)}
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages).collect()} == {r["page_id"]: brute_url(r["url"]) for r in pages.collect()}
     assert filter_urls(frame.where("false")).count() == 0
+    same = spark.createDataFrame([(1, "http://org/x"), (1, "http://org/x"), (None, "http://x.com/de/1"), (None, None)], "page_id long, url string")
+    assert rows_of(filter_urls(same), "page_id", "verdict") == sorted([(1, "allow"), (1, "allow"), (None, "block"), (None, "allow")], key=repr)
 
 
 # ---- 10 licences -----------------------------------------------------------------------------------------------------

@@ -90,7 +90,8 @@ def url_sql() -> str:
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in longest)
     verdict = " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in longest)
     glob = lambda g: "".join({"*": ".*", "~": "[^/]*"}.get(c, re.escape(c)) for c in g)
-    blocked = " or ".join(f"regexp_full_match('.' || host || path, '{glob(g)}', 's')" for g in BLOCK_GLOBS)
+    plain = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.+$', '')"
+    blocked = " or ".join(f"regexp_full_match('.' || {plain} || path, '{glob(g)}', 's')" for g in BLOCK_GLOBS)
     return (
         "with a as (select page_id, case when contains(url, '://') then regexp_extract(substr(url, position('://' in url) + 3), '^[^?#]*') else '' end as rest from pages), "
         f"b as (select page_id, regexp_extract(rest, '^[^/]*') as raw, rest from a), c as (select page_id, translate(raw, '{UPPER}', '{LOWER}') as host, substr(rest, length(raw) + 1) as path from b) "

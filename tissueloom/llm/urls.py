@@ -24,10 +24,13 @@ RULES = [
 ]
 # --- fixed values: the method's own globs, for urls that no rule fits (all of them block) ----
 #: ``~`` is any run of characters of the host, ``*`` any run of any characters; a canonical URL
-#: is ``.`` + host + path.
+#: is ``.`` + host + path, for these globs without user, port and dots at the host's end.
 BLOCK_GLOBS = ["~adult-~/*", "~.porn~/*", "~casino~/*", "~cheap-pills~/*", "~.doubleclick.~/*", "~/ads/*", "~/*/ads/*"]
 # ---------------------------------------------------------------------------------------------
 
+#: So few texts left, lockstep does not pay.
+FEW = 4
+
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
 
@@ -47,6 +50,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def plain_host(host: str) -> str:
+    """The host without user, port and final dots."""
+    host = host.rpartition("@")[2]
+    name, colon, port = host.rpartition(":")
+    return (name if colon and (not port or port.isascii() and port.isdigit()) else host).rstrip(".")
+
+
 @dataclass
 class Automaton:
     """Multiword Shift-And masks of several globs.
@@ -101,6 +111,16 @@ class Automaton:
         flat = np.fromiter((get(ch, 1) for t in texts for ch in t), np.int16, int(lens.sum()))
         return flat, lens
 
+    def _finish(self, state: np.ndarray, row: int, codes: list[int]) -> None:
+        """Moves one text's state over the rest of its codes, with all its words as one integer."""
+        whole = lambda words: int.from_bytes(np.ascontiguousarray(words).tobytes(), "little")
+        enter, loop = ([whole(x) for x in table] for table in (self.enter, self.loop))
+        d, size = whole(state[row]), 8 * self.words
+        mask = (1 << (8 * size)) - 1
+        for c in codes:
+            d = ((d << 1) & enter[c] | d & loop[c]) & mask
+        state[row] = np.frombuffer(d.to_bytes(size, "little"), np.uint64)
+
     def matches(self, texts: list[str]) -> np.ndarray:
         """Boolean matrix: text x glob."""
         flat, lens = self.codes(texts)
@@ -111,6 +131,10 @@ class Automaton:
         sorted_lens = lens[order]
         for step in range(int(lens.max(initial=0))):
             live = int(np.searchsorted(-sorted_lens, -step, side="left"))  # lens > step
+            if live <= FEW:  # the few longest texts go on one by one
+                for r in order[:live].tolist():
+                    self._finish(state, r, flat[starts[r] + step : starts[r] + lens[r]].tolist())
+                break
             rows = order[:live]
             c = flat[starts[rows] + step]
             d = state[rows]
@@ -141,6 +165,10 @@ class UrlFilter:
     def judge(self, urls: list[str | None]) -> list[tuple[str, str, str | None, str]]:
         parts = [split_url(u) for u in urls]
         fits = self.machine.matches([f".{h}{p}" for h, p in parts]) if parts else []
+        other = [k for k, (h, _) in enumerate(parts) if plain_host(h) != h]
+        if other:  # rules see the host as it is, globs the plain one
+            again = self.machine.matches([f".{plain_host(parts[k][0])}{parts[k][1]}" for k in other])
+            fits[other, len(self.rules) :] = again[:, len(self.rules) :]
         out = []
         for (host, path), row in zip(parts, fits, strict=True):
             own = [self.rules[k] for k in np.flatnonzero(row[: len(self.rules)])]
