@@ -75,4 +75,4 @@ def factor_colors(df: DataFrame, column: str, least: int = 1, palette: list[str]
     values = [r[column] for r in sizes.select(column).orderBy(column).collect()]
     colours = palette or rainbow(len(values))
     table = df.sparkSession.createDataFrame(list(zip(values, colours, strict=False)), f"`{column}` {dict(df.dtypes)[column]}, color string")
-    return df.join(F.broadcast(table), column, "left").withColumn("color", F.coalesce("color", F.lit(other)))
+    return df.join(table, column, "left").withColumn("color", F.coalesce("color", F.lit(other)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.staging import stored
+
 
 def cell_guid(tile: str = "tile", px: str = "px", py: str = "py") -> Column:
     """md5 of ``tile-px-py``, coordinates rounded half to even."""
@@ -125,11 +127,11 @@ def match_candidates(a: DataFrame, b: DataFrame, max_distance: float, k: int = 1
     return scored.withColumn("morphology", morphology()).withColumn("score", score).select("id_a", "id_b", "distance", "morphology", "score")
 
 
-def greedy_matches(candidates: DataFrame, least: float = 0.3, stage=lambda df: df) -> DataFrame:
+def greedy_matches(candidates: DataFrame, least: float = 0.3, stage=stored) -> DataFrame:
     """One-to-one matches by falling score (ties: smallest ids), in rounds of mutual bests.
 
     A pair that is best for both its cells is what the greedy scan would take next; each round
-    takes all such pairs and drops their cells. ``stage`` cuts the lineage between rounds.
+    takes all such pairs and drops their cells. ``stage`` cuts the lineage between rounds (by default, by storing).
     """
     left, out = stage(candidates.where(F.col("score") > least)), None
     best = lambda key, other: F.max_by(other, F.struct("score", -F.col("id_a"), -F.col("id_b"))).alias(other)

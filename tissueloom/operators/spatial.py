@@ -49,7 +49,7 @@ def autocorrelation(m: DataFrame, weights: DataFrame) -> DataFrame:
     constant gene has I = 0 and C = 1, both with p = 1.
     """
     stats = m.groupBy("gene_id").agg(F.avg("value").alias("mu"), F.count("*").alias("n"), F.var_pop("value").alias("_v"))
-    dev = m.join(F.broadcast(stats.select("gene_id", "mu")), "gene_id").withColumn("d", F.col("value") - F.col("mu"))
+    dev = m.join(stats.select("gene_id", "mu"), "gene_id").withColumn("d", F.col("value") - F.col("mu"))
     moments = dev.groupBy("gene_id").agg(F.sum(F.col("d") ** 2).alias("m2"), F.sum(F.col("d") ** 4).alias("m4"))
     a = weights.join(dev.select("gene_id", F.col("spot_id").alias("i"), F.col("d").alias("_di")), "i")
     both = a.join(dev.select("gene_id", F.col("spot_id").alias("j"), F.col("d").alias("_dj")), ["gene_id", "j"])
@@ -74,7 +74,7 @@ def getis_ord(m: DataFrame, weights: DataFrame) -> DataFrame:
     sums = w.groupBy("i").agg(F.sum("w").alias("_w"), F.sum(F.col("w") ** 2).alias("_w2"))
     stats = m.groupBy("gene_id").agg(F.avg("value").alias("_mu"), F.stddev_pop("value").alias("_sd"), F.count("*").alias("_n"))
     local = w.join(m.select("gene_id", F.col("spot_id").alias("j"), "value"), "j").groupBy("gene_id", "i").agg(F.sum(F.col("w") * F.col("value")).alias("_s"))
-    t = local.join(sums, "i").join(F.broadcast(stats), "gene_id")
+    t = local.join(sums, "i").join(stats, "gene_id")
     spread = F.col("_sd") * F.sqrt((F.col("_n") * F.col("_w2") - F.col("_w") ** 2) / (F.col("_n") - 1))
     return t.select("gene_id", F.col("i").alias("spot_id"), F.coalesce(F.try_divide(F.col("_s") - F.col("_mu") * F.col("_w"), spread), F.lit(0.0)).alias("gi"))
 

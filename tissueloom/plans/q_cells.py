@@ -7,7 +7,6 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import cells as C
-from ..sources.staging import stored
 from . import views as V
 from .catalog import query
 
@@ -100,7 +99,7 @@ def match_candidates(spark, sf_dir):
 
 def _matches(spark, sf_dir):
     a, b = _slices(spark, sf_dir)
-    return C.greedy_matches(C.match_candidates(a, b, 3.0).withColumn("score", R("score", 9)), stage=stored)
+    return C.greedy_matches(C.match_candidates(a, b, 3.0).withColumn("score", R("score", 9)))
 
 
 GREEDY = (

@@ -9,24 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a folder set here where it is unset."""
+    """``spark.checkpoint.dir`` of the session, or, in local mode only, a folder set here where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tissueloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def steps_folder(spark: SparkSession) -> str:
+    """The folder of this application's stored steps."""
+    return f"{shared_folder(spark)}/tissueloom/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back."""
-    path = f"{shared_folder(df.sparkSession)}/tissueloom/{name}-{uuid.uuid4().hex}"
+    path = f"{steps_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all stored steps of this application: for when its results have been written or read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads it from."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
