@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows
 to the shared folder and gives what it reads back to the next. All but the last return the
 columns of ``documents``.
+
+Cases: null, empty and wordless texts fail the quality rules, so the later stages see them only
+when called by themselves, and then keep them (near_copies, decontaminate), leave them as they are
+(personal_data), or give them no ids (token_ids). Rows with a null doc_id go through every stage;
+they are nobody's copy. Rows that share a doc_id share its fate among near copies. Of linked
+documents the smallest doc_id stays, so there are no ties. An empty table stays empty. Columns
+other than doc_id, text, lang and n_chars pass unread.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from tissueloom.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; rows of one text and language share one verdict."""
     return keep_good(docs)
 
 
@@ -31,12 +38,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; one that holds an item goes as a whole."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; ``n_chars`` follows the text."""
     return redacted(docs)
 
 
