@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -45,20 +46,29 @@ def rows_of(df, *cols):
 
 # ---- 1 decontamination ------------------------------------------------------------------------------
 def brute_leaks(docs, items):
-    from tissueloom.llm import decontaminate as D
+    """Items of whose five-word shingles a text holds 80 %, and of whose question and answer words half."""
+
+    def words_in(text):
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
     out = set()
     for doc_id, text in docs:
-        words = D.words_of(text or "")
+        words = words_in(text or "")
         for item_id, item in items:
-            need, question = D.split_item(item or "")
+            item = (item or "").rstrip()
+            need = words_in(item)
             if not need:
                 continue
-            sh = lambda w: {tuple(w)} if len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-            wanted = sh(need)
             k = min(5, len(need))
-            have = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)}
-            if len(wanted & have) >= 0.8 * len(wanted):
+            wanted = {tuple(need[j : j + k]) for j in range(len(need) - k + 1)}
+            have = {tuple(words[j : j + k]): j for j in range(len(words) - k + 1)}
+            if len(wanted & set(have)) < 0.8 * len(wanted):
+                continue
+            cut = [m.end() for m in re.finditer(r"(?<=[.!?])\s+(?=\S)|\n+(?=\S)", item)]
+            question = words_in(item[: cut[-1]]) if cut else need
+            answer = need[len(question) :]
+            near = set(words)
+            if all(sum(w in near for w in part) >= 0.5 * len(part) for part in (question, answer)):
                 out.add((doc_id, item_id))
     return out
 
@@ -579,6 +589,57 @@ def test_licenses(spark, real, odd, empty):
 
 
 # ---- the pipeline -----------------------------------------------------------------------------------------------------
+def brute_quality(rows):
+    """Texts within their script's bands, and within three robust deviations of the median of their language and length."""
+    from tissueloom.llm.quality import Judge, default_vocabularies
+
+    judge = Judge(default_vocabularies())
+    seen = [(i, t, lang, judge(t or "")) for i, t, lang in rows]
+    groups = defaultdict(list)
+    for _, _, lang, j in seen:
+        if not j[5]:
+            groups[lang if lang is not None else j[7], min(13, int(math.log2(max(1, j[8]))))].append(j[9:12])
+
+    def inside(j, lang):
+        group = groups.get((lang if lang is not None else j[7], min(13, int(math.log2(max(1, j[8]))))), [])
+        if len(group) < 50:
+            return True
+        for k, (low, high) in enumerate(((True, True), (False, True), (True, False))):
+            v = np.array([int(math.floor(abs(g[k]) * 200 + 0.5)) for g in group])
+            q1, q2, q3 = (np.quantile(v, q, method="inverted_cdf") / 200 for q in (0.25, 0.5, 0.75))
+            reach = 3 * max((q3 - q1) / 1.349, 0.01)
+            if low and j[9 + k] < q2 - reach or high and j[9 + k] > q2 + reach:
+                return False
+        return True
+
+    return {i: t for i, t, lang, j in seen if j[6] and inside(j, lang)}
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    from tissueloom.llm.quality import keep_good
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_quality([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()])
+    assert sorted(r["doc_id"] for r in keep_good(docs).collect()) == sorted(want) and len(want) < docs.count()
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, empty):
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.schema == odd.schema and stage(spark, empty, SF).count() == 0, name
+        got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        if name == "quality":
+            assert all(t and len(t.split()) >= 10 for _, t in got)
+        elif name != "personal_data":
+            assert got == Counter(ODD)
+        else:
+            assert sum(got.values()) == len(ODD) and got[1, None] == 1 and got[2, ""] == 1
+    ids = {(r["doc_id"], r["n_tokens"]) for r in P.STAGES[-1][1](spark, odd, SF).collect()}
+    assert {(1, 0), (2, 0), (None, 0)} <= ids and P.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_pipeline_against_its_parts(spark, real):
     import corpus_pipeline as P
 
@@ -589,11 +650,8 @@ def test_pipeline_against_its_parts(spark, real):
         assert docs.schema == real.schema, k
     got = {r["doc_id"]: r["decoded_sha256"] for r in P.run(spark, SF).collect()}
 
-    from tissueloom.llm.quality import Judge, default_vocabularies
-
-    judge = Judge(default_vocabularies())
-    kept = {i: t for i, t in rows.items() if judge(t)[6]}
-    kept = {i: kept[i] for i, _, c in brute_components(sorted(kept.items())) if i == c}
+    kept = brute_quality([(r["doc_id"], r["text"], r["lang"]) for r in real.collect()])
+    kept = {i: kept[i] for i, _, c in brute_components(sorted(kept.items()), 5, 80) if i == c}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     leaks = {i for i, _ in brute_leaks(kept.items(), bench)}
     from tissueloom.llm.pii import Field, fitted_weights, joined, redact
