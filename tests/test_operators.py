@@ -444,3 +444,33 @@ def test_numbers_of_a_global_order(spark):
         want[rows[k - 1][1]] = low
     assert all(math.isclose(r["fdr"], want[r["id"]]) for r in S.benjamini_hochberg(p, "p").collect())
     assert S.benjamini_hochberg(p.where("false"), "p").count() == 0
+
+
+def test_tenx_files_in_chunks(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n = 1000
+    cols = {k: rng.integers(0, 9, n) for k in ("barcode_idx", "feature_idx", "count")}
+    with open(tmp_path / "mol.h5", "wb") as f:
+        np.savez(f, **cols)
+    spark.dataSource.register(readers.TenxSource)
+    assert readers.tenx_kind(str(tmp_path / "mol.h5")) == "molecules"
+    rows = spark.read.format("tenx_h5").option("chunk", 128).load(str(tmp_path / "mol.h5"))
+    assert rows.rdd.getNumPartitions() == 8
+    want = {}
+    for b, g, c in zip(*(cols[k].tolist() for k in ("barcode_idx", "feature_idx", "count")), strict=True):
+        want[b, g] = want.get((b, g), 0) + c
+    assert {(r["barcode_idx"], r["feature_idx"]): r["count"] for r in readers.molecule_counts(rows).collect()} == want
+    slices = {f"feature_slices/{k}/{c}": rng.integers(0, 5, 3) for k in ("10", "2", "1") for c in ("row", "col", "data")}
+    with open(tmp_path / "slices.h5", "wb") as f:
+        np.savez(f, **slices)
+    assert readers.tenx_kind(str(tmp_path / "slices.h5")) == "slices"
+    got = spark.read.format("tenx_h5").option("kind", "slices").load(str(tmp_path / "slices.h5")).collect()
+    assert list(dict.fromkeys(r["slice"] for r in got)) == ["1", "10", "2"] and len(got) == 9  # names in string order
+    with open(tmp_path / "bad.h5", "wb") as f:
+        np.savez(f, **cols | {"count": np.zeros(3, int)})
+    with pytest.raises(Exception, match="differ in length"):
+        spark.read.format("tenx_h5").load(str(tmp_path / "bad.h5")).collect()
+    with open(tmp_path / "other.h5", "wb") as f:
+        np.savez(f, x=np.zeros(3))
+    with pytest.raises(ValueError):
+        readers.tenx_kind(str(tmp_path / "other.h5"))
