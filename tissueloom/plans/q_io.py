@@ -84,7 +84,9 @@ def mtx_folder(spark, sf_dir):
     one(spots.orderBy("idx").select(F.concat(F.lit("s"), F.col("id"))), "barcodes.tsv")
     body = e.join(genes.select(F.col("id").alias("gene_id"), F.col("idx").alias("i")), "gene_id").join(spots.select(F.col("id").alias("spot_id"), F.col("idx").alias("j")), "spot_id")
     lines = body.select(F.lit(2).alias("k"), F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("value").cast("string")).alias("l"))
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, "25 100 2500")], "k int, l string")
+    sizes = genes.agg(F.count("*").alias("g")).join(spots.agg(F.count("*").alias("s"))).join(body.agg(F.count("*").alias("n")))
+    title = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general")], "k int, l string")
+    head = title.unionByName(sizes.select(F.lit(1).alias("k"), F.concat_ws(" ", *(F.col(c).cast("string") for c in ("g", "s", "n"))).alias("l")))
     one(head.unionByName(lines).repartition(1).sortWithinPartitions("k").select("l"), "matrix.mtx")
     return readers.read_mtx(spark, path).select("gene_id", "spot_id", "value")
 
@@ -147,9 +149,11 @@ def dzi_image(spark, sf_dir):
     return readers.read_dzi(spark, path)
 
 
-@query("max_dzi_level", "select 13 as max_level")
+@query("max_dzi_level", "select cast(max(s_nationkey) as int) as max_level from supplier")
 def max_dzi_level(spark, sf_dir):
-    return readers.max_level(spark.range(14).select(F.format_string("/pack/slide_files/%d/0_0.jpg", "id").alias("path")))
+    """Suppliers as tiles, their nations as levels."""
+    s = V.table(spark, sf_dir, "supplier")
+    return readers.max_level(s.select(F.format_string("/pack/slide_files/%d/%d_0.jpg", "s_nationkey", "s_suppkey").alias("path")))
 
 
 @query("tile_files", "select l_suppkey::varchar as tile_id, count(*) as pixels from lineitem group by 1")
