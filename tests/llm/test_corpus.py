@@ -659,3 +659,43 @@ def test_pipeline_against_its_parts(spark, real):
     field = Field(fitted_weights(400, 7, 40, 24), 24, 1.0)
     want = {i: hashlib.sha256(redact(t, joined(field.spans(t)[1])).encode()).hexdigest() for i, t in kept.items() if i not in leaks}
     assert got == want and len(leaks) > 0 and len(want) < len(rows)
+
+
+def test_first_stars_keep_every_bucket_connected():
+    from tissueloom.llm.jaccard import first_stars
+
+    rng = np.random.default_rng(31)
+    for _ in range(30):
+        sig, owner = rng.integers(0, 12, 80), rng.integers(0, 15, 80)
+        top_sig, top_node, (of, hub, node) = first_stars(sig, owner)
+        assert len(set(top_sig.tolist())) == len(top_sig) == len(set(sig.tolist()))
+        stands = dict(zip(top_sig.tolist(), top_node.tolist()))
+        assert all(stands[s] == h for s, h in zip(of.tolist(), hub.tolist()))
+        got = Counter(zip(top_sig.tolist(), top_node.tolist())) + Counter(zip(of.tolist(), node.tolist()))
+        assert got == Counter(set(zip(sig.tolist(), owner.tolist())))
+    assert [len(x) for x in first_stars(np.zeros(0, np.int64), np.zeros(0, np.int64))[:2]] == [0, 0]
+
+
+def test_buckets_in_parts_lose_no_link(spark, monkeypatch):
+    """A bucket of many outsiders, dealt into parts of a few rows."""
+    from tissueloom.llm import jaccard as J
+
+    rng = np.random.default_rng(17)
+    nodes = [(k, int(rng.integers(90, 110)), int(rng.integers(0, 12))) for k in range(60)]  # node, size, cluster
+    sets = {}
+    for k, n, c in nodes:
+        base = np.random.default_rng(c).integers(0, 1 << 63, 100).astype(np.uint64)
+        sets[k] = np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 63, max(0, n - 100)).astype(np.uint64)]))
+    sketches = spark.createDataFrame([(k, len(s), bytearray(J.sketch_of(s))) for k, s in sets.items()], "node long, n int, sketch binary")
+    stars = spark.createDataFrame([(7, 0, k, k % 3 == 0) for k in range(1, 60)], "sig long, hub long, node long, far boolean")
+    linked = {(a, b) for a in sets for b in sets if a < b and J.linked(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b])))}
+    direct = [(0, k, 0) for k in range(60) if (0, k) in linked and k % 3]
+    labels = spark.createDataFrame([(0, 0)] + [(k, 0) for _, k, _ in direct], "node long, label long")
+    near = {b for _, b, _ in direct} | {0}
+    for part in (4096, 7):
+        got = {(r["hub"], r["node"]) for r in J.rest_pairs(stars, labels, sketches, 85, False, part).collect()}
+        # every link with an outsider at one end at least, but for those with the hub that were tried before
+        want = {(a, b) for a, b in linked if not (a in near and b in near) and (a != 0 or b % 3 == 0)}
+        assert want <= got
+    forest = J.rest_pairs(stars, labels, sketches, 85, True, 4096).count()
+    assert forest < len(got)

@@ -52,6 +52,9 @@ SKETCH, SKETCH_LEAST, SKETCH_MOST = 2, 8, 16
 SHARED = ((64, 24.0, 1 / 4), (256, 9.5, 1 / 9), (math.inf, 6.7, 1 / 80))
 VERIFY = 1.0
 
+#: Parts of a hub's pairs, and the rows of a part of a bucket: larger buckets are cut into parts.
+SPLIT, PART = 32, 4096
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -254,13 +257,37 @@ def signatures(tokens: list[np.ndarray], nodes: np.ndarray, percent: int = PERCE
 
 
 # ---- the join's steps ------------------------------------------------------------------------------
-ROWS = "sig long, node long, doc_id long, n long, check long, sketch binary"
+ROWS = "sig long, node long, doc_id long, n long, check long, of long, hub long, sketch binary"
+
+
+def first_stars(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Signature rows of one batch, combined: (sig, node) rows that go on, and stars (sig, hub, node) of the others.
+
+    Of several nodes with one signature only the hub goes on, the node with most such signatures
+    (ties: the smallest): a signature that a third of all sets have reaches its task with a row a batch.
+    """
+    order = np.lexsort((owner, sig))
+    sig, owner = sig[order], owner[order]
+    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])] if len(sig) else np.zeros(0, bool)
+    sig, owner = sig[fresh], owner[fresh]
+    if not len(sig):
+        return sig, owner, (sig, owner, owner)
+    group = np.cumsum(np.r_[True, sig[1:] != sig[:-1]]) - 1
+    several = np.bincount(group)[group] > 1
+    _, at = np.unique(owner, return_inverse=True)
+    degree = np.bincount(at, several)[at]
+    order = np.lexsort((owner, -degree, sig))
+    sig, owner = sig[order], owner[order]
+    top = np.r_[True, sig[1:] != sig[:-1]]
+    hub = owner[np.flatnonzero(top)[group]]
+    return sig[top], owner[top], (sig[~top], hub[~top], owner[~top])
 
 
 def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
-    """Two kinds of rows: (sig, node) of the indexed segments of all sets with a doc_id, and (sig, node, doc_id, n, check, sketch) of each document.
+    """Three kinds of rows: (sig, node) of the indexed segments of all sets with a doc_id, stars (of, hub, node)
+    of those that a batch has combined already, and (node, doc_id, n, check, sketch) of each document.
 
-    A document's row has n, and a sig that only spreads it; its node is null without shingles.
+    The sig of the latter two only spreads them. A document's row has n; its node is null without shingles.
     """
 
     def make():
@@ -285,16 +312,20 @@ def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int
                     if sum(map(len, held)) > 200_000:  # some sets at a time, so that a worker stays small
                         flush()
             flush()
-            sig, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
-            spread = mix(np.arange(len(sizes), dtype=np.uint64) + np.uint64(int(sig[0]) & (1 << 62) - 1 if len(sig) else 1)).view(np.int64)
-            none = pa.nulls(len(sig), pa.int64())
+            sig, owner, (of, hub, node) = first_stars(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            others = len(of) + len(sizes)
+            spread = mix(np.arange(others, dtype=np.uint64) + np.uint64(int(sig[0]) & (1 << 62) - 1 if len(sig) else 1)).view(np.int64)
+            none, some = pa.nulls(len(sig) + len(of), pa.int64()), pa.nulls(len(sizes), pa.int64())
+            left = pa.nulls(len(sig), pa.int64())
             return {
                 "sig": np.concatenate([sig, spread]),
-                "node": pa.concat_arrays([pa.array(owner, pa.int64()), pa.array(nodes, pa.int64())]),
+                "node": pa.concat_arrays([pa.array(owner, pa.int64()), pa.array(node, pa.int64()), pa.array(nodes, pa.int64())]),
                 "doc_id": pa.concat_arrays([none, doc_ids.cast(pa.int64())]),
                 "n": pa.concat_arrays([none, pa.array(sizes, pa.int64())]),
                 "check": pa.concat_arrays([none, pa.array(checks, pa.int64())]),
-                "sketch": pa.concat_arrays([pa.nulls(len(sig), pa.binary()), pa.array(sketches, pa.binary())]),
+                "of": pa.concat_arrays([left, pa.array(of, pa.int64()), some]),
+                "hub": pa.concat_arrays([left, pa.array(hub, pa.int64()), some]),
+                "sketch": pa.concat_arrays([pa.nulls(len(none), pa.binary()), pa.array(sketches, pa.binary())]),
             }
 
         return f
@@ -303,17 +334,17 @@ def index(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int
 
 
 def _buckets(batches):
-    """Rows sorted by (sig, node): documents pass, of signatures the distinct nodes of buckets of two or more.
+    """Rows sorted by (sig, node): documents and stars pass, of signatures the distinct nodes of buckets of two or more.
 
     Nothing is held but the last row: whether a row's neighbour has its signature tells enough.
     """
     schema = arrow_schema(ROWS)
     tail = None  # the last distinct row so far, and whether it went out
     for b in batches:
-        is_doc = b.column("n").is_valid().to_numpy(zero_copy_only=False)
-        if is_doc.any():
-            yield pa.RecordBatch.from_arrays(b.filter(pa.array(is_doc)).columns, schema=schema)
-        rows = b.filter(pa.array(~is_doc))
+        other = (b.column("n").is_valid().to_numpy(zero_copy_only=False)) | (b.column("hub").is_valid().to_numpy(zero_copy_only=False))
+        if other.any():
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(other)).columns, schema=schema)
+        rows = b.filter(pa.array(~other))
         sig, node = rows.column("sig").to_numpy(), rows.column("node").to_numpy()
         if not len(sig):
             continue
@@ -408,7 +439,7 @@ def bounded(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> Da
 
         return f
 
-    return map_rows(met, make, "hub long, node long", ["hub", "node", "n_a", "n_b", "s_a", "s_b"]).repartition("hub")
+    return map_rows(met, make, "hub long, node long", ["hub", "node", "n_a", "n_b", "s_a", "s_b"]).repartition("hub", F.pmod(F.xxhash64("node"), F.lit(SPLIT)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
@@ -452,10 +483,11 @@ class _Held:
         self.about[self.count], self.sketches[self.count] = (node, label, n), sketch
         self.count += 1
 
-    def near(self, label: int, n: int, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """(node, label) of those of other labels that sizes and sketches allow a link to."""
+    def near(self, node: int, label: int, n: int, sketch: np.ndarray, below: bool, percent: int) -> list[tuple[int, int]]:
+        """(node, label) of those of other labels (with ``below``, of smaller nodes) that sizes and sketches allow a link to."""
         about = self.about[: self.count]
-        at = np.flatnonzero((about[:, 1] != label) & (100 * np.minimum(about[:, 2], n) >= percent * np.maximum(about[:, 2], n)))
+        some = (about[:, 1] != label) & (100 * np.minimum(about[:, 2], n) >= percent * np.maximum(about[:, 2], n))
+        at = np.flatnonzero(some & (about[:, 0] < node) if below else some)
         size = min(self.sketches.shape[1], len(sketch))
         apart = np.bitwise_count(folded(self.sketches[at], size) ^ folded(sketch, size)).sum(1)
         return about[at[apart <= (100 - percent) * (about[at, 2] + n) // (100 + percent)], :2].tolist()
@@ -468,49 +500,72 @@ def _root(x: int, joined: dict[int, int]) -> int:
 
 
 def _rest(percent: int, forest: bool):
-    """Rows of mixed buckets, sorted by (sig, inside): pairs of an outsider with the bucket's other components.
+    """Rows of parts of mixed buckets, sorted by (sig, p, q, held): pairs of an outsider with the bucket's other components.
 
-    Outsiders (not linked to the hub) come first in a bucket; they are held, the others stream
-    by. A pair must pass the bounds of sizes and sketches. With ``forest`` a pair is left out
-    whose components other pairs of the bucket have joined already.
+    A part holds some of the bucket's outsiders (those not linked to the hub), and some of its nodes
+    stream by. A pair must pass the bounds of sizes and sketches. With ``forest`` a pair is left out
+    whose components other pairs of the part have joined already.
     """
     schema = pa.schema([("sig", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
         now, held, joined = None, {}, {}
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("sig", "inside", "node", "label", "n", "sketch")]
+            cols = [b.column(c).to_pylist() for c in ("sig", "p", "q", "streams", "inside", "node", "label", "n", "sketch")]
             pairs = []
-            for sig, inside, node, label, n, sketch in zip(*cols, strict=True):
-                if sig != now:
-                    now, held, joined = sig, {}, {}
+            for sig, p, q, streams, inside, node, label, n, sketch in zip(*cols, strict=True):
+                if (sig, p, q) != now:
+                    now, held, joined = (sig, p, q), {}, {}
                 s = np.frombuffer(sketch, np.uint64)
+                if not streams:
+                    held.setdefault(len(s), _Held(len(s))).add(node, label, n, s)
+                    continue
                 # linked sizes lie within a factor of two, and so do their sketches
                 for size in (len(s) // 2, len(s), 2 * len(s)):
-                    for x, other in held[size].near(label, n, s, percent) if size in held else ():
+                    for x, other in held[size].near(node, label, n, s, not inside, percent) if size in held else ():
                         if forest:
-                            p, q = _root(label, joined), _root(other, joined)
-                            if p == q:
+                            a, c = _root(label, joined), _root(other, joined)
+                            if a == c:
                                 continue
-                            joined[max(p, q)] = min(p, q)
+                            joined[max(a, c)] = min(a, c)
                         pairs.append((sig, min(x, node), max(x, node)))
-                if not inside:
-                    held.setdefault(len(s), _Held(len(s))).add(node, label, n, s)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
 
     return run
 
 
-def rest_pairs(stars: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(sig, hub, node) pairs that could still join components within buckets."""
+def rest_pairs(stars: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, forest: bool, part: int = PART) -> DataFrame:
+    """(sig, hub, node) pairs that could still join components within buckets. stars: (sig, hub, node, far).
+
+    ``far`` nodes have been compared with another node of their bucket than the hub. Of a bucket with
+    an outsider, every node streams past every part of the outsiders; both are dealt into parts of about
+    ``part`` rows, so that no task holds or reads a whole bucket.
+    """
     at_node = sketches.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     at_node = staged(at_node, "jaccard-labels")
     placed = stars.join(at_node, "node").join(at_node.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
-    placed = staged(placed.select("sig", "node", "label", (F.col("label") == F.col("hub_label")).alias("inside")), "jaccard-placed")
-    mixed = placed.where("not inside").select("sig").distinct()
-    rows = placed.join(mixed, "sig", "left_semi").join(sketches, "node")
-    return rows.repartition("sig").sortWithinPartitions("sig", "inside", "node").mapInArrow(_rest(percent, forest), "sig long, hub long, node long")
+    placed = staged(placed.select("sig", "hub", "hub_label", "node", "label", "far", (F.col("label") == F.col("hub_label")).alias("inside")), "jaccard-placed")
+    mixed = placed.where("not inside").groupBy("sig").agg(F.bool_or("far").alias("far"), F.count("*").alias("n_out"))
+    sizes = placed.groupBy("sig").agg(F.count("*").alias("n_all"))
+    parts = lambda n: F.ceil(F.col(n) / F.lit(float(part))).cast("int")
+    mixed = staged(mixed.join(sizes, "sig").select("sig", "far", parts("n_all").alias("ps"), parts("n_out").alias("qs")), "jaccard-mixed")
+    rows = placed.join(mixed.drop("far"), "sig")
+    hub_rows = placed.join(mixed.where("far"), "sig", "left_semi").select("sig", "hub", "hub_label").distinct().join(mixed.drop("far"), "sig")
+    columns = ["sig", "node", "label", "inside", "ps", "qs"]
+    rows = rows.select(*columns).unionByName(hub_rows.select("sig", F.col("hub").alias("node"), F.col("hub_label").alias("label"), F.lit(True).alias("inside"), "ps", "qs"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = lambda n, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
+    stream = rows.select("sig", "node", "label", "inside", home("ps", 0).alias("p"), every("qs").alias("q"), F.lit(True).alias("streams"))
+    held = rows.where("not inside").select("sig", "node", "label", "inside", home("qs", 1).alias("q"), every("ps").alias("p"), F.lit(False).alias("streams"))
+    met = stream.unionByName(held).join(sketches, "node").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "streams", "node")
+    return met.mapInArrow(_rest(percent, forest), "sig long, hub long, node long").distinct()
+
+
+def all_stars(top: DataFrame, first: DataFrame) -> DataFrame:
+    """(sig, hub, node, far) of all nodes of all buckets: those of a batch's star join the bucket of its hub."""
+    over = top.select("sig", F.col("node").alias("hub"), F.col("hub").alias("_top"))
+    return top.withColumn("far", F.lit(False)).unionByName(first.join(over, ["sig", "hub"], "left").select("sig", F.coalesce("_top", "hub").alias("hub"), "node", F.col("_top").isNotNull().alias("far")))
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -533,15 +588,18 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if clash:
             discard(rows, every, reps)
 
-    stars = staged(hubs(rows.where("n is null").select("sig", "node")), "jaccard-stars")
+    top = staged(hubs(rows.where("n is null and hub is null").select("sig", "node")), "jaccard-top")
+    first = rows.where("hub is not null").select(F.col("of").alias("sig"), "hub", "node")
+    stars = staged(all_stars(top, first), "jaccard-stars")
+    met = staged(top.select("hub", "node").unionByName(first.select("hub", "node")).distinct(), "jaccard-met")
     nodes = stars.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
     held = rows.where("n is not null and doc_id is not null").join(reps.join(nodes, "node").select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
     sketches = staged(held.dropDuplicates(["node"]).select("node", F.col("n").cast("int").alias("n"), "sketch"), "jaccard-sketches")
     discard(rows)
 
-    pairs = staged(bounded(stars.select("hub", "node").distinct(), sketches, percent), "jaccard-pairs")
+    pairs = staged(bounded(met, sketches, percent), "jaccard-pairs")
     links = staged(verified(pairs, docs, reps, words, percent, seed), "jaccard-links")
-    labels, spent = components(links), [stars, sketches, pairs, links]
+    labels, spent = components(links), [top, met, stars, sketches, pairs, links]
     left = stars
     for forest in (True, False):
         pairs = staged(rest_pairs(left, labels, sketches, percent, forest), "jaccard-pairs")
