@@ -124,6 +124,31 @@ class BlockMaxima:
                 yield (a + int(k)) * n, min((a + int(k) + 2) * n, len(ids)), self.blocks[through[k]].tolist()
 
 
+    def together(self, docs: list[np.ndarray]):
+        """(number of the text, begin, end, blocks), as ``passages`` gives them, of texts whose sums are held at once."""
+        width, n = len(self.blocks), self.stride
+        lens = np.array([len(x) for x in docs])
+        rows = -(-lens // n) + 1  # an empty one parts the texts
+        first = np.cumsum(rows) - rows
+        ids = np.concatenate(docs)
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+        stretch = np.repeat(first, lens) + place // n
+        sums = np.zeros((int(rows.sum()) + 1, width))
+        for at in range(0, len(ids), max(1, CELLS // width)):
+            some = ids[at : at + max(1, CELLS // width)]
+            count = self.start[some + 1] - self.start[some]
+            row = np.repeat(self.start[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            cell = np.repeat(stretch[at : at + len(some)] * width, count) + self.block[row]
+            sums += np.bincount(cell, self.value[row], sums.size).reshape(sums.shape)
+        through = sums[:-1] + sums[1:] >= self.need
+        found = np.flatnonzero(through.any(1))
+        doc = np.searchsorted(first, found, side="right") - 1
+        for f, d in zip(found.tolist(), doc.tolist(), strict=True):
+            k = f - int(first[d])
+            if k < max(1, rows[d] - 2):
+                yield d, k * n, min((k + 2) * n, int(lens[d])), self.blocks[through[f]].tolist()
+
+
 class Index:
     """BM25 index of some items; document frequencies and lengths are those of all items."""
 
@@ -176,14 +201,36 @@ class Index:
         get, none = self.terms.get, len(self.terms)
         return np.fromiter((get(w, none) for w in words), np.int32, len(words))
 
-    def passages(self, ids: np.ndarray):
-        """(begin, end, blocks) of each passage that some block's maxima let through.
+    def passages(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, list[int]]]]:
+        """Of each text the (begin, end, blocks) of every passage that some block's maxima let through.
 
         For a block of stride n, passages are 2n words long and begin every n words, so that every
         stretch of n words lies in one; n exceeds the block's longest item by a quarter or more.
+        Short texts are summed up together, long ones by themselves.
         """
+        out: list[list[tuple[int, int, list[int]]]] = [[] for _ in docs]
         for some in self.classes:
-            yield from some.passages(ids)
+            group, cells = [], 0
+
+            def flush(some=some):
+                for d, *passage in some.together([docs[g] for g in group]) if group else ():  # noqa: B023
+                    out[group[d]].append(tuple(passage))  # noqa: B023
+                group.clear()  # noqa: B023
+
+            for d, ids in enumerate(docs):
+                need = (len(ids) // some.stride + 2) * len(some.blocks)
+                if not len(ids):
+                    continue
+                if need > CELLS:
+                    out[d] += some.passages(ids)
+                    continue
+                if cells + need > CELLS:
+                    flush()
+                    cells = 0
+                group.append(d)
+                cells += need
+            flush()
+        return out
 
     def wand(self, terms: list[int], block: range) -> list[tuple[int, float]]:
         """The block's items whose summed impacts reach 1, with the sums."""
@@ -231,15 +278,17 @@ class Index:
         part = lambda x: sum(w in have for w in x) / len(x) if x else 1.0
         return share, part(item.words[: item.question]), part(item.words[item.question :])
 
-    def matches(self, text: str):
-        """(item_id, passage's first word, score, overlaps) of each item that the text holds; the best passage of each."""
-        words = words_of(text)
-        if not words or not self.items:
-            return []
-        ids = self.ids(words)
+    def matches(self, texts: list[str]) -> list[list[tuple]]:
+        """Of each text the (item_id, passage's first word, score, overlaps) of every item that it holds; the best passage of each."""
+        if not self.items:
+            return [[] for _ in texts]
+        docs = [self.ids(words_of(t)) for t in texts]
+        return [self.found(ids, passages) if passages else [] for ids, passages in zip(docs, self.passages(docs), strict=True)]
+
+    def found(self, ids: np.ndarray, passages: list[tuple[int, int, list[int]]]) -> list[tuple]:
         best: dict[int, tuple] = {}
         none = len(self.terms)
-        for begin, end, blocks in self.passages(ids):
+        for begin, end, blocks in passages:
             some = ids[begin:end].tolist()
             terms = sorted(set(some) - {none})
             held = None
@@ -315,7 +364,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_C
             names = [x.split()[0] for x in MATCHES.split(", ")]
 
             def f(b):
-                rows = [(doc_id, *m) for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True) for m in index.matches(text)]
+                rows = [(doc_id, *m) for doc_id, found in zip(b.column("doc_id").to_pylist(), index.matches(texts(b)), strict=True) for m in found]
                 cols = zip(*rows, strict=True) if rows else [()] * len(names)
                 return dict(zip(names, cols, strict=True))
 
@@ -338,7 +387,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, index_chars: int = INDEX_C
     for index in build_indexes(benchmark, index_chars):
 
         def make(index=index):
-            return lambda b: b.filter(pa.array([not index.matches(t) for t in texts(b)], pa.bool_()))
+            return lambda b: b.filter(pa.array([not found for found in index.matches(texts(b))], pa.bool_()))
 
         docs = map_whole(docs, make)
     return docs
