@@ -105,13 +105,15 @@ def test_wand_equals_exhaustive_scoring(spark):
     df = Counter(w for _, ws, _ in items for w in set(ws))
     ix = D.Index(items, df, 120, float(np.mean([len(w) for _, w, _ in items])))
     score = defaultdict(dict)
-    for t, (at, x) in enumerate(ix.postings):
-        for i, v in zip(at, x, strict=True):
-            score[i][t] = v
+    for block in ix.postings:
+        for t, (at, x, most) in block.items():
+            assert most == max(x)
+            for i, v in zip(at, x, strict=True):
+                score[i][t] = v
     for _ in range(60):
         passage = sorted({ix.terms[vocab[j]] for j in rng.zipf(1.3, 60) % 300 if vocab[j] in ix.terms})
-        for b in ix.blocks:
-            want = {i for i in b if sum(score[i].get(t, 0) for t in passage) >= 1}
+        for b, block in enumerate(ix.blocks):
+            want = {i for i in block if sum(score[i].get(t, 0) for t in passage) >= 1}
             assert {i for i, _ in ix.wand(passage, b)} == want
 
 

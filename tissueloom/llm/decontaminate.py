@@ -165,12 +165,12 @@ class Index:
             seen[t] = df[w]
             idf[t] = math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5))
         common = seen > max(1, COMMON * n_items)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        self.postings: list[dict[int, tuple[list[int], list[float], float]]] = []  # of each block: its terms' items, impacts and largest impact
         bound, maxima = [], []  # of each block: what its common terms can add at most, and its rare terms each
         self.blocks = [range(k, min(k + BLOCK, len(self.items))) for k in range(0, len(self.items), BLOCK)]
         strides = defaultdict(list)
         for b, block in enumerate(self.blocks):
-            most, rare = 0.0, {}
+            most, rare, here = 0.0, {}, defaultdict(lambda: ([], []))
             for i in block:
                 item = self.items[i]
                 item.shingles = shingles(item.words)
@@ -185,15 +185,15 @@ class Index:
                 shared = 0.0
                 for t, x in impact.items():
                     x /= threshold
-                    postings[t].append((i, x))
+                    here[t][0].append(i), here[t][1].append(x)
                     if common[t]:
                         shared += x
                     else:
                         rare[t] = max(rare.get(t, 0.0), x * (1 + 1e-6))
                 most = max(most, shared)
             bound.append(most), maxima.append(rare)
+            self.postings.append({t: (at, impacts, max(impacts)) for t, (at, impacts) in here.items()})
             strides[stride_of(len(self.items[block[-1]].words))].append(b)
-        self.postings = [([i for i, _ in p], [x for _, x in p]) for p in postings]
         self.classes = [BlockMaxima(n, blocks, [maxima[b] for b in blocks], [1 - bound[b] - 1e-6 for b in blocks], n_terms) for n, blocks in strides.items()]
 
     # ---- queries ------------------------------------------------------------------------------
@@ -232,15 +232,10 @@ class Index:
             flush()
         return out
 
-    def wand(self, terms: list[int], block: range) -> list[tuple[int, float]]:
-        """The block's items whose summed impacts reach 1, with the sums."""
-        cursors = []
-        for t in terms:
-            at, impacts = self.postings[t]
-            lo = _first(at, block.start)
-            hi = _first(at, block.stop)
-            if lo < hi:
-                cursors.append([at[lo], lo, hi, at, impacts, max(impacts[lo:hi])])
+    def wand(self, terms: list[int], b: int) -> list[tuple[int, float]]:
+        """The items of block b whose summed impacts reach 1, with the sums."""
+        block, known = self.blocks[b], self.postings[b].get
+        cursors = [[x[0][0], 0, len(x[0]), *x] for x in map(known, terms) if x]
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -293,7 +288,7 @@ class Index:
             terms = sorted(set(some) - {none})
             held = None
             for b in blocks:
-                for i, score in self.wand(terms, self.blocks[b]):
+                for i, score in self.wand(terms, b):
                     item = self.items[i]
                     if len(item.words) < SHINGLE:
                         n = len(item.words)
