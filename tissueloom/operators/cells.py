@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.stats import two_sided
 from ..sources.staging import stored
 
 
@@ -107,6 +110,51 @@ def neighbourhood(cells: DataFrame, radius: float, k: int) -> DataFrame:
     return cells.join(stats, "id", "left").withColumns({"neighbours": F.coalesce("neighbours", F.lit(0)), "density": F.coalesce("neighbours", F.lit(0)) / k, "mean_distance": F.coalesce("mean_distance", F.lit(0.0))})
 
 
+def cell_moran(cells: DataFrame, radius: float, k: int = 16) -> DataFrame:
+    """Per cell Moran's I of ``ratio`` over itself and its nearest within the radius (k in all), weights 1 / distance.
+
+    Returns id, neighbours (itself included), density = neighbours / k, mean_distance, moran, p (two-sided,
+    normal, randomisation variance). Where there is no I (equal ratios, a lone cell) it is the table's
+    smallest, where there is no variance p is 1; pairs at one place have no weight.
+    """
+    near = range_pairs(cells, cells, radius)
+    kept = near.withColumn("_r", F.row_number().over(W.partitionBy("id_a").orderBy("distance", "id_b"))).where(F.col("_r") <= k)
+    at = cells.select(F.col("id").alias("id_b"), "px", "py", "ratio")
+    rows = kept.join(at, "id_b").groupBy(F.col("id_a").alias("id")).agg(F.sort_array(F.collect_list(F.struct("distance", "id_b", "px", "py", "ratio"))).alias("near"))
+    flat = rows.select("id", *(F.col(f"near.{c}").alias(c) for c in ("distance", "px", "py", "ratio")))
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for i, d, px, py, ratio in zip(f["id"], f["distance"], f["px"], f["py"], f["ratio"], strict=True):
+                out.append((i, len(d), len(d) / k, float(np.mean(d)), *_moran(np.asarray(ratio, float), np.asarray(px, float), np.asarray(py, float))))
+            yield pd.DataFrame(out, columns=["id", "neighbours", "density", "mean_distance", "moran", "z"])
+
+    found = stored(flat.mapInPandas(run, "id long, neighbours int, density double, mean_distance double, moran double, z double"), "cell-moran")
+    clean = lambda c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c))
+    least = found.agg(F.coalesce(F.min(clean("moran")), F.lit(0.0)).alias("_m"))
+    p = F.coalesce(two_sided(clean("z")), F.lit(1.0))
+    return found.join(F.broadcast(least)).select("id", "neighbours", "density", "mean_distance", F.coalesce(clean("moran"), F.col("_m")).alias("moran"), p.alias("p"))
+
+
+def _moran(x: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[float, float]:
+    """Moran's I with weights 1 / distance, and its z value; NaN where there is none."""
+    n = len(x)
+    d = np.hypot(px[:, None] - px, py[:, None] - py)
+    w = np.divide(1, d, out=np.zeros_like(d), where=d > 0)
+    c, total = x - x.mean(), w.sum()
+    square = (c**2).sum()
+    if square < 1e-20 or total == 0:
+        return math.nan, math.nan
+    moran = n * (c @ w @ c) / (total * square)
+    if n < 4:
+        return moran, math.nan
+    expected = -1 / (n - 1)
+    s1, s2, s3 = ((2 * w) ** 2).sum() / 2, ((2 * w.sum(1)) ** 2).sum(), n * (c**4).sum() / square**2
+    var = (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * total**2) - s3 * ((n * n - n) * s1 - 2 * n * s2 + 6 * total**2)) / ((n - 1) * (n - 2) * (n - 3) * total**2) - expected**2
+    return moran, (moran - expected) / math.sqrt(var) if var > 0 else math.nan
+
+
 def similarity(a: str, b: str, column: str) -> Column:
     p, q = F.col(f"{a}.{column}"), F.col(f"{b}.{column}")
     return 1 - F.abs(p - q) / (F.greatest(p, q) + 0.001)

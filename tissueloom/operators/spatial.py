@@ -42,11 +42,19 @@ def weight_sums(weights: DataFrame) -> DataFrame:
     return s01.join(ends.agg(F.sum(F.col("_t") ** 2).alias("s2")))
 
 
-def autocorrelation(m: DataFrame, weights: DataFrame) -> DataFrame:
+def side_sums(weights: DataFrame) -> DataFrame:
+    """Half the squared sums, and the squared differences, of each spot's outgoing and incoming weights: one row (t1, t2)."""
+    ends = weights.select(F.col("i").alias("v"), F.col("w").alias("out"), F.lit(0.0).alias("into")).unionByName(weights.select(F.col("j").alias("v"), F.lit(0.0).alias("out"), F.col("w").alias("into")))
+    each = ends.groupBy("v").agg(F.sum("out").alias("r"), F.sum("into").alias("c"))
+    return each.agg((F.sum((F.col("r") + F.col("c")) ** 2) / 2).alias("t1"), F.sum((F.col("r") - F.col("c")) ** 2).alias("t2"))
+
+
+def autocorrelation(m: DataFrame, weights: DataFrame, variance: str = "randomisation") -> DataFrame:
     """Per gene of a dense matrix: Moran's I and Geary's C with expectation, z and p.
 
-    Moran's variance is that of Cliff and Ord under randomisation, Geary's under normality. A
-    constant gene has I = 0 and C = 1, both with p = 1.
+    Moran's variance is that of Cliff and Ord under randomisation, Geary's under normality. With
+    ``variance="sides"`` Moran's is the same for all genes, from the sums of side_sums (its absolute
+    value). A constant gene has I = 0 and C = 1, both with p = 1.
     """
     stats = m.groupBy("gene_id").agg(F.avg("value").alias("mu"), F.count("*").alias("n"), F.var_pop("value").alias("_v"))
     dev = m.join(stats.select("gene_id", "mu"), "gene_id").withColumn("d", F.col("value") - F.col("mu"))
@@ -62,6 +70,11 @@ def autocorrelation(m: DataFrame, weights: DataFrame) -> DataFrame:
     b2 = n * F.try_divide(F.col("m4"), F.col("m2") ** 2)
     e_i = -1 / (n - 1)
     v_i = (n * ((n**2 - 3 * n + 3) * s1 - n * s2 + 3 * s0**2) - b2 * ((n**2 - n) * s1 - 2 * n * s2 + 6 * s0**2)) / ((n - 1) * (n - 2) * (n - 3) * s0**2) - e_i**2
+    if variance == "sides":
+        t = t.join(F.broadcast(side_sums(weights)))
+        v_i = F.abs((n**3 - 3 * n**2 + 3 * n - n * F.col("t1") + 3 * s0**2 - n * F.col("t2")) / ((n - 1) * (n - 2) * (n - 3) * s0**2) - e_i**2)
+    elif variance != "randomisation":
+        raise ValueError(variance)
     v_c = ((2 * s1 + s2) * (n - 1) - 4 * s0**2) / (2 * (n + 1) * s0**2)
     out = t.select("gene_id", F.when(flat, 0.0).otherwise(moran).alias("moran"), e_i.alias("moran_e"), F.when(flat, 0.0).otherwise((moran - e_i) / F.sqrt(v_i)).alias("moran_z"), F.when(flat, 1.0).otherwise(geary).alias("geary"), F.when(flat, 0.0).otherwise((1 - geary) / F.sqrt(v_c)).alias("geary_z"))
     return out.withColumns({"moran_p": two_sided(F.col("moran_z")), "geary_p": two_sided(F.col("geary_z"))})

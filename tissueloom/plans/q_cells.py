@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.stats import two_sided_sql
 from ..operators import cells as C
 from . import views as V
 from .catalog import query
@@ -79,6 +80,22 @@ def cell_neighbourhood(spark, sf_dir):
     return C.neighbourhood(V.cells(spark, sf_dir), 2.0, 10).select("id", "neighbours", "density", R("mean_distance").alias("mean_distance"))
 
 
+CELL_MORAN = (
+    ", p as (select a.id, b.id as o, b.px, b.py, b.ratio, sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2) d from c a join c b on abs(a.px - b.px) <= 2 and abs(a.py - b.py) <= 2), k as (select * from (select *, row_number() over (partition by id order by d, o) r from p where d <= 2) where r <= 10), "
+    "s as (select id, count(*)::double n, avg(d) md, avg(ratio) mu, count(*) * sum((ratio - m) ** 4) / sum((ratio - m) ** 2) ** 2 as s3, sum((ratio - m) ** 2) as sq from (select *, avg(ratio) over (partition by id) m from k) group by 1), "
+    "w as (select x.id, x.o, 1 / sqrt((x.px - y.px) ** 2 + (x.py - y.py) ** 2) as w, x.ratio as a, y.ratio as b from k x join k y on x.id = y.id and x.o <> y.o), "
+    "t as (select id, sum(w) tw, sum(w * (a - mu) * (b - mu)) num, sum((2 * w) ** 2) / 2 s1 from w join s using (id) group by 1), u as (select id, sum((2 * r) ** 2) s2 from (select id, o, sum(w) r from w group by all) group by 1), "
+    "v as (select id, n, md, case when sq >= 1e-20 then n * num / (tw * sq) end as moran, -1 / (n - 1) as e, (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * tw ** 2) - s3 * ((n * n - n) * s1 - 2 * n * s2 + 6 * tw ** 2)) / ((n - 1) * (n - 2) * (n - 3) * tw ** 2) - 1 / (n - 1) ** 2 as vr from s join t using (id) join u using (id)), "
+    "z as (select *, case when vr > 0 then (moran - e) / sqrt(vr) end as z from v)"
+)
+
+
+@query("cell_moran", V.with_views(f"{CELL_MORAN} select id, cast(n as int) as neighbours, round(n / 10, 6) as density, round(md, 6) as mean_distance, round(coalesce(moran, (select min(moran) from z)), 6) as moran, round(coalesce({two_sided_sql('z')}, 1), 5) as p from z", **CV))
+def cell_moran(spark, sf_dir):
+    out = C.cell_moran(V.cells(spark, sf_dir), 2.0, 10)
+    return out.select("id", "neighbours", R("density").alias("density"), R("mean_distance").alias("mean_distance"), R("moran").alias("moran"), R("p", 5).alias("p"))
+
+
 def _sim(c):
     return f"(1 - abs(a.{c} - b.{c}) / (greatest(a.{c}, b.{c}) + 0.001))"
 

@@ -51,6 +51,15 @@ def moran_geary(spark, sf_dir):
     return out.select("gene_id", *(R(c).alias(c) for c in ("moran", "moran_z", "moran_p", "geary", "geary_z", "geary_p")))
 
 
+SIDES = "sd as (select v, sum(r) r, sum(c) c from (select i as v, w as r, 0.0 as c from w union all select j, 0.0, w from w) group by 1), t12 as (select sum((r + c) ** 2) / 2 t1, sum((r - c) ** 2) t2 from sd), vs as (select gene_id, moran, e, abs((n ** 3 - 3 * n ** 2 + 3 * n - n * t1 + 3 * s0 ** 2 - n * t2) / ((n - 1) * (n - 2) * (n - 3) * s0 ** 2) - e ** 2) as vi from t, t12), os as (select gene_id, (moran - e) / sqrt(vi) as mz from vs)"
+
+
+@query("moran_sides", V.with_views(f", {AUTO}, {SIDES} select gene_id, round(mz, 6) as moran_z, round({two_sided_sql('mz')}, 6) as moran_p from os", **ES))
+def moran_sides(spark, sf_dir):
+    out = S.autocorrelation(V.expr(spark, sf_dir), S.distance_weights(V.spots(spark, sf_dir), 1.5), "sides")
+    return out.select("gene_id", R("moran_z").alias("moran_z"), R("moran_p").alias("moran_p"))
+
+
 @query("spatial_ranking", V.with_views(f", {AUTO} select gene_id, round(moran, 6) as moran from o order by o.moran desc, gene_id limit 10", **ES))
 def spatial_ranking(spark, sf_dir):
     out = S.autocorrelation(V.expr(spark, sf_dir), S.distance_weights(V.spots(spark, sf_dir), 1.5))
