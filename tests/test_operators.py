@@ -474,3 +474,23 @@ def test_tenx_files_in_chunks(spark, tmp_path):
         np.savez(f, x=np.zeros(3))
     with pytest.raises(ValueError):
         readers.tenx_kind(str(tmp_path / "other.h5"))
+
+
+def test_late_events_are_dropped_behind_the_watermark(spark, tmp_path):
+    from tissueloom.streaming import calls
+
+    kind = "event_id long, ts timestamp, event_type string, value double"
+    files = [
+        [(1, "10:05:00", 1.0), (2, "10:50:00", 2.0)],
+        [(3, "10:59:00", 4.0), (4, "12:00:00", 8.0)],  # the watermark goes to 11:50 after this file
+        [(5, "10:30:00", 16.0), (6, "11:55:00", 32.0)],  # the first one is too late
+        [(7, "15:00:00", 64.0)],
+        [(8, "15:10:00", 128.0)],
+    ]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame([(i, f"2024-01-01 {t}", "view", v) for i, t, v in rows], "event_id long, ts string, event_type string, value double")
+        df.withColumn("ts", F.to_timestamp("ts")).select(*(c.split()[0] for c in kind.split(", "))).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = calls.event_stream(spark, f"file://{tmp_path}/in", 1)
+        calls.append_windows(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state", late="10 minutes").awaitTermination()
+    got = {r["start"].hour: (r["n"], r["total"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {10: (3, 7.0), 11: (1, 32.0), 12: (1, 8.0)}

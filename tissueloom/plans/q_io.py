@@ -11,7 +11,7 @@ from ..operators import imaging
 from ..operators import knowledge as K
 from ..operators import layers as L
 from ..sources import readers, writers
-from ..sources.staging import shared_folder
+from ..sources.staging import steps_folder
 from ..streaming import calls as streams
 from . import views as V
 from .catalog import query
@@ -20,7 +20,7 @@ R = lambda c, d=6: F.round(c, d)
 
 
 def folder(spark, name):
-    return f"{shared_folder(spark)}/tissueloom/io-{name}-{uuid.uuid4().hex}"
+    return f"{steps_folder(spark)}/io-{name}-{uuid.uuid4().hex}"
 
 
 @query("molecule_counts", "select user_id as barcode_idx, case event_type when 'view' then 0 when 'click' then 1 else 2 end as feature_idx, count(*) as count from events group by all")
@@ -214,9 +214,9 @@ def call_stream(spark, sf_dir):
 
 @query("stream_stage_counts", V.with_views("select stage, count(*) as cluster_size from c group by 1", c=V.CALLS))
 def stream_stage_counts(spark, sf_dir):
-    name = f"counts_{uuid.uuid4().hex}"
-    streams.running_counts(streams.call_stream(spark, _call_file(spark, sf_dir)), name, folder(spark, "state")).awaitTermination()
-    return spark.table(name)
+    path = folder(spark, "counts")
+    streams.running_counts(streams.call_stream(spark, _call_file(spark, sf_dir)), path, folder(spark, "state")).awaitTermination()
+    return streams.latest_counts(spark, path)
 
 
 @query("windowed_events", "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")

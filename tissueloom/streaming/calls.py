@@ -25,10 +25,28 @@ def append_calls(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def running_counts(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Calls of each stage so far, in a memory table."""
+def running_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Calls of each stage so far: each batch writes the whole counts to its own folder, so a repeated batch leaves the same files."""
     counts = stream.groupBy("stage").agg(F.count("*").alias("cluster_size"))
-    return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """What the last batch of running_counts wrote."""
+    every = spark.read.parquet(path)
+    return every.join(F.broadcast(every.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Event files (event_id, ts, event_type, value) that arrive in a folder."""
+    reader = spark.readStream.schema("event_id long, ts timestamp, event_type string, value double")
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
+
+
+def append_windows(events: DataFrame, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """Appends each window to a parquet table once the watermark has passed its end; later events of it are dropped."""
+    return windowed_events(events, **how).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def windowed_events(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
