@@ -54,6 +54,8 @@ VERIFY = 1.0
 
 #: Parts of a hub's pairs, and the rows of a part of a bucket: larger buckets are cut into parts.
 SPLIT, PART = 32, 4096
+#: What a row is to a part of a bucket.
+HELD, BOTH, STREAMS = 0, 1, 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -500,7 +502,7 @@ def _root(x: int, joined: dict[int, int]) -> int:
 
 
 def _rest(percent: int, forest: bool):
-    """Rows of parts of mixed buckets, sorted by (sig, p, q, held): pairs of an outsider with the bucket's other components.
+    """Rows of parts of mixed buckets, sorted by (sig, p, q, role): pairs of an outsider with the bucket's other components.
 
     A part holds some of the bucket's outsiders (those not linked to the hub), and some of its nodes
     stream by. A pair must pass the bounds of sizes and sketches. With ``forest`` a pair is left out
@@ -511,17 +513,14 @@ def _rest(percent: int, forest: bool):
     def run(batches):
         now, held, joined = None, {}, {}
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("sig", "p", "q", "streams", "inside", "node", "label", "n", "sketch")]
+            cols = [b.column(c).to_pylist() for c in ("sig", "p", "q", "role", "inside", "node", "label", "n", "sketch")]
             pairs = []
-            for sig, p, q, streams, inside, node, label, n, sketch in zip(*cols, strict=True):
+            for sig, p, q, role, inside, node, label, n, sketch in zip(*cols, strict=True):
                 if (sig, p, q) != now:
                     now, held, joined = (sig, p, q), {}, {}
                 s = np.frombuffer(sketch, np.uint64)
-                if not streams:
-                    held.setdefault(len(s), _Held(len(s))).add(node, label, n, s)
-                    continue
                 # linked sizes lie within a factor of two, and so do their sketches
-                for size in (len(s) // 2, len(s), 2 * len(s)):
+                for size in (len(s) // 2, len(s), 2 * len(s)) if role != HELD else ():
                     for x, other in held[size].near(node, label, n, s, not inside, percent) if size in held else ():
                         if forest:
                             a, c = _root(label, joined), _root(other, joined)
@@ -529,6 +528,8 @@ def _rest(percent: int, forest: bool):
                                 continue
                             joined[max(a, c)] = min(a, c)
                         pairs.append((sig, min(x, node), max(x, node)))
+                if role != STREAMS:
+                    held.setdefault(len(s), _Held(len(s))).add(node, label, n, s)
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
 
@@ -554,11 +555,17 @@ def rest_pairs(stars: DataFrame, labels: DataFrame, sketches: DataFrame, percent
     hub_rows = placed.join(mixed.where("far"), "sig", "left_semi").select("sig", "hub", "hub_label").distinct().join(mixed.drop("far"), "sig")
     columns = ["sig", "node", "label", "inside", "ps", "qs"]
     rows = rows.select(*columns).unionByName(hub_rows.select("sig", F.col("hub").alias("node"), F.col("hub_label").alias("label"), F.lit(True).alias("inside"), "ps", "qs"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # where a node goes: to one place, where an outsider is compared and then held, or as one that streams by
+    # all parts of the outsiders and, if it is an outsider, as one that is held for all parts of the stream
     home = lambda n, k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(n)).cast("int")
-    stream = rows.select("sig", "node", "label", "inside", home("ps", 0).alias("p"), every("qs").alias("q"), F.lit(True).alias("streams"))
-    held = rows.where("not inside").select("sig", "node", "label", "inside", home("qs", 1).alias("q"), every("ps").alias("p"), F.lit(False).alias("streams"))
-    met = stream.unionByName(held).join(sketches, "node").repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "streams", "node")
+    place = lambda p, q, role: F.struct(p.alias("p"), q.alias("q"), F.lit(role).alias("role"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    stream = F.transform(every("qs"), lambda q: place(home("ps", 0), q, STREAMS))
+    held = F.when(F.col("inside"), F.array().cast("array<struct<p:int,q:int,role:int>>")).otherwise(F.transform(every("ps"), lambda p: place(p, home("qs", 1), HELD)))
+    alone = F.array(F.when(F.col("inside"), place(F.lit(0), F.lit(0), STREAMS)).otherwise(place(F.lit(0), F.lit(0), BOTH)))
+    dealt = rows.select("sig", "node", "label", "inside", F.explode(F.when((F.col("ps") == 1) & (F.col("qs") == 1), alone).otherwise(F.concat(stream, held))).alias("at"))
+    met = dealt.select("sig", "node", "label", "inside", "at.p", "at.q", "at.role").join(sketches, "node")
+    met = met.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "role", "node")
     return met.mapInArrow(_rest(percent, forest), "sig long, hub long, node long").distinct()
 
 
