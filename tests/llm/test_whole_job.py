@@ -96,28 +96,6 @@ def test_spelled_addresses_of_letters_only(spark):
     assert {r["text"] for r in redacted(docs).where("doc_id < 4").collect()} == {"write to <EMAIL> today"}
 
 
-def test_ransac_counts_every_candidate(spark):
-    from pyspark.sql import functions as F
-
-    from tissueloom.operators.align import ransac
-
-    # 9000 candidates turned by a quarter and moved, and 1000 that are not
-    x, y = F.col("id") % 100, F.floor(F.col("id") / 100)
-    far = F.when(F.col("id") % 10 == 0, F.lit(500.0) + F.col("id") % 7).otherwise(0.0)
-    pairs = spark.range(10_000).select("id", x.cast("double").alias("xa"), y.cast("double").alias("ya"), (3 - y + far).cast("double").alias("xb"), (x + 2.0).alias("yb")).repartition(5)
-    assert ransac(pairs, 50, 0.01).first()["inliers"] == 9000
-
-
-def test_model_queries_cover_all_components(spark):
-    import __spark_entry__ as entry
-
-    sf = "/root/testdata/sf0.001"
-    n = len(spark.read.parquet(f"{sf}/embeddings.parquet").first()["embedding"])
-    assert n > 16 and entry.queries()["cvae_reconstruction"](spark, sf).count() == n
-    assert {len(r["vec"]) for r in entry.queries()["time_interpolation"](spark, sf).collect()} == {n}
-    assert {len(r["mean"]) for r in entry.queries()["diffusion_states"](spark, sf).collect()} == {n}
-
-
 def test_typed_declarations_and_long_literals():
     from tissueloom.llm.secrets import added_spans, literal_score, pairs
 
