@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.ranking import numbered
 from ..functions.stats import benjamini_hochberg, hypergeometric_sf
