@@ -83,7 +83,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 #: What may stand between the parts of one entity.
 _INSIDE = frozenset(" ().-@_%+:[]/")
-_OBFUSCATED = {"at": "@", "dot": "."}
 
 
 class Island:
