@@ -512,3 +512,11 @@ def test_model_queries_cover_all_components(spark):
     assert n > 16 and entry.queries()["cvae_reconstruction"](spark, sf).count() == n
     assert {len(r["vec"]) for r in entry.queries()["time_interpolation"](spark, sf).collect()} == {n}
     assert {len(r["mean"]) for r in entry.queries()["diffusion_states"](spark, sf).collect()} == {n}
+
+
+def test_whitespace_line_is_split_once(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("a b c\n g  1 2.5 x\n\nh 3 4\nk 5 6 7\n")
+    got = readers.read_whitespace_matrix(spark, str(tmp_path / "m.txt"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("g", "a", 1.0), ("g", "b", 2.5), ("g", "c", None), ("k", "a", 5.0), ("k", "b", 6.0), ("k", "c", 7.0)], key=str)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "split(" not in above

@@ -11,7 +11,7 @@ from ..operators import imaging
 from ..operators import knowledge as K
 from ..operators import layers as L
 from ..sources import readers, writers
-from ..sources.staging import steps_folder
+from ..sources.staging import steps_folder, stored
 from ..streaming import calls as streams
 from . import views as V
 from .catalog import query
@@ -134,7 +134,7 @@ def tsv_table(spark, sf_dir):
 @query("whitespace_matrix", V.with_views("select gene_id as row, 'p' || spot_id as \"column\", value from e", e=V.EXPR))
 def whitespace_matrix(spark, sf_dir):
     path = folder(spark, "matrix")
-    rows = V.expr(spark, sf_dir).groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("spot_id", "value"))).alias("c"))
+    rows = stored(V.expr(spark, sf_dir).groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("spot_id", "value"))).alias("c")), "matrix-rows")
     body = rows.select(F.lit(1).alias("k"), F.concat_ws("  ", F.col("gene_id"), F.array_join(F.transform("c", lambda s: s["value"].cast("string")), " ")).alias("l"))
     head = rows.select(F.lit(0).alias("k"), F.array_join(F.transform("c", lambda s: F.concat(F.lit("p"), s["spot_id"].cast("string"))), " ").alias("l")).limit(1)
     head.unionByName(body).repartition(1).sortWithinPartitions("k").select("l").write.text(path)

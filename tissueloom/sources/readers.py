@@ -170,7 +170,9 @@ def read_whitespace_matrix(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.trim("value") != "")
     head = F.split(F.trim(F.lit(lines.first()[0])), r"\s+")
     parts = F.split(F.trim("value"), r"\s+")
-    body = lines.where(F.size(parts) == F.size(head) + 1).select(F.get(parts, F.lit(0)).alias("row"), F.posexplode(F.slice(parts, 2, F.size(parts) - 1)).alias("k", "v"))
+    # the parts are columns below the generator: beside it a line would be split again for each of its values
+    body = lines.select(parts.alias("p")).where(F.size("p") == F.size(head) + 1).select(F.get("p", F.lit(0)).alias("row"), F.slice("p", 2, F.size("p") - 1).alias("vs"))
+    body = body.select("row", F.posexplode("vs").alias("k", "v"))
     return body.select("row", F.get(head, F.col("k")).alias("column"), F.col("v").try_cast("double").alias("value"))
 
 
