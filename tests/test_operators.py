@@ -520,3 +520,11 @@ def test_whitespace_line_is_split_once(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("g", "a", 1.0), ("g", "b", 2.5), ("g", "c", None), ("k", "a", 5.0), ("k", "b", 6.0), ("k", "c", 7.0)], key=str)
     above = got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "split(" not in above
+
+
+def test_equal_profiles_go_to_the_first():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        p, b = rng.integers(400, 900, 25) / 7.0, rng.integers(100, 900, 25).astype(float)
+        x = N.nnls(np.stack([p, p, p], 1), b)
+        assert x[1] == 0 and x[2] == 0 and math.isclose(x[0], p @ b / (p @ p))
