@@ -528,3 +528,19 @@ def test_equal_profiles_go_to_the_first():
         p, b = rng.integers(400, 900, 25) / 7.0, rng.integers(100, 900, 25).astype(float)
         x = N.nnls(np.stack([p, p, p], 1), b)
         assert x[1] == 0 and x[2] == 0 and math.isclose(x[0], p @ b / (p @ p))
+
+
+def test_range_pairs_are_not_broadcast(spark):
+    at = spark.range(400).selectExpr("id", "cast(id % 20 as double) as px", "cast(id div 20 as double) as py", "cast(id % 7 as double) as ratio")
+    for found in (cells.neighbourhood(at, 2.0, 10), cells.range_pairs(at, at, 2.0, keep=("ratio",))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan
+    assert cells.range_pairs(at, at, 2.0, keep=("ratio",)).where("ratio <> id_b % 7").count() == 0
+
+
+def test_cell_moran_joins_no_table_of_cells(spark, monkeypatch):
+    at = spark.range(400).selectExpr("id", "cast(id % 20 as double) as px", "cast(id div 20 as double) as py", "cast(id % 7 as double) as ratio")
+    plans = []
+    monkeypatch.setattr(cells, "stored", lambda df, name="step": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert cells.cell_moran(at, 2.0, 10).count() == 400
+    assert plans[0].count("Join ") == 1 and "strategy=merge" in plans[0]

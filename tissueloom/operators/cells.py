@@ -82,19 +82,20 @@ def export_labelled(cells: DataFrame, label: str = "region") -> DataFrame:
     return kept.join(F.broadcast(low)).withColumns({"px": F.col("px") - F.col("_x"), "py": F.col("py") - F.col("_y")}).drop("_x", "_y")
 
 
-def range_pairs(a: DataFrame, b: DataFrame, radius: float, x: str = "px", y: str = "py", key: str = "id") -> DataFrame:
-    """Pairs within a radius, by grid buckets: id_a, id_b, distance.
+def range_pairs(a: DataFrame, b: DataFrame, radius: float, x: str = "px", y: str = "py", key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within a radius, by grid buckets: id_a, id_b, distance, and the columns ``keep`` of ``b``.
 
     Each point of ``b`` goes to its own bucket and the eight around it; pairs meet on equal
-    buckets only, and every pair once.
+    buckets only, and every pair once. Both sides are shuffled: the planner's size of a compressed
+    file knows nothing of the nine buckets, and would broadcast a table that the driver can't hold.
     """
     bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
     left = a.select(F.col(key).alias("id_a"), F.col(x).alias("_xa"), F.col(y).alias("_ya"), bucket(x).alias("_bx"), bucket(y).alias("_by"))
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    right = b.select(F.col(key).alias("id_b"), F.col(x).alias("_xb"), F.col(y).alias("_yb"), bucket(x).alias("_ox"), bucket(y).alias("_oy"), near.alias("_d"))
-    right = right.select("id_b", "_xb", "_yb", (F.col("_ox") + F.col("_d.i")).alias("_bx"), (F.col("_oy") + F.col("_d.j")).alias("_by"))
+    right = b.select(F.col(key).alias("id_b"), F.col(x).alias("_xb"), F.col(y).alias("_yb"), bucket(x).alias("_ox"), bucket(y).alias("_oy"), near.alias("_d"), *keep)
+    right = right.select("id_b", *keep, "_xb", "_yb", (F.col("_ox") + F.col("_d.i")).alias("_bx"), (F.col("_oy") + F.col("_d.j")).alias("_by"))
     d = F.sqrt((F.col("_xa") - F.col("_xb")) ** 2 + (F.col("_ya") - F.col("_yb")) ** 2)
-    return left.join(right, ["_bx", "_by"]).withColumn("distance", d).where(F.col("distance") <= radius).select("id_a", "id_b", "distance")
+    return left.join(right.hint("merge"), ["_bx", "_by"]).withColumn("distance", d).where(F.col("distance") <= radius).select("id_a", "id_b", "distance", *keep)
 
 
 def median_radius(cells: DataFrame) -> DataFrame:
@@ -117,10 +118,9 @@ def cell_moran(cells: DataFrame, radius: float, k: int = 16) -> DataFrame:
     normal, randomisation variance). Where there is no I (equal ratios, a lone cell) it is the table's
     smallest, where there is no variance p is 1; pairs at one place have no weight.
     """
-    near = range_pairs(cells, cells, radius)
+    near = range_pairs(cells, cells, radius, keep=("px", "py", "ratio"))
     kept = near.withColumn("_r", F.row_number().over(W.partitionBy("id_a").orderBy("distance", "id_b"))).where(F.col("_r") <= k)
-    at = cells.select(F.col("id").alias("id_b"), "px", "py", "ratio")
-    rows = kept.join(at, "id_b").groupBy(F.col("id_a").alias("id")).agg(F.sort_array(F.collect_list(F.struct("distance", "id_b", "px", "py", "ratio"))).alias("near"))
+    rows = kept.groupBy(F.col("id_a").alias("id")).agg(F.sort_array(F.collect_list(F.struct("distance", "id_b", "px", "py", "ratio"))).alias("near"))
     flat = rows.select("id", *(F.col(f"near.{c}").alias(c) for c in ("distance", "px", "py", "ratio")))
 
     def run(frames):
