@@ -544,3 +544,59 @@ def test_cell_moran_joins_no_table_of_cells(spark, monkeypatch):
     monkeypatch.setattr(cells, "stored", lambda df, name="step": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     assert cells.cell_moran(at, 2.0, 10).count() == 400
     assert plans[0].count("Join ") == 1 and "strategy=merge" in plans[0]
+
+
+def _many_spots(spark, n=3100):
+    return spark.range(n).selectExpr("id as spot_id", "cast(id % 10 as double) as x", "cast(id div 10 as double) as y")
+
+
+def test_all_pairs_of_many_spots(spark):
+    spots = _many_spots(spark)
+    pairs = spatial.spot_pairs(spots)
+    assert pairs.count() == 3100 * 3099 // 2
+    one = pairs.where("i = 7 and j = 3001").first()
+    assert (one["d"], one["xi"], one["yj"]) == (math.hypot(6, 300), 7.0, 300.0)
+
+
+def test_median_gap_is_exact(spark, monkeypatch):
+    k = np.arange(3100)
+    xy = np.c_[k % 10, k // 10].astype(float)
+    upper = np.sort(np.linalg.norm(xy[:, None] - xy[None], axis=2)[np.triu_indices(3100, 1)])
+    assert math.isclose(spatial.median_gap(_many_spots(spark)), upper[len(upper) // 2], rel_tol=1e-15)
+    monkeypatch.setattr(spatial, "READ_OFF", 20), monkeypatch.setattr(spatial, "BINS", 7), monkeypatch.setattr(spatial, "PAIRS_A_TASK", 300)
+    for n in (2, 3, 40, 120):
+        xy = RNG.random((n, 2))
+        spots = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "spot_id long, x double, y double")
+        d = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))[np.triu_indices(n, 1)])
+        assert spatial.median_gap(spots) == d[len(d) // 2]
+    assert spatial.median_gap(spots.limit(1)) is None
+
+
+def test_dense_variogram_of_many_spots(spark, monkeypatch):
+    spots = _many_spots(spark)
+    m = spots.selectExpr("'g' as gene_id", "spot_id", "cast(spot_id % 13 as double) as value")
+    got = spatial.dense_variogram(m, spots).orderBy("lag").toPandas()
+    assert got["n_pairs"].sum() == 3100 * 3099 // 2 and len(got) == 10
+    fits = spatial.fit_variogram(spatial.dense_variogram(m, spots)).first()
+    assert fits["sill"] > fits["nugget"] >= 0
+    monkeypatch.setattr(spatial, "PAIRS_A_TASK", 100)
+    few = spots.where("spot_id < 90")
+    some = m.where("spot_id < 90 and spot_id % 7 > 0").unionByName(m.where("spot_id < 90").withColumn("gene_id", F.lit("h")))
+    key = lambda df: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select("gene_id", "lag", "distance", "gamma", "n_pairs").orderBy("gene_id", "lag").collect()]
+    assert key(spatial.dense_variogram(some, few)) == key(spatial.variogram(some, spatial.spot_pairs(few)))
+
+
+def test_dense_autocorrelation_is_that_of_weights(spark, monkeypatch):
+    many = _many_spots(spark)
+    got = spatial.spatial_statistics(many.selectExpr("'g' as gene_id", "spot_id", "cast(spot_id as double) as value"), many).first()
+    assert 0 < got["moran"] < 1
+    monkeypatch.setattr(spatial, "PAIRS_A_TASK", 100), monkeypatch.setattr(spatial, "GENES_A_TASK", 2)
+    far = spark.createDataFrame([(90, 500.0, 500.0)], "spot_id long, x double, y double")
+    spots = _many_spots(spark, 90).unionByName(far)
+    value = F.pmod(F.xxhash64("spot_id", "g"), F.lit(50)).cast("double")
+    m = spots.crossJoin(spark.range(5).selectExpr("id as g")).where("g > 0 or spot_id % 5 > 0").select(F.concat(F.lit("g"), "g").alias("gene_id"), "spot_id", value.alias("value"))
+    a = spatial.dense_autocorrelation(m, spots, 3.5).orderBy("gene_id").toPandas()
+    b = spatial.autocorrelation(m, spatial.distance_weights(spots, 3.5)).orderBy("gene_id").toPandas()
+    assert list(a.columns) == list(b.columns) and len(a) == 5
+    apart = (a.drop(columns="gene_id") - b.drop(columns="gene_id")).abs().max()
+    assert (apart < 1e-9).all(), apart
