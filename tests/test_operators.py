@@ -600,3 +600,19 @@ def test_dense_autocorrelation_is_that_of_weights(spark, monkeypatch):
     assert list(a.columns) == list(b.columns) and len(a) == 5
     apart = (a.drop(columns="gene_id") - b.drop(columns="gene_id")).abs().max()
     assert (apart < 1e-9).all(), apart
+
+
+def test_kriging_of_many_spots(spark):
+    spots = _many_spots(spark)
+    m = spots.selectExpr("'g' as gene_id", "spot_id", "cast(spot_id % 13 as double) as value")
+    fits = spark.createDataFrame([("g", 1.5, 9.0, 40.0)], "gene_id string, nugget double, sill double, reach double")
+    got = spatial.krige(m, spots, spots.where("spot_id % 500 = 0").withColumnRenamed("spot_id", "target_id"), fits).collect()
+    assert len(got) == 7 and all(math.isclose(r["value"], r["target_id"] % 13, abs_tol=1e-6) and math.isclose(r["variance"], 1.5, abs_tol=1e-6) for r in got)
+
+
+def test_clusters_of_many_spots(spark):
+    spots = _many_spots(spark)
+    m = spots.selectExpr("'g' as gene_id", "spot_id", "cast(spot_id div 1550 as double) as value")
+    for method in ("ward", "medoids"):
+        got = spatial.st_clusters(m, spots, 2, method=method).toPandas().sort_values("spot_id")["cluster"].to_numpy()
+        assert len(got) == 3100 and len(set(got[:1550])) == len(set(got[1550:])) == 1 and got[0] != got[-1]
