@@ -623,3 +623,9 @@ def test_matches_of_many_rows(spark):
     b = spark.createDataFrame([(0, 10.2, 0.0), (1, 3050.1, 0.0)], "id long, px double, py double")
     assert sorted((r["id_a"], r["id_b"]) for r in align.optimal_matches(a, b).collect()) == [(10, 0), (3050, 1)]
     assert sorted((r["id_a"], r["id_b"]) for r in align.optimal_matches(b, a).collect()) == [(0, 10), (1, 3050)]
+
+
+def test_leader_tree_of_many_rows(spark):
+    v = spark.range(50_003).selectExpr("id", "array(cast(id % 3 = 0 as double), cast(id % 3 = 1 as double), cast(id % 3 = 2 as double)) as vec")
+    got = neighbors.leader_tree(v)
+    assert got.count() == 50_003 and got.where("leader <> id % 3").count() == 0
