@@ -629,3 +629,20 @@ def test_leader_tree_of_many_rows(spark):
     v = spark.range(50_003).selectExpr("id", "array(cast(id % 3 = 0 as double), cast(id % 3 = 1 as double), cast(id % 3 = 2 as double)) as vec")
     got = neighbors.leader_tree(v)
     assert got.count() == 50_003 and got.where("leader <> id % 3").count() == 0
+
+
+def test_kriging_shares_a_factor_of_one_reach(spark):
+    spots = _many_spots(spark, 60)
+    value = F.pmod(F.xxhash64("spot_id", "g"), F.lit(50)).cast("double")
+    m = spots.crossJoin(spark.range(6).selectExpr("id as g")).where("g > 0 or spot_id % 5 > 0").select(F.concat(F.lit("g"), "g").alias("gene_id"), "spot_id", value.alias("value"))
+    fits = spark.createDataFrame([(f"g{k}", 0.5 * k, 9.0 + k, 6.0 if k < 4 else 11.0) for k in range(6)], "gene_id string, nugget double, sill double, reach double")
+    targets = spark.createDataFrame([(k, 1.3 * k, 0.7 * k) for k in range(5)], "target_id long, x double, y double")
+    got = spatial.krige(m, spots, targets, fits).orderBy("gene_id", "target_id").toPandas()
+    plain = spatial.krige(m, spots, targets, fits, variance=False).orderBy("gene_id", "target_id").toPandas()
+    assert list(plain.columns) == ["gene_id", "target_id", "value"] and np.abs(plain["value"] - got["value"]).max() < 1e-9
+    rows, place = m.join(spots, "spot_id").orderBy("spot_id").toPandas(), targets.toPandas()[["x", "y"]].to_numpy()
+    for r in fits.collect():
+        one = rows[rows["gene_id"] == r["gene_id"]]
+        value, variance = spatial._least_squares(one[["x", "y"]].to_numpy(), one["value"].to_numpy(), place, "spherical", (r["nugget"], r["sill"], r["reach"]))
+        own = got[got["gene_id"] == r["gene_id"]]
+        assert np.abs(own["value"] - value).max() < 1e-8 and np.abs(own["variance"] - np.maximum(variance, 0)).max() < 1e-8
