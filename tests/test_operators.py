@@ -646,3 +646,42 @@ def test_kriging_shares_a_factor_of_one_reach(spark):
         value, variance = spatial._least_squares(one[["x", "y"]].to_numpy(), one["value"].to_numpy(), place, "spherical", (r["nugget"], r["sill"], r["reach"]))
         own = got[got["gene_id"] == r["gene_id"]]
         assert np.abs(own["value"] - value).max() < 1e-8 and np.abs(own["variance"] - np.maximum(variance, 0)).max() < 1e-8
+
+
+def test_spatial_genes_of_many_spots(spark):
+    spots = _many_spots(spark)
+    noise = (F.pmod(F.xxhash64("spot_id", "g"), F.lit(1000)) / 1000).alias("noise")
+    m = spots.crossJoin(spark.range(3).selectExpr("id as g")).select("g", "spot_id", F.when(F.col("g") == 0, F.sin(F.col("x") / 20 + F.col("y") / 9)).otherwise(0.0).alias("wave"), noise)
+    got = gp.spatial_genes(m.select(F.concat(F.lit("g"), "g").alias("gene_id"), "spot_id", (F.col("wave") + F.col("noise")).alias("value")), spots, n_lengths=3).orderBy("gene_id").collect()
+    assert [r["gene_id"] for r in got] == ["g0", "g1", "g2"] and got[0]["p"] < 1e-9 < 1e-4 < min(got[1]["p"], got[2]["p"])
+
+
+def test_kernel_sums_agree(monkeypatch):
+    rng, k = np.random.default_rng(3), np.arange(420)
+    xy = np.c_[k % 6, k // 6].astype(float)
+    xy = xy[gp.swept(xy)]
+    y = np.c_[rng.normal(size=420), np.sin(xy[:, 1] / 9) + 0.1 * rng.normal(size=420)].T
+    y -= y.mean(1, keepdims=True)
+    grid, d = gp.length_grid(xy, 4), np.linalg.norm(xy[:, None] - xy[None], axis=2)
+    assert np.allclose(grid, np.geomspace(0.5, 2 * d.max(), 4))
+    forms = set()
+    for length in grid:
+        whole = gp.kernel_sums(y, xy, length, "se", None)
+        monkeypatch.setattr(gp, "EIGEN_SPOTS", 0), monkeypatch.setattr(gp, "FACTOR_BLOCK", 32), monkeypatch.setattr(N, "FACTOR_BLOCK", 32)
+        low, trial = gp.kernel_sums(y, xy, length, "se", None), 20
+        band = gp.kernel_sums(y, xy, length, "se", trial)[0]
+        monkeypatch.undo()
+        forms.add(low is None)
+        like = lambda sums: np.array([gp.profile_likelihood(s, 420) for s in sums])
+        assert np.abs(like(band) - like(whole[trial])).max() < 1e-5
+        if low is not None:
+            assert max(np.abs(like(a) - like(b)).max() for a, b in zip(low, whole, strict=True)) < 1e-4
+        # between the trials: against the matrix itself
+        t, scale = -3.21, np.array([0, 0.5, 0.5, 0.5])
+        k_ = np.exp(-(d**2) / (2 * length**2)) + math.exp(t) * np.eye(420)
+        one = np.ones(420)
+        for i in range(2):
+            sums = np.array([np.linalg.slogdet(k_)[1], one @ np.linalg.solve(k_, one), one @ np.linalg.solve(k_, y[i]), y[i] @ np.linalg.solve(k_, y[i])])
+            got = gp.between(gp.trial_points(), whole[:, i] * np.exp(gp.trial_points()[:, None] * scale), t) * np.exp(-t * scale)
+            assert math.isclose(gp.profile_likelihood(got, 420), gp.profile_likelihood(sums, 420), abs_tol=1e-5)
+    assert forms == {True, False}
