@@ -685,3 +685,23 @@ def test_kernel_sums_agree(monkeypatch):
             got = gp.between(gp.trial_points(), whole[:, i] * np.exp(gp.trial_points()[:, None] * scale), t) * np.exp(-t * scale)
             assert math.isclose(gp.profile_likelihood(got, 420), gp.profile_likelihood(sums, 420), abs_tol=1e-5)
     assert forms == {True, False}
+
+
+def test_patterns_of_many_spots(spark):
+    spots = _many_spots(spark)
+    m = spots.crossJoin(spark.range(6).selectExpr("id as g")).select(F.concat(F.lit("g"), "g").alias("gene_id"), "spot_id", (F.when(F.col("g") < 3, F.col("x")).otherwise(F.col("y")) + F.pmod(F.xxhash64("spot_id", "g"), F.lit(10)) / 50).alias("value"))
+    got = {}
+    for length in (None, 0.6):  # a kernel of low rank, and one factored in a band
+        got = {r["gene_id"]: r["pattern"] for r in gp.pattern_clusters(m, spots, 2, length)[0].collect()}
+        assert got["g0"] == got["g1"] == got["g2"] != got["g3"] == got["g4"] == got["g5"]
+    # the values are smoothed by K (K + .01 I)^-1 either way
+    k = np.arange(90)
+    few = spark.createDataFrame([(int(i), float(i % 9), float(i // 9)) for i in k], "spot_id long, x double, y double")
+    rows = np.random.default_rng(4).normal(size=90)
+    one = spark.createDataFrame([("g", int(i), float(v)) for i, v in zip(k, rows, strict=True)], "gene_id string, spot_id long, value double")
+    xy = np.c_[k % 9, k // 9].astype(float)
+    for length in (0.6, 9.0):
+        kernel = np.exp(-(np.linalg.norm(xy[:, None] - xy[None], axis=2) ** 2) / (2 * length**2))
+        want = kernel @ np.linalg.solve(kernel + 0.01 * np.eye(90), rows - rows.mean()) + rows.mean()
+        smooth = [r["value"] for r in gp.pattern_clusters(one, few, 1, length)[1].orderBy("spot_id").collect()]
+        assert np.abs(np.array(smooth) - want).max() < 1e-6
