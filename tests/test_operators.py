@@ -705,3 +705,12 @@ def test_patterns_of_many_spots(spark):
         want = kernel @ np.linalg.solve(kernel + 0.01 * np.eye(90), rows - rows.mean()) + rows.mean()
         smooth = [r["value"] for r in gp.pattern_clusters(one, few, 1, length)[1].orderBy("spot_id").collect()]
         assert np.abs(np.array(smooth) - want).max() < 1e-6
+
+
+def test_layout_of_many_rows(spark):
+    angle = F.col("id") * (2 * math.pi / 20_100)
+    v = spark.range(20_100).select("id", F.array(F.cos(angle), F.sin(angle), F.lit(0.5)).alias("vec"))
+    got = neighbors.manifold_layout(v, 2, k=3, epochs=2)
+    assert got.count() == 20_100 and got.select("id").distinct().count() == 20_100
+    with pytest.raises(ValueError):
+        neighbors.manifold_layout(v, 2, k=3, epochs=2, max_rows=20_000)
