@@ -714,3 +714,23 @@ def test_layout_of_many_rows(spark):
     assert got.count() == 20_100 and got.select("id").distinct().count() == 20_100
     with pytest.raises(ValueError):
         neighbors.manifold_layout(v, 2, k=3, epochs=2, max_rows=20_000)
+
+
+def test_clusters_of_a_large_patch(spark, monkeypatch):
+    at = F.col("id") % 2 * 9 + F.pmod(F.xxhash64("id"), F.lit(100)) / 100
+    big = spark.range(100_200).select("id", F.array(at, F.lit(1.0)).alias("vec"), F.lit(4).alias("patch"))
+    small = spark.range(12).select(F.col("id") + 500, F.array((F.col("id") % 3 * 7).cast("double"), F.lit(0.0)).alias("vec"), F.lit(2).alias("patch"))
+    got = mapper.patch_clusters(big.unionByName(small.withColumnsRenamed({"(id + 500)": "id"})), 3).groupBy("patch", "node").agg(F.count("*").alias("n"), F.countDistinct(F.col("id") % 2).alias("kinds")).orderBy("node").collect()
+    assert [(r["node"], r["n"]) for r in got] == [("2-0", 4), ("2-1", 4), ("2-2", 4), ("4-0", 50_100), ("4-1", 50_100)] and all(r["kinds"] == 1 for r in got if r["patch"] == 4)
+    # in a file and in strips as in memory
+    x = np.random.default_rng(5).normal(size=(500, 6)) + 4 * (np.arange(500) % 3 == 0)[:, None]
+
+    def nodes():
+        held = mapper._Patch()
+        for k in range(0, 500, 60):
+            held.add(np.arange(500)[k : k + 60], x[k : k + 60])
+        return [n for f in held.clusters(1, 4) for n in f["node"]]
+
+    whole = nodes()
+    monkeypatch.setattr(mapper, "PATCH_BYTES", 5000), monkeypatch.setattr(mapper, "STRIP", 64)
+    assert nodes() == whole and len(set(whole)) > 1

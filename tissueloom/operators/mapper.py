@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
@@ -116,12 +118,31 @@ def cover(lensed: DataFrame, n: int = 10, gain: float = 0.5, kind: str = "percen
     return out.select("id", "vec", (F.col("_i") * n + F.col("_j")).cast("int").alias("patch"))
 
 
+#: Rows of a patch that are compared at a time.
+STRIP = 1 << 15
+
+
+def _strips(n: int) -> list[slice]:
+    return [slice(a, min(a + STRIP, n)) for a in range(0, n, STRIP)]
+
+
+def _means(x: np.ndarray, label: np.ndarray, ks: np.ndarray) -> np.ndarray:
+    """Mean of each label's rows; not a number where there are none."""
+    total = np.zeros((len(ks), x.shape[1]))
+    for own in _strips(len(x)):
+        for i, k in enumerate(ks):
+            total[i] += x[own][label[own] == k].sum(0)
+    with np.errstate(invalid="ignore"):
+        return total / np.array([(label == k).sum() for k in ks])[:, None]
+
+
 def davies_bouldin(x: np.ndarray, label: np.ndarray) -> float:
     ks = np.unique(label)
     if len(ks) < 2:
         return float("inf")
-    c = np.stack([x[label == k].mean(0) for k in ks])
-    s = np.array([np.linalg.norm(x[label == k] - c[i], axis=1).mean() for i, k in enumerate(ks)])
+    c = _means(x, label, ks)
+    gap = np.concatenate([np.linalg.norm(x[own] - c[np.searchsorted(ks, label[own])], axis=1) for own in _strips(len(x))])
+    s = np.array([gap[label == k].mean() for k in ks])
     d = np.linalg.norm(c[:, None] - c[None], axis=2)
     np.fill_diagonal(d, np.inf)
     return float(((s[:, None] + s[None]) / np.maximum(d, 1e-300)).max(1).mean())
@@ -141,32 +162,53 @@ def separation(labelled: DataFrame) -> DataFrame:
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Lloyd's rounds from the point nearest the mean and then the farthest ones."""
-    centers = [x[np.argmin(((x - x.mean(0)) ** 2).sum(1))]]
+    """Lloyd's rounds from the point nearest the mean and then the farthest ones. Rows may lie in a file; they are read in strips."""
+    strips = _strips(len(x))
+    far = lambda p: np.concatenate([((x[own] - p) ** 2).sum(1) for own in strips])
+    centers = [x[np.argmin(far(_means(x, np.zeros(len(x)), np.zeros(1))[0]))]]
+    least = far(centers[0])
     while len(centers) < k:
-        centers.append(x[np.argmax(np.min([((x - c) ** 2).sum(1) for c in centers], axis=0))])
+        centers.append(x[np.argmax(least)])
+        least = np.minimum(least, far(centers[-1]))
     c = np.array(centers)
     for _ in range(rounds):
-        label = np.argmin(((x[:, None] - c[None]) ** 2).sum(2), axis=1)
-        new = np.stack([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+        label = np.concatenate([np.stack([((x[own] - p) ** 2).sum(1) for p in c], 1).argmin(1) for own in strips])
+        new = _means(x, label, np.arange(k))
+        new = np.where(np.isnan(new), c, new)
         if np.allclose(new, c):
             break
         c = new
     return label
 
 
-#: Most members of a patch that one task clusters; a larger patch needs a finer cover.
-PATCH_ROWS = 100_000
+#: Bytes of a patch's vectors beyond which they lie in a file of the task, and tasks that the patches are dealt to.
+PATCH_BYTES, PATCH_TASKS = 64 << 20, 128
 
 
-def patch_clusters(covered: DataFrame, k_max: int = 4, max_rows: int = PATCH_ROWS) -> DataFrame:
-    """(patch, node, id): each patch clustered by k-means, k of least Davies-Bouldin index."""
+class _Patch:
+    """Ids and vectors of one patch, as they come."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > max_rows:
-            raise ValueError("a patch is too large: use more patches")
-        frame = frame.sort_values("id")
-        x = np.stack(frame["vec"].to_numpy()).astype(float)
+    def __init__(self):
+        self.ids, self.parts, self.held, self.file, self.dim = [], [], 0, None, 0
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        self.ids.append(ids), self.parts.append(x)
+        self.held, self.dim = self.held + x.nbytes, x.shape[1]
+        if self.held > PATCH_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            for part in self.parts:
+                self.file.write(part.tobytes())
+            self.parts, self.held = [], 0
+
+    def clusters(self, patch: int, k_max: int):
+        ids = np.concatenate(self.ids)
+        if self.file:
+            for part in self.parts:
+                self.file.write(part.tobytes())
+            self.file.flush()
+            x = np.memmap(self.file, float, "r", shape=(len(ids), self.dim))
+        else:
+            x = np.concatenate(self.parts)
         best = np.zeros(len(x), int)
         score = np.inf
         for k in range(2, min(k_max, len(x) - 1) + 1):
@@ -174,10 +216,33 @@ def patch_clusters(covered: DataFrame, k_max: int = 4, max_rows: int = PATCH_ROW
             s = davies_bouldin(x, label)
             if s < score:
                 best, score = label, s
-        patch = int(frame["patch"].iloc[0])
-        return pd.DataFrame({"patch": patch, "node": [f"{patch}-{c}" for c in best], "id": frame["id"]})
+        if self.file:
+            self.file.close()
+        names = np.array([f"{patch}-{c}" for c in range(max(k_max, 1))], object)
+        for own in _strips(len(ids)):
+            yield pd.DataFrame({"patch": patch, "node": names[best[own]], "id": ids[own]})
+
+
+def patch_clusters(covered: DataFrame, k_max: int = 4) -> DataFrame:
+    """(patch, node, id): each patch clustered by k-means, k of least Davies-Bouldin index.
+
+    A task reads a patch in id order; a large one (PATCH_BYTES) lies in a file of the task.
+    """
 
-    return covered.groupBy("patch").applyInPandas(run, "patch int, node string, id long")
+    def run(frames):
+        patch, held = None, None
+        for frame in frames:
+            for own, some in frame.groupby("patch", sort=False):
+                if own != patch:
+                    if held:
+                        yield from held.clusters(patch, k_max)
+                    patch, held = int(own), _Patch()
+                held.add(some["id"].to_numpy(), np.stack(some["vec"].to_numpy()).astype(float))
+        if held:
+            yield from held.clusters(patch, k_max)
+
+    dealt = covered.select("patch", "id", "vec").repartition(PATCH_TASKS, "patch").sortWithinPartitions("patch", "id")
+    return dealt.mapInPandas(run, "patch int, node string, id long")
 
 
 def overlap_graph(nodes: DataFrame) -> DataFrame:
